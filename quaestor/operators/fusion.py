@@ -75,7 +75,7 @@ def anchored_fusion(anchored: DataFrame, general: DataFrame, k: int = 50, defaul
     w = Window.partitionBy("query_id").orderBy(F.desc("weighted"), F.desc("anchored"), "doc_id")
     return (
         a.unionByName(g)
-        .withColumn("weighted", F.round("weighted", 6))
+        .withColumn("weighted", F.round("weighted", 9))
         .withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
     )
