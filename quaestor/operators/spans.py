@@ -72,16 +72,60 @@ def suite_confidence(passages: DataFrame, head: int = 500) -> DataFrame:
     )
 
 
+# A document without any of these (case-folded) cannot match the extractor; checked before its patterns.
+NEEDS = {
+    "ticket_create": ["ticket", "form", "issue"],
+    "ticket_view": ["-"],
+    "project_access": ["access", "project"],
+    "request_create": ["request", "ticket", "incident"],
+    "catalog_browse": ["catalog"],
+    "incident_view": ["inc", "req", "ritm"],
+    "servicenow_link": ["servicenow.com", "service-now.com"],
+    "http_endpoint": ["/"],
+    "api_key": ["key", "authentication"],
+    "swagger_docs": ["doc", "spec", "swagger"],
+    "client_id": ["client", "registration"],
+    "channel_join": ["team", "channel"],
+    "meeting_schedule": ["meeting", "call"],
+    "contact_team": ["team", "channel"],
+    "teams_link": ["teams.microsoft.com"],
+    "email_send": ["email"],
+    "calendar_create": ["meeting", "appointment", "event"],
+    "distribution_list": ["dl", "distribution", "team", "support"],
+    "calendar_link": ["outlook."],
+    "table": ["|"],
+    "owner": [":"],
+}
+_OPEN_RUN = r"(?i)([\w\s-]+)"
+_RUN = re.compile(r"[\w\s-]+")
+
+
+def _matches(rx, text: str):
+    """All matches, left to right.
+
+    A pattern that opens with a run of words would be tried at every character of every run.  If it matches anywhere
+    in a run it matches from the run's start, so one attempt per run finds the same spans in linear time.
+    """
+    if not rx.pattern.startswith(_OPEN_RUN):
+        yield from rx.finditer(text)
+        return
+    pos = 0
+    while run := _RUN.search(text, pos):
+        m = rx.match(text, run.start())
+        if m:
+            yield m
+        pos = m.end() if m else run.end()
+
+
 def _extractor():
-    compiled = []
-    urls, attrs = {}, {}
+    by_extractor, urls, attrs = {}, {}, {}
     for suite, manifest in R.SUITES.items():
         for name, _, _, _, attr_rules, url_rules in manifest["extractors"]:
             attrs[suite, name] = [(k, re.compile(v)) for k, v in attr_rules.items()]
             urls[suite, name] = [re.compile(u) for u in url_rules]
     for no, suite, name, capability, weight, p in rule_rows():
         kind = R.CAPABILITY_TYPES.get(capability, "endpoint") if suite != "global" else capability
-        compiled.append((no, suite, name, capability, kind, weight, re.compile(p)))
+        by_extractor.setdefault((suite, name), []).append((no, capability, kind, weight, re.compile(p)))
     any_url = re.compile(r"https?://[^\s]+")
 
     def best_url(suite, name, match, page_url):
@@ -100,22 +144,24 @@ def _extractor():
                 found[key] = m.group(1).strip()
         return found
 
+    def scan(doc, title, body, url):
+        text = f"{title or ''}\n{body or ''}"
+        folded = text.casefold()
+        for (suite, name), rules in by_extractor.items():
+            if name in NEEDS and not any(w in folded for w in NEEDS[name]):
+                continue
+            for no, capability, kind, weight, rx in rules:
+                for m in _matches(rx, text):
+                    s = m.group(0)
+                    where = best_url(suite, name, s, url)
+                    yield doc, no, suite, capability, kind, weight, s.strip(), where, m.start(), attributes(suite, name, s)
+
+    columns = ["doc_id", "rule_no", "suite", "capability", "type", "weight", "text", "url", "offset", "attrs"]
+
     def run(batches):
         for pdf in batches:
-            out = []
-            for doc, title, body, url in zip(pdf["doc_id"], pdf["title"], pdf["text"], pdf["page_url"]):
-                text = f"{title or ''}\n{body or ''}"
-                for no, suite, name, capability, kind, weight, rx in compiled:
-                    for m in rx.finditer(text):
-                        s = m.group(0)
-                        out.append(
-                            (doc, no, suite, capability, kind, weight, s.strip(), best_url(suite, name, s, url), m.start(),
-                             attributes(suite, name, s))
-                        )
-            yield pd.DataFrame(
-                out,
-                columns=["doc_id", "rule_no", "suite", "capability", "type", "weight", "text", "url", "offset", "attrs"],
-            )
+            docs = zip(pdf["doc_id"], pdf["title"], pdf["text"], pdf["page_url"])
+            yield pd.DataFrame([row for d in docs for row in scan(*d)], columns=columns)
 
     return run
 

@@ -1,6 +1,6 @@
 """Loads every registered query."""
 
-from quaestor.plans import queries_evidence, queries_rank, queries_search, queries_spans, queries_text  # noqa: F401
+from quaestor.plans import queries_evidence, queries_rank, queries_search, queries_spans, queries_stream, queries_text  # noqa: F401
 
 
 def flagship(spark, folder):

@@ -24,7 +24,7 @@ O.cte(
 
 def _rule_sql(no, suite, _name, capability, weight, p) -> str:
     kind = capability if suite == "global" else R.CAPABILITY_TYPES.get(capability, "endpoint")
-    return f"""SELECT doc_id, page_url, o, {no} AS rule_no, '{suite}' AS suite, '{capability}' AS capability, '{kind}' AS type,
+    return f"""SELECT doc_id, page_url, o, CAST({no} AS BIGINT) AS rule_no, '{suite}' AS suite, '{capability}' AS capability, '{kind}' AS type,
     {weight} AS weight, string_split(regexp_replace(t, {O.s("(" + p + ")")}, chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts
     FROM c_st WHERE regexp_matches(t, {O.s(p)})"""
 

@@ -24,20 +24,26 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry_columns(spark.readStream.schema(schema).parquet(path))
 
 
-def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain a streaming frame into a parquet sink with a checkpoint in the shared folder, and read it back."""
+def run_batches(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Drain a streaming frame through foreachBatch and read the rows back with their batch number.
+
+    Each micro-batch overwrites its own folder, so a batch that is repeated after a failure leaves the same rows.
+    """
     spark = df.sparkSession
     out = shared_dir(spark, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+
     query = (
-        df.writeStream.format("parquet")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .option("path", f"{out}/rows")
+        df.writeStream.foreachBatch(write)
         .outputMode(mode)
+        .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+    return spark.read.parquet(f"{out}/rows")
 
 
 # ----------------------------------------------------------------------------------- stateless and windowed
@@ -101,14 +107,16 @@ def stage_rollup(events: DataFrame, width: str = "10 minutes", slide: str = "5 m
 
 
 # ------------------------------------------------------------------------------------------------ timelines
-_TIMELINE = (
-    F.count(F.lit(1)).alias("n"),
-    F.sum(F.round("ms", 1)).alias("total_ms"),
-    F.count_if(F.col("ms") > R.HOT_MS).alias("n_hot"),
-    F.count_if((F.col("ms") > R.WARN_MS) & (F.col("ms") <= R.HOT_MS)).alias("n_warn"),
-    F.min_by("stage", F.struct("ts", "event_id")).alias("first_stage"),
-    F.max_by("stage", F.struct("ts", "event_id")).alias("last_stage"),
-)
+def _timeline() -> list:
+    at = F.struct("ts", "event_id")
+    return [
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.round("ms", 1)).alias("total_ms"),
+        F.count_if(F.col("ms") > R.HOT_MS).alias("n_hot"),
+        F.count_if((F.col("ms") > R.WARN_MS) & (F.col("ms") <= R.HOT_MS)).alias("n_warn"),
+        F.min_by("stage", at).alias("first_stage"),
+        F.max_by("stage", at).alias("last_stage"),
+    ]
 
 
 def timeline_stream(events: DataFrame, gap: str = GAP, late: str = "10 minutes") -> DataFrame:
@@ -116,7 +124,7 @@ def timeline_stream(events: DataFrame, gap: str = GAP, late: str = "10 minutes")
     return (
         events.withWatermark("ts", late)
         .groupBy(F.session_window("ts", gap).alias("s"), "user_id")
-        .agg(*_TIMELINE)
+        .agg(*_timeline())
         .select("user_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "n", "total_ms", "n_hot",
                 "n_warn", "first_stage", "last_stage")
     )
@@ -136,7 +144,7 @@ def timeline_batch(events: DataFrame, gap_s: int = 1800, bucket_s: int = 3600) -
         e.withColumn("_new", new)
         .withColumn("_piece", F.sum("_new").over(in_day))
         .groupBy("user_id", "_bucket", "_piece")
-        .agg(*_TIMELINE, F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+        .agg(*_timeline(), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     )
     over_days = Window.partitionBy("user_id").orderBy("lo")
     apart = F.col("lo").cast("double") - F.lag(F.col("hi").cast("double")).over(over_days) >= gap_s
@@ -233,12 +241,38 @@ def stage_latency(events: DataFrame, within: str = "1 hour") -> DataFrame:
     )
 
 
-def first_end(pairs: DataFrame) -> DataFrame:
-    """The nearest end of each start."""
-    near = pairs.groupBy("req_id", "stage", "start_id").agg(
-        F.min(F.struct("elapsed_ms", "end_id", "status")).alias("m")
+def first_end(events: DataFrame, within_s: int = 3600) -> DataFrame:
+    """The nearest end of each start within the bound, without pairing every start with every end.
+
+    Time is cut into slots as long as the bound: the nearest end lies in the start's slot or is the first of the next
+    one.  A busy request is therefore spread over its slots.
+    """
+    slot = F.floor(F.unix_micros("ts") / (within_s * 1_000_000))
+    ended = F.col("event").isin("success", "end", "error")
+    end = F.struct(F.col("ts").alias("e_ts"), F.col("event_id").alias("end_id"), F.col("event").alias("status"))
+    e = events.where(ended | (F.col("event") == "start")).withColumns(
+        {"_slot": slot, "_end": F.when(ended, end), "_is_end": ended.cast("int")}
     )
-    return near.select("req_id", "stage", "start_id", "m.end_id", "m.status", "m.elapsed_ms")
+    keys = ["req_id", "stage", "_slot"]
+    # newest first: what has been seen so far lies in the future; at equal times a start comes before the ends
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("ts"), "_is_end").rowsBetween(Window.unboundedPreceding, -1)
+    starts = e.withColumn("_here", F.min("_end").over(ahead)).where(F.col("event") == "start")
+    following = (
+        e.where(ended)
+        .groupBy(*keys)
+        .agg(F.min("_end").alias("_next"))
+        .withColumn("_slot", F.col("_slot") - 1)
+    )
+    elapsed = (F.unix_micros("m.e_ts") - F.unix_micros("ts")) / 1000.0
+    return (
+        starts.join(following, keys, "left")
+        .withColumn("m", F.coalesce("_here", "_next"))
+        .select(
+            "req_id", "stage", F.col("event_id").alias("start_id"), F.col("m.end_id").alias("end_id"),
+            F.col("m.status").alias("status"), elapsed.alias("elapsed_ms"),
+        )
+        .where(F.col("elapsed_ms") <= within_s * 1000.0)
+    )
 
 
 # ----------------------------------------------------------------------------------------------- TTL cache
@@ -350,17 +384,15 @@ class SchemaCounts(StatefulProcessor):
         pass
 
 
-def schema_profile_stream(
-    observations: DataFrame, name: str = "schema-profile", capacity: int = 100, ttl_s: int = 86_400
-) -> DataFrame:
-    """Drain a stream of observations into per-index profiles, newest indices first up to the capacity.
+def schema_profile_stream(observations: DataFrame, capacity: int = 100, ttl_s: int = 86_400) -> DataFrame:
+    """idx, path, n, inner, last_seen of the newest indices, kept up by a stream of observations.
 
-    Each micro-batch is counted per (index, path) first, so a hot index reaches its state as a few rows; the profile
-    table is published through foreachBatch, one idempotent folder per batch.
+    Every micro-batch is counted per (index, path) before it meets the state, so a hot index reaches its state as a
+    few rows.  Indices beyond the capacity are evicted oldest first.
     """
     spark = observations.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out = shared_dir(spark, name)
+    out = shared_dir(spark, "schema-counts")
 
     def count_batch(batch: DataFrame, batch_id: int) -> None:
         quality.path_counts(batch).write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
@@ -380,23 +412,7 @@ def schema_profile_stream(
         outputMode="Update",
         timeMode="ProcessingTime",
     )
-
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/state/{batch_id}")
-
-    published = (
-        state.writeStream.foreachBatch(publish)
-        .outputMode("update")
-        .option("checkpointLocation", f"{out}/checkpoint-state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    published.awaitTermination()
-    rows = spark.read.parquet(f"{out}/state/*")
-    latest = rows.groupBy("idx", "path").agg(
-        *[F.max_by(c, "batch").alias(c) for c in ("n", "inner", "last_seen")]
-    )
-    kept = (
-        latest.groupBy("idx").agg(F.max("last_seen").alias("seen")).orderBy(F.desc("seen"), "idx").limit(capacity)
-    )
+    rows = run_batches(state, "schema-profile", "update")
+    latest = rows.groupBy("idx", "path").agg(*[F.max_by(c, "batch").alias(c) for c in ("n", "inner", "last_seen")])
+    kept = latest.groupBy("idx").agg(F.max("last_seen").alias("seen")).orderBy(F.desc("seen"), "idx").limit(capacity)
     return latest.join(kept, "idx", "left_semi")
