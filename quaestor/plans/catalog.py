@@ -1,6 +1,14 @@
 """Loads every registered query."""
 
-from quaestor.plans import queries_evidence, queries_rank, queries_search, queries_spans, queries_stream, queries_text  # noqa: F401
+from quaestor.plans import (  # noqa: F401
+    queries_evidence,
+    queries_pipeline,
+    queries_rank,
+    queries_search,
+    queries_spans,
+    queries_stream,
+    queries_text,
+)
 
 
 def flagship(spark, folder):

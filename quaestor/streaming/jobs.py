@@ -356,28 +356,32 @@ def ttl_stream(events: DataFrame, ttl_s: int = 600) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------ schema profile
 class SchemaCounts(StatefulProcessor):
-    """Running count per content path of one index, expiring after the TTL."""
+    """Running count per content path of one index.
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    A path not seen for the TTL, measured in event time against the newest observation, is forgotten.
+    """
+
+    def __init__(self, ttl_s: int):
+        self.ttl = pd.Timedelta(seconds=ttl_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.paths = handle.getMapState("paths", "path string", "n long, inner long, last timestamp", ttlDurationMs=self.ttl_ms)
+        self.paths = handle.getMapState("paths", "path string", "n long, inner long, last timestamp")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = {k[0]: (v[0], v[1], pd.Timestamp(v[2])) for k, v in self.paths.iterator()}
         for pdf in rows:
             for path, n, inner, last in zip(pdf["path"], pdf["n"], pdf["inner"], pdf["last_seen"]):
-                old = self.paths.getValue((path,)) if self.paths.containsKey((path,)) else (0, 0, last)
-                self.paths.updateValue((path,), (int(old[0]) + int(n), int(old[1]) + int(inner), max(old[2], last)))
-        items = list(self.paths.iterator())
+                old = known.get(path, (0, 0, last))
+                known[path] = (old[0] + int(n), old[1] + int(inner), max(old[2], last))
+        newest = max(v[2] for v in known.values())
+        alive = {p: v for p, v in known.items() if newest - v[2] <= self.ttl}
+        for path, (n, inner, last) in alive.items():
+            self.paths.updateValue((path,), (n, inner, last.to_pydatetime()))
+        for path in known.keys() - alive.keys():
+            self.paths.removeKey((path,))
         yield pd.DataFrame(
-            {
-                "idx": [key[0]] * len(items),
-                "path": [k[0] for k, _ in items],
-                "n": [int(v[0]) for _, v in items],
-                "inner": [int(v[1]) for _, v in items],
-                "last_seen": [v[2] for _, v in items],
-            }
+            [(key[0], p, n, inner, last) for p, (n, inner, last) in alive.items()],
+            columns=["idx", "path", "n", "inner", "last_seen"],
         )
 
     def close(self) -> None:
@@ -407,10 +411,10 @@ def schema_profile_stream(observations: DataFrame, capacity: int = 100, ttl_s: i
     schema = "idx string, path string, n long, inner long, last_seen timestamp, batch int"
     counted = spark.readStream.schema(schema).parquet(f"{out}/counts")
     state = counted.groupBy("idx").transformWithStateInPandas(
-        statefulProcessor=SchemaCounts(ttl_s * 1000),
+        statefulProcessor=SchemaCounts(ttl_s),
         outputStructType="idx string, path string, n long, inner long, last_seen timestamp",
         outputMode="Update",
-        timeMode="ProcessingTime",
+        timeMode="None",
     )
     rows = run_batches(state, "schema-profile", "update")
     latest = rows.groupBy("idx", "path").agg(*[F.max_by(c, "batch").alias(c) for c in ("n", "inner", "last_seen")])
