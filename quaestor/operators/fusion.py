@@ -13,11 +13,18 @@ RRF_K = 60
 
 
 def rrf(*lists: DataFrame, k: int = 50, rrf_k: int = RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion: sum of 1 / (rrf_k + rank)."""
-    ranked = reduce(DataFrame.unionByName, [r.select("query_id", "doc_id", "rank") for r in lists])
-    return top_k(
-        ranked.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (F.col("rank") + rrf_k)).alias("score")), k
+    """Reciprocal-rank fusion: sum of 1 / (rrf_k + rank).
+
+    raw_score is the score before fusion; where several lists hold a document the last list's copy wins.
+    """
+    ranked = reduce(
+        DataFrame.unionByName,
+        [r.select("query_id", "doc_id", "rank", F.struct(F.lit(i).alias("i"), "score").alias("raw")) for i, r in enumerate(lists)],
     )
+    fused = ranked.groupBy("query_id", "doc_id").agg(
+        F.sum(1.0 / (F.col("rank") + rrf_k)).alias("score"), F.max("raw").alias("raw")
+    )
+    return top_k(fused, k).withColumn("raw_score", F.col("raw.score")).drop("raw")
 
 
 def best_per_doc(hits: DataFrame) -> DataFrame:
@@ -25,17 +32,6 @@ def best_per_doc(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
-def hydrate(fused: DataFrame, lexical: DataFrame, vector: DataFrame) -> DataFrame:
-    """Raw score behind a fused hit; the vector list wins over the lexical one."""
-    keys = ["query_id", "doc_id"]
-    return (
-        fused.join(vector.select(*keys, F.col("score").alias("_v")), keys, "left")
-        .join(lexical.select(*keys, F.col("score").alias("_l")), keys, "left")
-        .withColumn("raw_score", F.coalesce("_v", "_l"))
-        .drop("_v", "_l")
-    )
-
-
 def dedupe_docs(hits: DataFrame) -> DataFrame:
     """First sighting of each document in list order (position), then renumbered by score."""
     first = Window.partitionBy("query_id", "doc_id").orderBy("position")

@@ -70,9 +70,15 @@ def bm25_units(units: DataFrame, queries: DataFrame, text: str = "unit_text", ex
         # Beyond the bound the join is left to the planner: a shuffle join whose skewed terms AQE splits.
         return F.broadcast(df) if small else df
 
-    vocabulary = terms.select("term").distinct()
+    # One pass over the corpus serves scores, document frequencies and collection statistics: besides its query terms
+    # every section sends one marker row, the empty term, that carries its length.  The three uses share one shuffle.
+    vocabulary = terms.select("term").distinct().union(terms.sparkSession.range(1).select(F.lit("").alias("term")))
     tokens = units.select("doc_id", "unit_no", *keep, X.index_tokens(F.col(text)).alias("toks")).select(
-        "doc_id", "unit_no", *keep, F.size("toks").alias("unit_len"), F.explode("toks").alias("term")
+        "doc_id",
+        "unit_no",
+        *keep,
+        F.size("toks").alias("unit_len"),
+        F.explode(F.when(F.size("toks") > 0, F.array_append("toks", F.lit("")))).alias("term"),
     )
     found = (
         tokens.join(send(vocabulary), "term", "left_semi")
@@ -80,10 +86,13 @@ def bm25_units(units: DataFrame, queries: DataFrame, text: str = "unit_text", ex
         .groupBy("doc_id", "unit_no", *keep, "unit_len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    stats = corpus_stats(units, text)  # one row
+    marker = F.col("term") == ""
+    stats = found.agg(
+        F.count_if(marker).alias("n_units"), F.avg(F.when(marker, F.col("unit_len"))).alias("avg_len")
+    )  # one row
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = (
-        terms.join(df, "term")
+        terms.join(send(df), "term")
         .crossJoin(F.broadcast(stats))
         .select(
             "query_id",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import text as X
 from quaestor.operators import ranking
+from quaestor.session import settle
 
 Embedder = Callable[[list[str]], np.ndarray]
 PairScorer = Callable[[list[str], list[str]], np.ndarray]
@@ -89,11 +90,14 @@ def rerank(hits: DataFrame, scorer: PairScorer | None = None, top_k: int = 8, mi
 
     hits: query_id, query, doc_id, rank, title, text.
     """
+    hits = settle(hits)
     scored = score_pairs(hits, scorer).withColumn(
         "score", F.round(F.col("pair_score") + X.score_hints(F.col("text"), F.col("title")), 6)
     )
-    kept = ranking.rerank_select(
-        scored.select("query_id", "doc_id", "score", (X.strip(F.col("text")) == "").alias("is_empty")), min_score, top_k
+    kept = settle(
+        ranking.rerank_select(
+            scored.select("query_id", "doc_id", "score", (X.strip(F.col("text")) == "").alias("is_empty")), min_score, top_k
+        )
     )
     sizes = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_kept"))
     collapsed = sizes.where("n_kept < 3").select("query_id")

@@ -11,6 +11,7 @@ from quaestor.plans.queries_rank import _scaled
 from quaestor.plans.queries_search import R_COLS, lex_hits
 from quaestor.plans.queries_text import decompose_sql, utility_case
 from quaestor.plans.registry import query
+from quaestor.session import settle
 from quaestor.sources import corpus as C
 
 
@@ -155,7 +156,7 @@ def time_decay(spark, folder):
 )
 def tfidf_pair(spark, folder):
     c, q = S.Collection.load(spark, folder), C.search_queries(spark, folder)
-    hits = S.lexical_search(c, q, 10)
+    hits = settle(S.lexical_search(c, q, 10))
     p = fusion.tfidf_pairs(hits, c.docs, q)
     return p.withColumn("similarity", F.round("similarity", 6))
 
@@ -190,7 +191,7 @@ O.cte(
 def candidates(spark, folder, k=20):
     c, f = fused(spark, folder)
     q = C.search_queries(spark, folder)
-    return S.diversity_candidates(c, q, f.where(F.col("rank") <= k).select(R_COLS))
+    return S.diversity_candidates(c, q, settle(f.where(F.col("rank") <= k).select(R_COLS)))
 
 
 @query(
@@ -294,7 +295,7 @@ _sec_no = O.lookup({k: i for i, k in enumerate(R.SECTION_ORDER)}, "section")
     ),
 )
 def briefing(spark, folder):
-    return evidence.briefing(C.search_queries(spark, folder), fused_docs(spark, folder))
+    return evidence.briefing(C.search_queries(spark, folder), settle(fused_docs(spark, folder)))
 
 
 @query(
@@ -369,7 +370,8 @@ O.cte(
 
 def matrix(spark, folder):
     h = lex_hits(spark, folder, 12, "text").select("query_id", "doc_id", "rank", "text")
-    return h, evaluate.answerability(evaluate.subqueries(C.search_queries(spark, folder)), h)
+    h = settle(h)
+    return h, settle(evaluate.answerability(evaluate.subqueries(C.search_queries(spark, folder)), h))
 
 
 @query("answerability", O.sql("SELECT query_id, subq_id, doc_id, rank, a FROM c_mat"))

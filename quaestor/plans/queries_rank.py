@@ -14,6 +14,7 @@ from quaestor.plans import search as S
 from quaestor.plans.queries_search import R_COLS, lex_hits
 from quaestor.plans.queries_text import excerpt_sql, hints_sql, thresholds
 from quaestor.plans.registry import query
+from quaestor.session import settle
 from quaestor.sources import corpus as C
 
 # --------------------------------------------------------------------------------------------------- filters
@@ -215,7 +216,7 @@ def drop_metadata_only(spark, folder):
 
 def _scaled(spark, folder):
     """Hits with scores brought to 0..1 by their query's best score, so that thresholds bite."""
-    h = lex_hits(spark, folder, 50, "idx", "title", "text", "page_url")
+    h = settle(lex_hits(spark, folder, 50, "idx", "title", "text", "page_url"))
     top = h.groupBy("query_id").agg(F.max("score").alias("top"))
     return h.join(top, "query_id").withColumn("score", F.round(F.col("score") / F.col("top"), 6)).drop("top")
 
@@ -397,7 +398,7 @@ def rerank(spark, folder):
 )
 def rerank_stats(spark, folder):
     h = scoring.score_pairs(lex_hits(spark, folder, 50, "text"))
-    h = h.select("query_id", "doc_id", F.round("pair_score", 6).alias("score"))
+    h = settle(h.select("query_id", "doc_id", F.round("pair_score", 6).alias("score")))
     st = ranking.rerank_stats(h, FL.first_ranked(h, 6))
     return st.withColumn("avg_score", F.round("avg_score", 6))
 
@@ -419,7 +420,7 @@ O.cte("c_sq2", "SELECT query_id, CASE WHEN query_id % 5 = 0 THEN 'define ' || qu
 )
 def rerank_policy(spark, folder):
     q = C.search_queries(spark, folder)
-    h = scoring.score_pairs(lex_hits(spark, folder, 50, "text")).withColumn("pair_score", F.round("pair_score", 6))
+    h = settle(scoring.score_pairs(lex_hits(spark, folder, 50, "text")).withColumn("pair_score", F.round("pair_score", 6)))
     asked = q.withColumn(
         "query", F.when(F.col("query_id") % 5 == 0, F.concat(F.lit("define "), F.col("query"))).otherwise(F.col("query"))
     )
@@ -466,7 +467,7 @@ O.cte(
 def recall_fallback(spark, folder):
     """Utility queries that find too little in one space are searched again without the filter, and merged."""
     c, q = S.Collection.load(spark, folder), C.search_queries(spark, folder)
-    narrow = S.lexical_search(c, q, 50, FL.Filters(space_key="de", content_type="guide", acl_hash="grp_3"))
+    narrow = settle(S.lexical_search(c, q, 50, FL.Filters(space_key="de", content_type="guide", acl_hash="grp_3")))
     utility = q.where(X.is_utility_query(F.col("query")))
     thin = ranking.thin_queries(narrow, 20).join(utility, "query_id", "left_semi").select("query_id")
     again = S.lexical_search(c, q.join(thin, "query_id", "left_semi"), 50)

@@ -13,6 +13,7 @@ from quaestor.plans import oracle as O
 from quaestor.plans import search as S
 from quaestor.plans.queries_search import R_COLS, lex_hits
 from quaestor.plans.registry import query
+from quaestor.session import settle
 from quaestor.sources import corpus as C
 
 # ------------------------------------------------------------------------------------------------ extraction
@@ -159,7 +160,7 @@ O.cte("c_conf", _hint_rows)
 
 
 def analysed(spark, folder):
-    v = views(spark, folder)
+    v = settle(views(spark, folder))
     a = SP.analysis_set(v).select("query_id", "doc_id", "rank")
     docs = C.corpus(spark, folder)
     return v, a.join(docs, "doc_id"), docs
@@ -191,7 +192,7 @@ def query_spans(spark, folder):
     v, p, docs = analysed(spark, folder)
     needed = docs.join(p.select("doc_id").distinct(), "doc_id", "left_semi")
     found = SP.spans_for_queries(p, SP.extract_spans(needed), SP.suite_confidence(p))
-    return v, p, SP.dedupe_spans(found)
+    return v, p, settle(SP.dedupe_spans(settle(found)))
 
 
 @query(

@@ -10,6 +10,7 @@ from quaestor.functions import rules as R
 from quaestor.functions import text as X
 from quaestor.operators import filters as FL
 from quaestor.operators import fusion, lexical, nearest, ranking
+from quaestor.session import settle
 from quaestor.sources import corpus as C
 
 
@@ -54,7 +55,7 @@ def hybrid_search(
     """Both lists are fetched 15 deeper than asked, then fused; raw_score keeps the score before fusion."""
     lex = lexical_search(c, queries, k + 15, filters)
     vec = vector_search(c, query_vectors, k + 15, filters)
-    return fusion.hydrate(fusion.rrf(lex, vec, k=k), lex, vec)
+    return fusion.rrf(lex, vec, k=k)
 
 
 def diversity_candidates(c: Collection, queries: DataFrame, fused: DataFrame) -> DataFrame:
@@ -79,16 +80,17 @@ def enhanced_search(
     min_score: float = 0.1,
 ) -> DataFrame:
     """Vector search, lexical search unless the vectors suffice, fusion, diversity, no-answer gate, compression."""
-    vec = nearest.knn(c.vectors, query_vectors, vector_k)
+    vec = settle(nearest.knn(c.vectors, query_vectors, vector_k))
     gate = ranking.skip_lexical_gate(vec).where("skip").select("query_id")
     lex = lexical.bm25(c.sections, queries.join(gate, "query_id", "left_anti"), lexical_k)
     depth = 36 if use_mmr else k
-    fused = fusion.rrf(lex, vec, k=vector_k + lexical_k if use_mmr else k)
+    final = fusion.rrf(lex, vec, k=vector_k + lexical_k if use_mmr else k)
     if use_mmr:
-        chosen = fusion.mmr(diversity_candidates(c, queries, fused), k=depth).where("selected")
-        fused = fused.join(chosen.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-        fused = ranking_renumber(fused)
-    final = fusion.hydrate(fused, lex, vec)
+        final = settle(final)
+        chosen = fusion.mmr(diversity_candidates(c, queries, final), k=depth).where("selected")
+        final = final.join(chosen.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+        final = ranking_renumber(final)
+    final = settle(final)
     refused = FL.no_answer_gate(queries, final.withColumn("score", F.col("raw_score")), min_score).where(
         F.col("reason").isNotNull()
     )
@@ -181,7 +183,7 @@ def aspect_search(c: Collection, queries: DataFrame, query_vectors: DataFrame, k
     back = plan.select("query_id", "aspect", "strategy", "variant_no", variant_id.alias("vid")).distinct()
     lists = []
     lex_api = lexical_search(c.where(F.col("idx") == "api"), variants, depth)
-    lex_all = lexical_search(c, variants, depth)
+    lex_all = settle(lexical_search(c, variants, depth))
     vec = nearest.knn(c.vectors, query_vectors, depth)
     vec_all = (
         back.where("strategy = 'fusion'")
@@ -235,15 +237,17 @@ def search_views(c: Collection, queries: DataFrame, query_vectors: DataFrame, to
     Views share one retrieval; each adds its soft filter as a bonus.  Utility queries that come back thin are run
     again without filters and merged.
     """
-    fused = hybrid_search(c, queries, query_vectors, 36).select("query_id", "doc_id", "score", "rank")
+    fused = settle(hybrid_search(c, queries, query_vectors, 36).select("query_id", "doc_id", "score", "rank"))
     utility = queries.where(X.is_utility_query(F.col("query"))).select("query_id")
-    thin = ranking.thin_queries(fused, minimum).join(utility, "query_id", "left_semi").select("query_id")
+    thin = settle(ranking.thin_queries(fused, minimum).join(utility, "query_id", "left_semi").select("query_id"))
     again = hybrid_search(
         c, queries.join(thin, "query_id", "left_semi"), query_vectors.join(thin, "query_id", "left_semi"), 50
     ).select("query_id", "doc_id", "score", "rank")
     merged = fusion.merge_fallback(again, fused.join(thin, "query_id", "left_semi"))
-    hits = fused.join(thin, "query_id", "left_anti").unionByName(
-        merged.select("query_id", "doc_id", "score", F.col("position").alias("rank"))
+    hits = settle(
+        fused.join(thin, "query_id", "left_anti").unionByName(
+            merged.select("query_id", "doc_id", "score", F.col("position").alias("rank"))
+        )
     )
     parts = []
     for view in ("info", "procedure"):

@@ -31,6 +31,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write an intermediate result that is used several times to the shared folder and go on from there.
+
+    It is computed once, survives the loss of executors, and its known size lets the planner choose joins.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a table out over the cores when it comes in fewer pieces than there are cores.
 
