@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions import rules as R
+from quaestor.session import settle
 
 
 # ---------------------------------------------------------------------------------------------------- basics
@@ -369,24 +370,39 @@ def clip(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
-def lexical_relevance(terms: Column, found: Column) -> Column:
-    """Mean saturated term frequency of the distinct query tokens.
+def pair_relevance(
+    pairs: DataFrame, queries: DataFrame, docs: DataFrame, query_key: list[str], name: str = "relevance"
+) -> DataFrame:
+    """Add to (query, document) pairs the mean saturated term frequency of the distinct query tokens.
 
-    Both arguments are token arrays that were projected beforehand: inside the fold an expression would be
-    evaluated once per term.
+    pairs: query key, doc_id.  queries: query key, query.  docs: doc_id, text.  Texts are split once per document and
+    queries once per query; pairs meet them term by term, so neither side carries texts through a shuffle.
     """
-    tf = F.transform(terms, lambda t: F.size(F.filter(found, lambda x: x == t)).cast("double"))
-    score = F.aggregate(tf, F.lit(0.0), lambda acc, n: acc + n / (n + F.lit(1.2)))
-    return F.when((F.size(terms) > 0) & (F.size(found) > 0), score / F.size(terms)).otherwise(0.0)
+    terms = queries.select(*query_key, F.array_distinct(tokens(F.col("query"))).alias("_ts")).select(
+        *query_key, F.size("_ts").alias("_n"), F.explode("_ts").alias("_t")
+    )
+    found = (
+        docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("_t"))
+        .groupBy("doc_id", "_t")
+        .agg(F.count(F.lit(1)).cast("double").alias("_tf"))
+    )
+    keys = [*query_key, "doc_id"]
+    scored = (
+        pairs.select(*keys)
+        .join(terms, query_key)
+        .join(found, ["doc_id", "_t"])
+        .groupBy(*keys)
+        .agg(F.sum(F.col("_tf") / (F.col("_tf") + 1.2) / F.col("_n")).alias("_r"))
+    )
+    return pairs.join(scored, keys, "left").withColumn(name, F.coalesce("_r", F.lit(0.0))).drop("_r")
 
 
-def with_relevance(df: DataFrame, query: str = "query", text: str = "text", name: str = "relevance") -> DataFrame:
-    return (
-        df.withColumn("_terms", F.array_distinct(tokens(F.col(query))))
-        .withColumn("_found", tokens(F.col(text)))
-        .withColumn(name, lexical_relevance(F.col("_terms"), F.col("_found")))
-        .drop("_terms", "_found")
-    )
+def with_relevance(hits: DataFrame, text: str = "text", name: str = "relevance") -> DataFrame:
+    """Relevance of a hit list that carries query_id, query, doc_id and the text."""
+    hits = settle(hits, "hits")
+    queries = hits.select("query_id", "query").dropDuplicates(["query_id"])
+    docs = hits.select("doc_id", F.col(text).alias("text")).dropDuplicates(["doc_id"])
+    return pair_relevance(hits, queries, docs, ["query_id"], name)
 
 
 def citations(text: Column) -> Column:

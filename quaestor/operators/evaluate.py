@@ -24,12 +24,16 @@ def answerability(subqs: DataFrame, passages: DataFrame, scored: bool = True) ->
     passages: query_id, doc_id, rank, text.  The pair score is the lexical relevance unless a column pair_score is
     supplied by a model; without any scorer only the action features count.
     """
-    p = passages.withColumn("_w", X.action_weight(F.col("text"))).withColumn("_found", X.tokens(F.col("text")))
-    s = subqs.withColumn("_terms", F.array_distinct(X.tokens(F.col("subquery"))))
-    pairs = s.join(p, "query_id")  # at most six subqueries times the bounded hit list of one query
+    # at most six subqueries times the bounded hit list of one query
+    p = passages.select("query_id", "doc_id", "rank")
+    pairs = subqs.select("query_id", "subq_id").join(p, "query_id")
+    docs = passages.select("doc_id", "text").dropDuplicates(["doc_id"])
     if scored:
-        ce = F.greatest(F.lit(0.0), F.least(F.lit(1.0), X.lexical_relevance(F.col("_terms"), F.col("_found"))))
-        a = sigmoid(ce + F.col("_w"))
+        queries = subqs.select("query_id", "subq_id", F.col("subquery").alias("query"))
+        pairs = X.pair_relevance(pairs, queries, docs, ["query_id", "subq_id"], "_ce")
+    pairs = pairs.join(docs.select("doc_id", X.action_weight(F.col("text")).alias("_w")), "doc_id")
+    if scored:
+        a = sigmoid(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_ce"))) + F.col("_w"))
     else:
         a = sigmoid(F.col("_w") * 0.5)
     return pairs.select("query_id", "subq_id", "doc_id", "rank", F.round(a, 6).alias("a"))

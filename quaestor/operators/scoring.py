@@ -65,7 +65,7 @@ def embed_texts(
 
 
 def score_pairs(pairs: DataFrame, scorer: PairScorer | None = None) -> DataFrame:
-    """Add pair_score to query, text rows; the default is the lexical relevance as column expressions."""
+    """Add pair_score to query_id, query, doc_id, text rows; the default is the lexical relevance, without Python."""
     if scorer is None:
         return X.with_relevance(pairs, name="pair_score")
 

@@ -63,7 +63,7 @@ def diversity_candidates(c: Collection, queries: DataFrame, fused: DataFrame) ->
     needed = c.docs.join(fused.select("doc_id").distinct(), "doc_id", "left_semi")
     terms = fusion.term_vectors(needed)
     joined = fused.join(queries, "query_id").join(needed.select("doc_id", "title", "text"), "doc_id")
-    scored = X.with_relevance(joined.withColumn("_t", F.concat_ws(" ", "title", "text")), text="_t")
+    scored = X.with_relevance(joined.withColumn("both", F.concat_ws(" ", "title", "text")), text="both")
     return scored.select("query_id", "doc_id", "rank", "score", "relevance").join(terms, "doc_id", "left").withColumn(
         "terms", F.coalesce("terms", F.create_map().cast("map<string,int>"))
     )

@@ -38,7 +38,9 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    size = int(str(back._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return spread(back) if size > 1 << 20 else back
 
 
 def spread(df: DataFrame) -> DataFrame:
