@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quaestor.functions import rules as R
 from quaestor.operators import quality
-from quaestor.session import ROCKSDB, shared_dir
+from quaestor.session import ROCKSDB, settle, shared_dir
 from quaestor.sources.corpus import telemetry_columns
 
 GAP = "30 minutes"
@@ -290,32 +290,74 @@ def _ttl_step(ttl_us: int):
     return step
 
 
-def ttl_cache(events: DataFrame, key: str = "user_id", ttl_s: int = 600) -> DataFrame:
+def ttl_cache(events: DataFrame, key: str = "user_id", ttl_s: int = 600, hot: int = 1_000_000) -> DataFrame:
     """key, hits, misses of a cache whose entries expire a fixed time after insertion.
 
-    Expiry restarts whenever two uses lie a whole TTL apart, whatever happened before, so a key's history splits into
-    independent runs at those gaps.  Only a run, not a key, is folded in order.  Long runs are cut further by day:
-    the open insertion time of each day piece is carried into the next one for the few keys that need it.
+    The uses of a key are folded in time order.  Keys with more uses than hot are not folded in one place but followed
+    along their chain of insertions, see _ttl_chains; both ways give the same counts.
     """
     ttl_us = ttl_s * 1_000_000
-    t = F.unix_micros("ts")
-    e = events.select(F.col(key).alias("key"), t.alias("t")).withColumn("_bucket", F.floor(F.col("t") / 86_400_000_000))
-    daily = e.groupBy("key", "_bucket").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    edges = daily.select("key", "_bucket", F.array_min("ts").alias("lo"), F.array_max("ts").alias("hi"))
-    # a day piece is independent when its first use is a TTL or more after the last use of the day before
-    w = Window.partitionBy("key").orderBy("_bucket")
-    chained = F.coalesce(F.col("lo") - F.lag("hi").over(w) < ttl_us, F.lit(False))
-    marks = edges.withColumn("_run", F.sum((~chained).cast("int")).over(w)).select("key", "_bucket", "_run")
-    runs = (
-        daily.join(marks, ["key", "_bucket"])
-        .groupBy("key", "_run")
-        .agg(F.array_sort(F.flatten(F.collect_list("ts"))).alias("ts"))
-    )
+    e = events.select(F.col(key).alias("key"), F.unix_micros("ts").alias("t"))
+    sizes = e.groupBy("key").agg(F.count(F.lit(1)).alias("total"))
+    busy = settle(sizes.where(F.col("total") > hot), "busy-keys")
     zero = F.struct(
         F.lit(None).cast("long").alias("inserted"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("misses")
     )
-    folded = runs.select("key", F.aggregate("ts", zero, _ttl_step(ttl_us)).alias("c"))
-    return folded.groupBy("key").agg(F.sum("c.hits").alias("hits"), F.sum("c.misses").alias("misses"))
+    folded = (
+        e.join(busy, "key", "left_anti")
+        .groupBy("key")
+        .agg(F.array_sort(F.collect_list("t")).alias("ts"))
+        .select("key", F.aggregate("ts", zero, _ttl_step(ttl_us)).alias("c"))
+        .select("key", "c.hits", "c.misses")
+    )
+    if busy.isEmpty():
+        return folded
+    misses = _ttl_chains(e.join(busy, "key", "left_semi").distinct(), ttl_us).groupBy("key").agg(
+        F.count(F.lit(1)).alias("misses")
+    )
+    chained = busy.join(misses, "key").select("key", (F.col("total") - F.col("misses")).alias("hits"), "misses")
+    return folded.unionByName(chained)
+
+
+def _ttl_chains(uses: DataFrame, ttl_us: int) -> DataFrame:
+    """(key, t) of every insertion: the first use, then each time the first use a TTL or more after the last one.
+
+    The successor of a use lies in the TTL-wide slot of its expiry or is the first use of a later slot, so successors
+    are found slot by slot.  The chain from the first use is then marked in rounds that double their reach; a round is
+    an equality join on (key, t), which no busy key can unbalance.
+    """
+    slot = F.floor(F.col("at") / ttl_us)
+    marks = uses.select("key", F.col("t").alias("at"), F.col("t").alias("use"), F.lit(None).cast("long").alias("owner")).unionByName(
+        uses.select("key", (F.col("t") + ttl_us).alias("at"), F.lit(None).cast("long").alias("use"), F.col("t").alias("owner"))
+    )
+    marks = marks.withColumn("slot", slot)
+    # newest first; a use at the very moment of expiry counts, so uses come before expiries
+    ahead = Window.partitionBy("key", "slot").orderBy(F.desc("at"), F.col("use").isNull()).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    later = Window.partitionBy("key").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = marks.groupBy("key", "slot").agg(F.min("use").alias("first")).withColumn("later", F.min("first").over(later))
+    step = (
+        marks.withColumn("here", F.min("use").over(ahead))
+        .where(F.col("owner").isNotNull())
+        .join(firsts.select("key", "slot", "later"), ["key", "slot"])
+        .select("key", F.col("owner").alias("t"), F.coalesce("here", "later").alias("next"))
+        .where(F.col("next").isNotNull())
+    )
+    step = settle(step, "ttl-step")
+    reached = settle(uses.groupBy("key").agg(F.min("t").alias("t")), "ttl-reached")
+    while True:
+        more = reached.join(step, ["key", "t"]).select("key", F.col("next").alias("t"))
+        grown = settle(reached.unionByName(more).distinct(), "ttl-reached")
+        step = settle(
+            step.join(step.select("key", F.col("t").alias("next"), F.col("next").alias("after")), ["key", "next"]).select(
+                "key", "t", F.col("after").alias("next")
+            ),
+            "ttl-step",
+        )
+        reached = grown
+        if step.isEmpty():
+            return reached
 
 
 class TtlCache(StatefulProcessor):
