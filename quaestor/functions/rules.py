@@ -9,6 +9,9 @@ order, because several operators are order-sensitive (first match wins).
 # separators.  Both classes are written so that Java and RE2 read them the same way.
 TOKEN = r"[\p{L}\p{N}_]+"
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
+# The same white space as single characters.
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+SPACE_CHARS += "\u2028\u2029\u202f\u205f\u3000"
 
 # The 33 English stop words of the standard Lucene analyser.
 STOP_WORDS = (

@@ -33,7 +33,11 @@ def collapse(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{R.SPACE}|{R.SPACE}$", "")
+    return F.btrim(c, F.lit(R.SPACE_CHARS))
+
+
+def is_blank(c: Column) -> Column:
+    return strip(c) == ""
 
 
 def words(c: Column) -> Column:
