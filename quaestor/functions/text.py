@@ -36,10 +36,6 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(R.SPACE_CHARS))
 
 
-def is_blank(c: Column) -> Column:
-    return strip(c) == ""
-
-
 def words(c: Column) -> Column:
     """White-space words; an empty text has none."""
     return F.filter(F.split(c, R.SPACE), lambda w: w != "")

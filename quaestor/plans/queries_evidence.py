@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import rules as R
 from quaestor.functions import text as X
-from quaestor.operators import evaluate, evidence, fusion, nearest, quality
+from quaestor.operators import evaluate, evidence, fusion
 from quaestor.plans import oracle as O
 from quaestor.plans import search as S
 from quaestor.plans.queries_rank import _scaled
 from quaestor.plans.queries_search import R_COLS, lex_hits
-from quaestor.plans.queries_text import decompose_sql, utility_case
+from quaestor.plans.queries_text import decompose_sql, relevance_sql
 from quaestor.plans.registry import query
 from quaestor.session import settle
 from quaestor.sources import corpus as C
@@ -206,8 +206,6 @@ def pair_similarity(spark, folder):
     return fusion.nearest_better(candidates(spark, folder))
 
 
-from quaestor.plans.queries_text import relevance_sql  # noqa: E402
-
 O.cte("c_candrel", relevance_sql("c_cand").replace("round(coalesce(", "(coalesce(").replace(", 0), 6) AS relevance", ", 0)) AS relevance"))
 O.cte(
     "c_steps",
@@ -313,15 +311,12 @@ def _list_line(kind, value, no):
     return f"""CASE WHEN {kind} = 'apis' THEN {no} || '. ' ELSE {O.lookup(R.LIST_PREFIXES, kind, "'- '")} END || {value} || chr(10)"""
 
 
-def _nl(d):
-    return {k: v for k, v in d.items()}
-
 
 @query(
     "list_answer",
     O.sql(
-        f"""SELECT list_type, {O.lookup(_nl(R.LIST_HEADINGS), "list_type", "'Available ' || list_type || ':' || chr(10) || chr(10)")}
-        || string_agg({_list_line("list_type", "v", "n")}, '' ORDER BY v) || {O.lookup(_nl(R.LIST_FOLLOW_UPS), "list_type", "''")}
+        f"""SELECT list_type, {O.lookup(R.LIST_HEADINGS, "list_type", "'Available ' || list_type || ':' || chr(10) || chr(10)")}
+        || string_agg({_list_line("list_type", "v", "n")}, '' ORDER BY v) || {O.lookup(R.LIST_FOLLOW_UPS, "list_type", "''")}
         AS answer FROM (SELECT list_type, v, row_number() OVER (PARTITION BY list_type ORDER BY v) AS n FROM (
         SELECT DISTINCT 'apis' AS list_type, 'API ' || content_type AS v FROM c_corpus UNION
         SELECT DISTINCT 'utilities', utility_name FROM c_corpus WHERE utility_name IS NOT NULL UNION

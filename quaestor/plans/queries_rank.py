@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import rules as R
 from quaestor.functions import text as X
-from quaestor.operators import evidence, fusion, lexical, nearest, passages, quality, ranking, scoring
+from quaestor.operators import evidence, fusion, nearest, passages, quality, ranking, scoring
 from quaestor.operators import filters as FL
 from quaestor.plans import oracle as O
 from quaestor.plans import search as S
 from quaestor.plans.queries_search import R_COLS, lex_hits
-from quaestor.plans.queries_text import excerpt_sql, hints_sql, thresholds
+from quaestor.plans.queries_text import hints_sql
 from quaestor.plans.registry import query
 from quaestor.session import settle
 from quaestor.sources import corpus as C
@@ -72,9 +72,6 @@ def filter_nested_any(spark, folder):
     return FL.any_section(C.corpus(spark, folder), "teams channel").select("doc_id", "title")
 
 
-_intent = O.lookup({"list": "confluence", "procedure": "confluence", "api": "swagger"}, "route", "'other'")
-
-
 @query(
     "intent_filters",
     O.sql(
@@ -163,10 +160,6 @@ def filter_pinning(spark, folder):
     return FL.pin_first(t).join(n, "req_id")
 
 
-_iso = """CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%d')
-    WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 3 THEN 'not a date' ELSE strftime(ts, '%Y-13-%d') END"""
-
-
 @query(
     "parse_ts",
     f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')

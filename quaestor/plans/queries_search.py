@@ -1,14 +1,10 @@
 """Registered queries: retrieval and fusion."""
 
-from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.functions import text as X
 from quaestor.functions import vectors as V
-from quaestor.operators import filters as FL
-from quaestor.operators import fusion, lexical, nearest, quality, ranking, scoring
+from quaestor.operators import fusion, lexical, nearest
 from quaestor.plans import oracle as O
 from quaestor.plans import search as S
 from quaestor.plans.registry import query

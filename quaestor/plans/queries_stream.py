@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from quaestor.functions import rules as R
 from quaestor.operators import quality
 from quaestor.plans import oracle as O
 from quaestor.plans.registry import query
