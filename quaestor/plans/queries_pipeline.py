@@ -6,6 +6,7 @@ from quaestor.functions import rules as R
 from quaestor.operators import evidence, lexical, scoring
 from quaestor.plans import oracle as O
 from quaestor.plans import search as S
+from quaestor.plans.queries_text import utility_case
 from quaestor.plans.registry import query
 from quaestor.session import shared_dir
 from quaestor.sources import corpus as C
@@ -52,7 +53,33 @@ def adaptive_search(spark, folder):
     return S.adaptive_search(*inputs(spark, folder))
 
 
-@query("two_pass_search")
+# the anchored pass searches for the query with the name of its utility appended, among that utility's documents
+O.cte("c_named", f"SELECT query_id, query, {utility_case('lower(query)', O.plain('lower(query)'))} AS utility FROM c_sq")
+O.cte("c_aq", "SELECT query_id, query || ' ' || utility AS query, utility FROM c_named WHERE utility IS NOT NULL")
+_clauses = " UNION ALL ".join(
+    f"SELECT query_id, {O.s(a + x)} AS text, {b} AS boost FROM c_aq WHERE contains(lower(query), {O.s(n.lower())})"
+    for n, a in R.CLAUSE_UTILITIES
+    for x, b in R.CLAUSE_BOOSTS
+)
+O.bm25_ctes("c_an", "c_units", "c_aq", False)
+O.CTES["c_an_qt"] = O.CTES["c_an_qt"].replace("boost FROM c_aq)", f"boost FROM c_aq UNION ALL {_clauses})")
+_own = """(SELECT p.query_id, p.doc_id, max(p.score) AS score FROM c_an_pu p JOIN c_corpus d ON d.doc_id = p.doc_id
+    JOIN c_aq a ON a.query_id = p.query_id WHERE d.utility_name = a.utility GROUP BY ALL)"""
+_typed = """SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, content_type ORDER BY score DESC,
+    doc_id) AS n FROM (SELECT query_id, doc_id, round(score, 6) AS score, content_type FROM c_bd JOIN c_corpus USING (doc_id)
+    WHERE content_type IN ('confluence', 'swagger') AND query_id IN (SELECT query_id FROM c_aq))) WHERE n <= 7"""
+
+
+@query(
+    "two_pass_search",
+    O.sql(
+        f"""SELECT query_id, doc_id, weighted, anchored, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
+        weighted DESC, anchored DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(least(score * 1.5, 0.95), 9) AS weighted,
+        CAST(1 AS BIGINT) AS anchored FROM ({O.ranked(_own, 15)}) UNION ALL SELECT query_id, doc_id, score, 0 FROM c_bm25
+        WHERE rank <= 20 AND query_id NOT IN (SELECT query_id FROM c_aq) UNION ALL SELECT query_id, doc_id, score, 0
+        FROM ({_typed}))) WHERE rank <= 50"""
+    ),
+)
 def two_pass_search(spark, folder):
     c, q, _ = inputs(spark, folder)
     return S.two_pass_search(c, q).select("query_id", "doc_id", "weighted", "anchored", "rank")
