@@ -61,12 +61,12 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES, every: int =
     """Code ids (uint32).  Id number s * lanes + k of a block is step s of lane k; all blocks advance together."""
     n = len(ids)
     symbols, freqs = frequencies(ids)
-    place = np.zeros(int(symbols[-1]) + 1, np.int64)
+    place = np.zeros(int(symbols[-1]) + 1, np.int32)
     place[symbols] = np.arange(len(symbols))
     freq = freqs.astype(np.float64)
     start = np.concatenate([[0.0], np.cumsum(freq)[:-1]])
     blocks, steps, spans = _shape(n, block, lanes, every)
-    index = np.zeros(blocks * steps * lanes, np.int64)
+    index = np.zeros(blocks * steps * lanes, np.int32)
     index[:n] = place[ids]
     index = np.ascontiguousarray(index.reshape(blocks, steps, lanes).swapaxes(0, 1))
     last = n - (blocks - 1) * steps * lanes  # ids in the last block; its missing ids are not coded
@@ -210,8 +210,8 @@ _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split(" ") for c in SCHEMA.split(", "))])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary, 4 bytes each)."""
+def _documents(spark: SparkSession, path: str, name: str, kind: str, value) -> DataFrame:
+    """doc_id, start, n_tokens and, under name, value(ids as bytes) of every document of the files."""
     files = spark.read.schema(SCHEMA).parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # one row per partition of the writer: a few numbers, however large the corpus
@@ -230,13 +230,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=np.frombuffer(row["doc_nulls"], bool)),
                         pa.array(first[:-1] + row["first_id"], pa.int64()),
                         pa.array(lengths, pa.int64()),
-                        pa.array([bytes(raw[4 * a : 4 * b]) for a, b in zip(first[:-1], first[1:])], pa.binary()),
+                        pa.array([value(raw[4 * a : 4 * b]) for a, b in zip(first[:-1], first[1:])], _KINDS[kind]),
                     ],
-                    ["part", "doc_id", "start", "n_tokens", "ids"],
+                    ["part", "doc_id", "start", "n_tokens", name],
                 )
 
-    docs = files.mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids binary")
-    return docs.join(bases, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
+    docs = files.mapInArrow(run, f"part int, doc_id long, start long, n_tokens long, {name} {kind}")
+    return docs.join(bases, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", name)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary, 4 bytes each)."""
+    return _documents(spark, path, "ids", "binary", bytes)
+
+
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """As read(), with the crc32 of the decoded ids in their place: no ids leave the task that decodes them."""
+    return _documents(spark, path, "ids_crc32", "long", zlib.crc32)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
@@ -244,4 +254,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFra
     spark = docs.sparkSession
     path = shared_folder(spark, "token-ids")
     write(docs, path, read_tokenizer(tokenizer_path), end_id)
-    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_checksums(spark, path)

@@ -15,7 +15,7 @@ MASK = (1 << 64) - 1
 PRIME = 0x9E3779B97F4A7C15
 INVERSE = pow(PRIME, -1, 1 << 64)
 #: Bytes of text hashed at a time; a longer document is hashed alone.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from quaestor.llm.common import INVERSE, PRIME, mix, powers, stretches
 
 #: Pieces remembered per worker; a full memory starts anew (results do not depend on it).
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 _encoders: dict[int, "Encoder"] = {}
 
 
