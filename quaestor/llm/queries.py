@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import ans, packing, piece_bpe
+from quaestor.llm import ans, backoff_lm, jaccard_join, langid, packing, piece_bpe, toxicity
+from quaestor.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +43,33 @@ def op8_piece_bpe(spark, folder):
 @query
 def op9_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
+@query
+def op7_backoff_lm(spark, folder):
+    return backoff_lm.score(table(spark, folder, "documents")).withColumn("score", F.round("score", 6))
+
+
+ORACLES["op7_backoff_lm"] = backoff_lm.ORACLE
+
+
+@query
+def op6_jaccard_join(spark, folder):
+    return jaccard_join.join(table(spark, folder, "documents"))
+
+
+@query
+def op5_language_id(spark, folder):
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    held_out = crc_mod(F.col("id"), 3) == 1
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    held_out = crc_mod(F.col("id"), 5) == 0
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
