@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import ans, backoff_lm, jaccard_join, langid, packing, piece_bpe, toxicity
+from quaestor.llm import ans, backoff_lm, cws, jaccard_join, langid, packing, piece_bpe, toxicity
 from quaestor.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op10_toxicity(spark, folder):
     held_out = crc_mod(F.col("id"), 5) == 0
     model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
     return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_cws(spark, folder):
+    return cws.fingerprints(table(spark, folder, "documents"))
