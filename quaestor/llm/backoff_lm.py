@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quaestor.llm.common import PRIME, grams, in_batches, mix, texts, word_hashes
-from quaestor.llm.counting import distinct, with_totals, words_in
+from quaestor.llm.counting import distinct, to_keys, with_totals, words_in
 
 ORDER = 3
 BACKOFF = 0.4
@@ -35,7 +35,7 @@ def exploded(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]
                 out = np.zeros(len(hashes), np.uint64)
                 if len(hashes) >= n:
                     same = row[n - 1 :] == row[: len(row) - n + 1]
-                    out[n - 1 :] = np.where(same, np.maximum(mix(grams(hashes, n) + np.uint64(n)), np.uint64(1)), np.uint64(0))
+                    out[n - 1 :] = np.where(same, np.maximum(to_keys(mix(grams(hashes, n) + np.uint64(n))), np.uint64(1)), np.uint64(0))
                 parts[n - 1].append(out)
     if not rows:
         return np.zeros(0, np.int64), [np.zeros(0, np.uint64)] * ORDER, np.zeros(table.num_rows, np.int64)
@@ -97,8 +97,8 @@ def _score(table: pa.Table, totals: np.ndarray) -> pa.Table:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, words scored at each order, and the mean log10 score per word."""
-    batched = in_batches(texts(docs), BATCH_BYTES)
-    return with_totals(batched, _keys, _score, SCHEMA, 2 * words_in(batched))
+    rows = texts(docs)
+    return with_totals(in_batches(rows, BATCH_BYTES), _keys, _score, SCHEMA, 2 * words_in(rows))
 
 
 ORACLE = r"""

@@ -8,6 +8,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,10 +67,43 @@ def in_order(rows: DataFrame, part_bytes: int) -> DataFrame:
 
 
 def in_batches(rows: DataFrame, batch_bytes: int) -> DataFrame:
-    """Rows with a batch number: a pure function of the row, so every pass over the table forms the same batches."""
-    _, size = text_size(rows)
-    n = max(math.ceil(size / batch_bytes), 2 * shuffle_partitions(rows.sparkSession))
-    return rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    """Rows packed into batches of about batch_bytes of text: one compressed row (batch, payload) each.
+
+    A batch is a stretch of an input partition, so it is the same whenever it is computed again.
+    """
+
+    def run(batches):
+        part, number, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+        for batch in batches:
+            sizes = np.diff(np.frombuffer(batch.column("text").cast(pa.large_string()).buffers()[1], np.int64, batch.num_rows + 1))
+            at = 0
+            while at < batch.num_rows:
+                take = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), batch_bytes - size, side="right")))
+                piece = batch.slice(at, take)
+                held.append(piece)
+                size += int(sizes[at : at + take].sum())
+                at += take
+                if size >= batch_bytes or at < batch.num_rows:
+                    yield _packed(part << 32 | number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield _packed(part << 32 | number, held)
+
+    return rows.select("id", "text").mapInArrow(run, "batch long, payload binary")
+
+
+def _packed(batch: int, pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    whole = pa.Table.from_batches(pieces).combine_chunks()
+    with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_table(whole)
+    payload = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), payload], ["batch", "payload"])
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """id and text of a batch."""
+    return pa.concat_tables([pa.ipc.open_stream(raw).read_all() for raw in table.column("payload").to_pylist()]).combine_chunks()
 
 
 def crc_mod(id_col: Column, n: int) -> Column:

@@ -13,23 +13,31 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quaestor.llm.common import shuffle_partitions
+from quaestor.llm.common import shuffle_partitions, text_size, unpacked
 
 BUCKET_KEYS = 2_000_000
-ASKED = "batch int, bucket int, keys binary, counts binary"
+ASKED = "batch long, bucket int, keys binary, counts binary"
+
+
+#: Keys are the upper 56 bits of a uniform hash: a corpus of 10 ** 13 n-grams confuses one in ten thousand.
+KEY_BITS = 56
+
+
+def to_keys(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - KEY_BITS)
 
 
 def _narrow(a: np.ndarray) -> bytes:
-    """Non-negative integers with the fewest bytes that hold them; the first byte tells the width."""
+    """Non-negative integers, compressed; the first byte tells their width."""
     width = next(w for w in (1, 2, 4, 8) if w == 8 or int(a.max(initial=0)) < 1 << 8 * w)
-    return bytes([width]) + a.astype(f"<u{width}").tobytes()
+    return bytes([width]) + zstandard.compress(a.astype(f"<u{width}").tobytes(), 1)
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(zstandard.decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -49,7 +57,7 @@ def unpack_keys(raw: bytes) -> np.ndarray:
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    return ((keys >> np.uint64(KEY_BITS - 24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
 def asked(batch: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
@@ -58,7 +66,7 @@ def asked(batch: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.
     full = np.flatnonzero(np.diff(cut))
     return pa.table(
         {
-            "batch": pa.array(np.full(len(full), batch), pa.int32()),
+            "batch": pa.array(np.full(len(full), batch), pa.int64()),
             "bucket": pa.array(full, pa.int32()),
             "keys": pa.array([pack_keys(keys[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
             "counts": pa.array([_narrow(counts[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
@@ -90,7 +98,7 @@ def with_totals(
     schema: str,
     keys_in_all: int,
 ) -> DataFrame:
-    """finish(rows of a batch, totals of its keys over all batches), for every batch.
+    """finish(rows of a batch, totals of its keys over all batches), for every batch from in_batches().
 
     keys_of gives a batch's distinct ascending keys and its counts; finish finds the totals in the same order.
     keys_in_all: about how many keys the batches send together; sets the number of buckets.
@@ -98,14 +106,14 @@ def with_totals(
     buckets = min(1 << 23, max(math.ceil(keys_in_all / BUCKET_KEYS), 2 * shuffle_partitions(batched.sparkSession)))
 
     def ask(table: pa.Table) -> pa.Table:
-        keys, counts = keys_of(table)
+        keys, counts = keys_of(unpacked(table))
         return asked(table.column("batch")[0].as_py(), keys, counts, buckets)
 
     def use(docs: pa.Table, answer: pa.Table) -> pa.Table:
-        return finish(docs, totals_of(answer))
+        return finish(unpacked(docs), totals_of(answer))
 
     requests = batched.groupBy("batch").applyInArrow(ask, ASKED)
-    answers = requests.groupBy("bucket").applyInArrow(_add_up, "batch int, bucket int, counts binary")
+    answers = requests.groupBy("bucket").applyInArrow(_add_up, "batch long, bucket int, counts binary")
     return batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(use, schema)
 
 
@@ -115,6 +123,6 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, counts.astype(np.int64)
 
 
-def words_in(batched: DataFrame) -> int:
+def words_in(rows: DataFrame) -> int:
     """About how many words the texts hold."""
-    return batched.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"] // 6
+    return text_size(rows)[1] // 6

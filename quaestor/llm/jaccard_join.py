@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.common import components, grams, in_batches, mix, texts, word_hashes, written
-from quaestor.llm.counting import with_totals, words_in
+from quaestor.llm.counting import distinct, to_keys, with_totals, words_in
 
 SHINGLE = 5
 #: Two sets link when DENOMINATOR * common >= NUMERATOR * union.
@@ -63,14 +63,13 @@ def shingles(table: pa.Table, width: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
 
 def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    found, counts = np.unique(shingles(table)[1], return_counts=True)
-    return found, counts
+    return distinct(to_keys(shingles(table)[1]))
 
 
 def _sets(table: pa.Table, totals: np.ndarray) -> pa.Table:
     """Per document: set size, a digest of the set, its shared shingles in global order, how many of these are frequent."""
     row, key = shingles(table)
-    _, code = np.unique(key, return_inverse=True)
+    _, code = np.unique(to_keys(key), return_inverse=True)
     df = totals[code] if len(code) else np.zeros(0, np.int64)
     order = np.lexsort((key, df, row))
     row, key, df = row[order], key[order], df[order]
@@ -236,8 +235,8 @@ def links(reps: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    batched = in_batches(texts(docs), BATCH_BYTES)
-    sets = written(with_totals(batched, _keys, _sets, SETS, words_in(batched)), "sets")
+    rows = texts(docs)
+    sets = written(with_totals(in_batches(rows, BATCH_BYTES), _keys, _sets, SETS, words_in(rows)), "sets")
     classes = sets.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"))
     # one set per id, should an id come with several texts
     chosen = classes.groupBy("rep").agg(F.min(F.struct("c1", "c2", "n")).alias("s")).select(F.col("rep").alias("id"), "s.*")
