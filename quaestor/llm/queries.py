@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import ans, backoff_lm, cws, jaccard_join, langid, packing, piece_bpe, toxicity
+from quaestor.llm import ans, backoff_lm, cover_tree, cws, jaccard_join, langid, packing, piece_bpe, toxicity
 from quaestor.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,11 @@ def op10_toxicity(spark, folder):
 @query
 def op4_cws(spark, folder):
     return cws.fingerprints(table(spark, folder, "documents"))
+
+
+@query
+def op3_cover_tree(spark, folder):
+    return cover_tree.near_duplicates(table(spark, folder, "embeddings"))
+
+
+ORACLES["op3_cover_tree"] = cover_tree.ORACLE
