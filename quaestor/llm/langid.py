@@ -18,8 +18,8 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 4000
@@ -135,22 +135,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 _models: dict[str, Model] = {}
 
 
-def predict(rows: DataFrame, model: Model) -> DataFrame:
-    """id, lang_pred, score of rows (id, text)."""
-    sent = rows.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams))  # of fixed size, see fit
+def predictor(spark: SparkSession, model: Model):
+    """A column function: text to struct(lang_pred, score)."""
+    sent = spark.sparkContext.broadcast((model.languages, model.words, model.grams))  # of fixed size, see fit
     name = os.urandom(8).hex()
 
-    def run(batches):
+    @F.pandas_udf("lang_pred string, score double")
+    def run(text: pd.Series) -> pd.DataFrame:
         if name not in _models:
             _models.clear()
             _models[name] = Model(*sent.value)
-        own = _models[name]
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                names, scores = own.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"]
-                )
-
-    return rows.select("id", "text").mapInArrow(run, "id long, lang_pred string, score double")
+        parts = [_models[name].predict(text.iloc[a : a + 500].tolist()) for a in range(0, len(text), 500)]
+        return pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
+
+    return run

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import ans, backoff_lm, cover_tree, cws, jaccard_join, langid, packing, piece_bpe, toxicity
+from quaestor.llm import ans, backoff_lm, cover_tree, cws, jaccard_join, langid, packing, piece_bpe, substring, toxicity
 from quaestor.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +63,8 @@ def op5_language_id(spark, folder):
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     held_out = crc_mod(F.col("id"), 3) == 1
     model = langid.fit(docs.where(~held_out))
-    return langid.predict(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+    found = docs.select("id", langid.predictor(spark, model)("text").alias("p"))
+    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "p.lang_pred", "p.score")
 
 
 @query
@@ -72,7 +73,8 @@ def op10_toxicity(spark, folder):
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "toxic")
     held_out = crc_mod(F.col("id"), 5) == 0
     model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
-    return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
+    found = docs.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), toxicity.scorer(spark, model)("text").alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 @query
@@ -86,3 +88,8 @@ def op3_cover_tree(spark, folder):
 
 
 ORACLES["op3_cover_tree"] = cover_tree.ORACLE
+
+
+@query
+def op1_substring(spark, folder):
+    return substring.passages(table(spark, folder, "documents"))

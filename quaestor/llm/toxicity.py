@@ -21,8 +21,9 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POSITIVES = 10_000
@@ -123,17 +124,12 @@ def fit(learnable: DataFrame, labels: DataFrame, positives: int = POSITIVES, unl
     return train(confirmed, _words(_sample(learnable, n_docs, unlabelled)), (known["p"] or 0) / max(known["n"], 1))
 
 
-def score(rows: DataFrame, model: Classifier) -> DataFrame:
-    """id, score, predicted of rows (id, text)."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size, see fit
+def scorer(spark: SparkSession, model: Classifier):
+    """A column function: text to the probability of the toxic class."""
+    sent = spark.sparkContext.broadcast(model)  # of fixed size, see fit
 
-    def run(batches):
-        own = sent.value
-        for batch in batches:
-            scores = own.score(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())],
-                ["id", "score", "predicted"],
-            )
+    @F.pandas_udf("double")
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.score(text.tolist()))
 
-    return rows.select("id", "text").mapInArrow(run, "id long, score double, predicted int")
+    return run
