@@ -8,9 +8,10 @@ frequent class: they are dealt into hash classes, a pair may miss one per class,
 classes it touches and combinations of two of a class are indexed; rare shingles are indexed alone.
 
 Candidates are settled without listing all pairs of a group.  Every member of an index entry is compared with the entry's
-pivot first.  Two members that both link with it are connected already; two others can only link if the most they may
-share, as known from what each shares with the pivot and what each has beside it, reaches the threshold, and only these
-are compared.  Large entries are cut into blocks, and pairs of blocks go to different tasks.
+pivot first: the member with the fewest shingles of its own, so the text the others were made from.  Two members of a
+pivot that both link with it are connected already; two others can only link if the most they may share, as known from
+what each shares with the pivot and what each has beside it, reaches the threshold, and only these are compared.  The
+members of a pivot are cut into blocks, and pairs of blocks go to different tasks.
 
 Nulls: a null text is empty; a document without words has n_shingles 0 and links with nothing.  Documents with equal sets
 link and are joined once, by one representative.  Rows that share an id are one document as far as links go (of several
@@ -32,7 +33,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 FREQUENT = 64
 BATCH_BYTES = 8 << 20
-BLOCK = 2048
+BLOCK = 256
 SETS = "id long, n int, c1 long, c2 long, shared binary, often int"
 
 
@@ -134,13 +135,15 @@ def signatures(n: int, shared: np.ndarray, often: int) -> np.ndarray:
 
 def _index(batches):
     for batch in batches:
-        ids, sigs = [], []
+        ids, sigs, alone = [], [], []
         for i, n, shared, often in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "shared", "often"))):
             found = signatures(n, np.frombuffer(shared, np.uint64), often) if shared else np.zeros(0, np.int64)
             ids.append(np.full(len(found), i))
             sigs.append(found)
+            alone.append(np.full(len(found), n - len(shared) // 8))
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs), pa.int64()), pa.array(np.concatenate(ids), pa.int64())], ["sig", "id"])
+            columns = zip((sigs, ids, alone), (pa.int64(), pa.int64(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in columns], ["sig", "id", "alone"])
 
 
 def _overlaps(batches):
@@ -169,7 +172,7 @@ def linked(both, nx, ny):
 
 
 def _open_pairs(table: pa.Table) -> pa.Table:
-    """Pairs across two blocks of one index entry that what is known of the entry's pivot does not settle."""
+    """Pairs across two blocks of one pivot's members that what they share with the pivot does not settle."""
     col = {c: table.column(c).to_numpy() for c in ("id", "n", "m", "both", "ok", "block", "a", "b")}
     left, right = col["block"] == col["a"], col["block"] == col["b"]
     pick = lambda side: {c: col[c][side] for c in ("id", "n", "m", "both", "ok")}
@@ -196,8 +199,11 @@ def _open_pairs(table: pa.Table) -> pa.Table:
 
 def links(reps: DataFrame) -> DataFrame:
     """a, b: links between representatives that connect exactly what all links connect.  reps: id, n, shared, often."""
-    index = written(reps.mapInArrow(_index, "sig long, id long").distinct(), "index")
-    entries = index.groupBy("sig").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    index = written(reps.mapInArrow(_index, "sig long, id long, alone int").distinct(), "index")
+    # the pivot has the fewest shingles of its own: the text the others were made from, where there is one
+    rank = F.col("alone") + F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    entries = index.groupBy("sig").agg(F.min_by("id", rank).alias("pivot"), F.count(F.lit(1)).alias("members"))
+    entries = written(entries.where("members > 1"), "entries")
     members = index.join(entries, "sig")
     sizes = reps.select("id", "n", (F.octet_length("shared") / 8).cast("int").alias("m"))
     stars = members.where("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct()
@@ -208,20 +214,22 @@ def links(reps: DataFrame) -> DataFrame:
         .select("x", "y", "nx", "m", "both", linked(F.col("both"), F.col("nx"), F.col("ny")).alias("ok"))
     )
     sized = written(sized, "sized")
-    # the rest of each entry: members that do not all link with the pivot
-    seen = members.where("members > 2 and id <> pivot").join(
-        sized.select(F.col("x").alias("id"), F.col("y").alias("pivot"), F.col("nx").alias("n"), "m", "both", "ok"), ["id", "pivot"]
-    )
-    mixed = seen.groupBy("sig").agg(F.bool_and("ok").alias("all")).where("not all").select("sig")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    # what is left: members of one pivot's entries that do not all link with it
+    mixed = sized.groupBy("y").agg(F.count(F.lit(1)).alias("members"), F.bool_and("ok").alias("all")).where("members > 1 and not all")
     dealt = (
-        seen.join(mixed, "sig")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        sized.join(mixed.select("y", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "y")
+        .withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("sig", "id", "n", "m", "both", "ok", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+        .select(
+            F.col("y").alias("pivot"),
+            F.col("x").alias("id"),
+            F.col("nx").alias("n"),
+            *("m", "both", "ok", "block"),
+            F.least("block", "other").alias("a"),
+            F.greatest("block", "other").alias("b"),
+        )
     )
-    rest = dealt.groupBy("sig", "a", "b").applyInArrow(_open_pairs, "x long, y long").distinct()
+    rest = dealt.groupBy("pivot", "a", "b").applyInArrow(_open_pairs, "x long, y long").distinct()
     more = overlaps(rest, reps, "rest")
     sized_more = (
         more.join(sizes.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x")
