@@ -17,7 +17,6 @@ counts.  Without any positive the classifier says 0 for all.  Ids may be null or
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaestor.llm.common import written
+
 POSITIVES = 10_000
 UNLABELLED = 15_000
 VOCABULARY = 1 << 16
@@ -58,27 +59,12 @@ def features(text: str | None) -> set[str]:
     return words.union(*({w[:n] + "-" for w in words if len(w) >= n} for n in PREFIXES))
 
 
-def screen(positive: list[list[str]], unlabelled: list[list[str]]) -> dict[str, int]:
-    """Numbers of the features that stand out in the positive documents."""
-    hits = Counter(w for doc in positive for w in doc)
-    every = hits + Counter(w for doc in unlabelled for w in doc if w in hits)
-    share = len(positive) / max(1, len(positive) + len(unlabelled))
-    kept = []
-    for f, x in hits.items():
-        expected = every[f] * share
-        if x >= SUPPORT and x - expected >= SCREEN * np.sqrt(expected * (1 - share)):
-            kept.append((expected - x, f))
-    return {f: k for k, (_, f) in enumerate(sorted(kept)[:VOCABULARY])}
-
-
-def train(positive: list[list[str]], unlabelled: list[list[str]], prior: float) -> Classifier:
-    """Fit on the features of the sample documents."""
-    words = screen(positive, unlabelled) if positive and unlabelled and 0 < prior < 1 else {}
-    if not words:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], words: dict[str, int], prior: float) -> Classifier:
+    """Fit on the numbers of the features of each sample document."""
+    if not words or not positive or not unlabelled or not 0 < prior < 1:
         return Classifier({}, np.zeros(1), -20.0)
     docs = positive + unlabelled
-    index = [np.fromiter((words[w] for w in doc if w in words), np.int64) for doc in docs]
-    owner, index = np.repeat(np.arange(len(docs)), [len(i) for i in index]), np.concatenate(index)
+    owner, index = np.repeat(np.arange(len(docs)), [len(i) for i in docs]), np.concatenate(docs).astype(np.int64)
     n_p, n_u, size = len(positive), len(unlabelled), max(1, len(words))
     is_p = np.arange(len(docs)) < n_p
     theta, moment, square = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
@@ -98,15 +84,22 @@ def train(positive: list[list[str]], unlabelled: list[list[str]], prior: float)
     return Classifier(words, theta[:-1], float(theta[-1]))
 
 
-def _words(rows: DataFrame) -> list[list[str]]:
-    """Features of each sample document; the sample's bound is the caller's."""
+def _features(batches):
+    for batch in batches:
+        found = pa.array([sorted(features(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("confirmed"), found], ["confirmed", "features"])
 
-    def run(batches):
-        for batch in batches:
-            found = [sorted(features(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["words"])
 
-    return rows.select("text").mapInArrow(run, "words array<string>").toPandas()["words"].map(list).tolist()
+def screen(sample: DataFrame) -> dict[str, int]:
+    """Numbers of the features of rows (confirmed, features) that stand out in the confirmed documents."""
+    docs = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("confirmed").cast("int")).alias("p")).first()
+    share = (docs["p"] or 0) / max(1, docs["n"])
+    counts = sample.select("confirmed", F.explode("features").alias("f")).groupBy("f").agg(
+        F.sum(F.col("confirmed").cast("int")).alias("x"), F.count(F.lit(1)).alias("n")
+    )
+    excess = F.col("x") - F.col("n") * share
+    kept = counts.where((F.col("x") >= SUPPORT) & (excess >= SCREEN * F.sqrt(F.col("n") * share * (1 - share))))
+    return {r["f"]: k for k, r in enumerate(kept.orderBy(excess.desc(), "f").limit(VOCABULARY).collect())}
 
 
 def _sample(rows: DataFrame, size: int, most: int) -> DataFrame:
@@ -120,8 +113,20 @@ def fit(learnable: DataFrame, labels: DataFrame, positives: int = POSITIVES, unl
     toxic = marks.where("toxic = 1").select("id")
     known = learnable.select("id").distinct().join(marks, "id").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
     n_docs = learnable.count()
-    confirmed = _words(_sample(learnable.join(toxic, "id", "left_semi"), known["p"] or 0, positives))
-    return train(confirmed, _words(_sample(learnable, n_docs, unlabelled)), (known["p"] or 0) / max(known["n"], 1))
+    toxic_docs = _sample(learnable.join(toxic, "id", "left_semi"), known["p"] or 0, positives).select("text", F.lit(True).alias("confirmed"))
+    sample = toxic_docs.union(_sample(learnable, n_docs, unlabelled).select("text", F.lit(False)))
+    sample = written(sample.mapInArrow(_features, "confirmed boolean, features array<string>"), "toxicity")
+    words = screen(sample)
+    sent = learnable.sparkSession.sparkContext.broadcast(words)  # at most VOCABULARY
+
+    def number(batches):
+        for batch in batches:
+            at = [[sent.value[f] for f in fs if f in sent.value] for fs in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("confirmed"), pa.array(at, pa.list_(pa.int32()))], ["confirmed", "at"])
+
+    rows = sample.mapInArrow(number, "confirmed boolean, at array<int>").toPandas()
+    by_kind = [[np.asarray(a) for a in rows["at"][rows["confirmed"] == kind]] for kind in (True, False)]
+    return train(*by_kind, words, (known["p"] or 0) / max(known["n"], 1))
 
 
 def scorer(spark: SparkSession, model: Classifier):
