@@ -148,8 +148,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def stretches(column: pa.Array):
-    """Yield (first row, bytes, bounds) for stretches of a text column of at most CHUNK bytes (or one text).
+def stretches(column: pa.Array, size: int = CHUNK):
+    """Yield (first row, bytes, bounds) for stretches of a text column of at most size bytes (or one text).
 
     Row first + i has bytes[bounds[i]:bounds[i + 1]].
     """
@@ -158,7 +158,7 @@ def stretches(column: pa.Array):
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     first, total = 0, len(column)
     while first < total:
-        last = int(np.searchsorted(offsets, offsets[first] + CHUNK, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         last = min(max(last, first + 1), total)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,9 @@ import pyarrow as pa
 from quaestor.llm.common import INVERSE, PRIME, mix, powers, stretches
 
 #: Pieces remembered per worker; a full memory starts anew (results do not depend on it).
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
+#: Bytes of text looked at together.
+STRETCH = 1 << 21
 _encoders: dict[int, "Encoder"] = {}
 
 
@@ -67,17 +70,19 @@ class Remembered:
         self.place.update(zip(keys, range(first, first + len(keys))))
 
     def _places(self, keys: list[int], piece: Callable[[int], str]) -> np.ndarray:
-        new = [k for k, key in enumerate(keys) if key not in self.place]
-        if len(self.place) + len(new) > REMEMBERED and self.place:
+        found = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(found < 0).tolist()
+        if new and self.place and len(self.place) + len(new) > REMEMBERED:
             Remembered.__init__(self, self.encode)
-            new = list(range(len(keys)))
+            return self._places(keys, piece)
         if new:
+            found[new] = np.arange(len(new)) + len(self.place)
             self._learn([keys[k] for k in new], [piece(k) for k in new])
-        return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        return found
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Yield (first row, ids, offsets): row first + i of the column has ids[offsets[i]:offsets[i + 1]]."""
-        for first, raw, bounds in stretches(column):
+        for first, raw, bounds in stretches(column, STRETCH):
             if not len(raw):
                 yield first, np.zeros(0, "<u4"), np.zeros(len(bounds), np.int64)
                 continue
