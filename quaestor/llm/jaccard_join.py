@@ -109,12 +109,15 @@ def signatures(n: int, shared: np.ndarray, often: int) -> np.ndarray:
     free = n - len(shared)  # the shingles of this document alone stand first
     prefix = n - least(n) + 1
     single = shared[: max(0, min(rare, prefix - free))]
+    if n == 1:  # links with sets of one shingle only
+        return shared.view(np.int64)
     if prefix - free <= rare:
         return single.view(np.int64)
     out = [single]
     # a linked set may be one level lower or higher; both sides must deal into the same number of classes
     for level in (_level(n), _level(n) + 1):
-        classes = max(2, int((DENOMINATOR / NUMERATOR) ** level / 8))
+        # few enough that a set of this level always has the tokens by which its prefix must grow
+        classes = max(1, int((DENOMINATOR / NUMERATOR) ** level / 8))
         common = shared[rare:]
         group = (mix(common) % np.uint64(classes)).astype(np.int64)
         seen, end, missable = set(), 0, 0

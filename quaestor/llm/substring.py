@@ -3,7 +3,8 @@
 For each of HASHES hash functions the shingles of a document form a Cartesian tree by their hash: a node's shingle is the
 minimum of every stretch that holds it within the node's span.  Nodes that span at least a passage of PASSAGE words are the
 compact windows: all passages whose minimum is that shingle, in one row.  They are found as the runs of equal minima of a
-sliding window of one passage.  Two windows of one hash function join when their minima are the same shingle and the
+sliding window of one passage, and their spans are kept as far as a passage of that length around the minimum reaches:
+longer passages are made up of these.  Two windows of one hash function join when their minima are the same shingle and the
 shingle NEAR places before or after agrees too (every passage that holds the minimum holds one of these neighbours), and
 their spans are then verified: a stretch of at least PASSAGE words around the minimum with Jaccard similarity of at least
 SIMILARITY on its shingles.  One hash function that agrees is enough to verify; an exact repeat agrees in all, a repeat at
@@ -40,6 +41,7 @@ LINKS = "doc long, first int, last int, other long, other_first int, similarity
 def compact_windows(shingles: np.ndarray, row: np.ndarray, seed: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of one hash function: c is the leftmost minimum of every stretch of l..r (inclusive) that holds it.
 
+    l and r are the node's span in the tree, at most width - 1 away from c.
     shingles of neighbouring rows follow each other; row tells them apart.
     """
     n = len(shingles) - width + 1

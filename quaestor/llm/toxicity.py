@@ -68,7 +68,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], words: dict[
     n_p, n_u, size = len(positive), len(unlabelled), max(1, len(words))
     is_p = np.arange(len(docs)) < n_p
     theta, moment, square = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    theta[-1] = np.log(prior / (1 - prior))
+    theta[-1] = base = np.log(prior / (1 - prior))
     for step in range(1, STEPS + 1):
         z = theta[-1] + np.bincount(owner, theta[index], len(docs))
         sigmoid = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
@@ -81,6 +81,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], words: dict[
         moment, square = 0.9 * moment + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         theta -= RATE * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
         np.maximum(theta[:-1], 0, out=theta[:-1])  # the screen let through signs of the positive class only
+        theta[-1] = min(theta[-1], base)  # so a text without any is no likelier positive than the prior
     return Classifier(words, theta[:-1], float(theta[-1]))
 
 
