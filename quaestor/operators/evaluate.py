@@ -140,17 +140,26 @@ def count_in(text: Column, word: str) -> Column:
 
 
 def utility_relevance(answer: Column, utility: Column) -> Column:
-    """Mentions of the utility, its acronym and its topics per 20 words, plus a bonus for the full name; 1 if none."""
-    low = F.lower(answer)
-    n_words = F.size(X.words(answer))
-    cases = []
-    for name, topics in R.UTILITY_TOPICS.items():
-        acronym = "".join(w[0] for w in name.split()).lower()
-        direct = count_in(low, name.lower())
-        mentions = reduce(lambda x, y: x + y, [count_in(low, t) for t in topics], direct + count_in(low, acronym))
-        base = F.least(mentions / F.greatest(n_words / 20, F.lit(1.0)), F.lit(1.0))
-        cases.append((utility == name, F.least(base + F.when(direct > 0, 0.3).otherwise(0.0), F.lit(1.0))))
-    return X.first_case(cases, F.lit(1.0))
+    """Mentions of the utility, its acronym and its topics per 20 words, plus a bonus for the full name.
+
+    Names compare without case.  A name without topics of its own still counts by name and acronym; 1 if there is none.
+    """
+    low, name = F.lower(answer), F.lower(F.trim(utility))
+    initials = F.array_join(F.transform(F.split(name, r"\s+"), lambda w: F.substring(w, 1, 1)), "")
+
+    def count_of(word: Column) -> Column:
+        left = F.length(F.replace(low, word, F.lit("")))
+        return F.floor((F.length(low) - left) / F.greatest(F.length(word), F.lit(1)))
+
+    direct = count_of(name)
+    topics = [
+        (name == known.lower(), reduce(lambda x, y: x + y, [count_in(low, t) for t in terms]))
+        for known, terms in R.UTILITY_TOPICS.items()
+    ]
+    mentions = direct + count_of(initials) + X.first_case(topics, F.lit(0))
+    base = F.least(mentions / F.greatest(F.size(X.words(answer)) / 20, F.lit(1.0)), F.lit(1.0))
+    score = F.least(base + F.when(direct > 0, 0.3).otherwise(0.0), F.lit(1.0))
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit(1.0)).otherwise(score)
 
 
 def anchor_terms_in(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """Exact nearest neighbours.
 
-Every corpus vector meets every query vector inside a task, as one matrix product per Arrow batch; only the best k per
-query and batch leave the task, and the final choice is a pruned window.  Query vectors travel as broadcast blocks of
+Every corpus vector meets every query vector inside a task, as matrix products of bounded size; only the best k per query
+and partition leave the task, and the final choice is a pruned window.  Query vectors travel as broadcast blocks of
 bounded size; a larger query table is worked off block by block, so no block outgrows memory.
 """
 
@@ -15,37 +15,52 @@ from pyspark.sql import functions as F
 from quaestor.operators.lexical import top_k
 
 BLOCK_BYTES = 64 << 20
+#: Bytes of one score matrix (queries x corpus vectors) inside a task.
+MATRIX_BYTES = 32 << 20
 
 
-def _block_search(block, dims: int, k: int, id_type: str):
+def best_of(score: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns per row, ties by document; docs has one row per query."""
+    if score.shape[1] > 4 * k:  # the k-th best value decides who is sorted at all
+        edge = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        width = int((score >= edge).sum(1).max())
+        pick = np.argsort(-(score >= edge).astype(np.int8), axis=1, kind="stable")[:, :width]
+        score, docs = np.take_along_axis(score, pick, 1), np.take_along_axis(docs, pick, 1)
+    order = np.lexsort((docs, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(docs, order, 1)
+
+
+def _block_search(block, dims: int, k: int, matrix_bytes: int):
     def run(batches):
         ids, q = block.value
+        best_score, best_docs, seen = None, None, False
+        step = max(k, matrix_bytes // (8 * max(1, len(ids))))
         for pdf in batches:
             if pdf.empty:
                 continue
             if any(len(v) != dims for v in pdf["embedding"]):
                 raise ValueError(f"corpus vectors must have {dims} values")
-            v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-            docs = pdf["doc_id"].to_numpy()
-            order = np.argsort(docs, kind="stable")  # ties are decided by document
-            docs, v = docs[order], v[order]
-            score = np.round((1.0 + q @ v.T) / 2.0, 6)
-            n = min(k, len(docs))
-            best = np.argsort(-score, axis=1, kind="stable")[:, :n]
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(ids, n),
-                    "doc_id": docs[best].ravel(),
-                    "score": np.take_along_axis(score, best, axis=1).ravel(),
-                }
-            )
+            for a in range(0, len(pdf), step):
+                part = pdf.iloc[a : a + step]
+                v = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+                score = np.round((1.0 + q @ v.T) / 2.0, 6)
+                docs = np.broadcast_to(part["doc_id"].to_numpy(), score.shape)
+                if seen:  # a running best k: what leaves the task does not grow with the partition
+                    score, docs = np.concatenate([best_score, score], 1), np.concatenate([best_docs, docs], 1)
+                best_score, best_docs = best_of(score, docs, k)
+                seen = True
+        if seen:
+            n = best_score.shape[1]
+            yield pd.DataFrame({"query_id": np.repeat(ids, n), "doc_id": best_docs.ravel(), "score": best_score.ravel()})
 
     return run
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def knn(
+    corpus: DataFrame, queries: DataFrame, k: int = 50, block_bytes: int = BLOCK_BYTES, matrix_bytes: int = MATRIX_BYTES
+) -> DataFrame:
     """query_id, doc_id, score, rank with score (1 + cosine) / 2.  corpus: doc_id, embedding."""
     spark = corpus.sparkSession
     shape = queries.agg(
@@ -72,5 +87,5 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 50, block_bytes: int = B
         norm = np.linalg.norm(q, axis=1, keepdims=True)
         q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
         block = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(), q))
-        parts.append(corpus.select("doc_id", "embedding").mapInPandas(_block_search(block, dims, k, id_type), schema))
+        parts.append(corpus.select("doc_id", "embedding").mapInPandas(_block_search(block, dims, k, matrix_bytes), schema))
     return top_k(reduce(DataFrame.unionByName, parts), k)

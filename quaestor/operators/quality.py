@@ -132,15 +132,11 @@ def text_retry(hits: DataFrame) -> DataFrame:
     )
 
 
-def list_values(docs: DataFrame, field: str, limit: int = 1000) -> DataFrame:
-    """Distinct values in key order with their counts; the limit belongs to the report."""
-    return (
-        docs.where(F.col(field).isNotNull())
-        .groupBy(F.col(field).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy("value")
-        .limit(limit)
-    )
+def list_values(docs: DataFrame, field: str, limit: int | None = None) -> DataFrame:
+    """Distinct values in key order with their counts; a report may ask for the first few only."""
+    values = docs.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = values.orderBy("value")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def generic_penalties(hits: DataFrame) -> DataFrame:

@@ -72,30 +72,6 @@ def suite_confidence(passages: DataFrame, head: int = 500) -> DataFrame:
     )
 
 
-# A document without any of these (case-folded) cannot match the extractor; checked before its patterns.
-NEEDS = {
-    "ticket_create": ["ticket", "form", "issue"],
-    "ticket_view": ["-"],
-    "project_access": ["access", "project"],
-    "request_create": ["request", "ticket", "incident"],
-    "catalog_browse": ["catalog"],
-    "incident_view": ["inc", "req", "ritm"],
-    "servicenow_link": ["servicenow.com", "service-now.com"],
-    "http_endpoint": ["/"],
-    "api_key": ["key", "authentication"],
-    "swagger_docs": ["doc", "spec", "swagger"],
-    "client_id": ["client", "registration"],
-    "channel_join": ["team", "channel"],
-    "meeting_schedule": ["meeting", "call"],
-    "contact_team": ["team", "channel"],
-    "teams_link": ["teams.microsoft.com"],
-    "email_send": ["email"],
-    "calendar_create": ["meeting", "appointment", "event"],
-    "distribution_list": ["dl", "distribution", "team", "support"],
-    "calendar_link": ["outlook."],
-    "table": ["|"],
-    "owner": [":"],
-}
 _OPEN_RUN = r"(?i)([\w\s-]+)"
 _RUN = re.compile(r"[\w\s-]+")
 
@@ -146,10 +122,7 @@ def _extractor():
 
     def scan(doc, title, body, url):
         text = f"{title or ''}\n{body or ''}"
-        folded = text.casefold()
         for (suite, name), rules in by_extractor.items():
-            if name in NEEDS and not any(w in folded for w in NEEDS[name]):
-                continue
             for no, capability, kind, weight, rx in rules:
                 for m in _matches(rx, text):
                     s = m.group(0)

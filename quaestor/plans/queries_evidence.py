@@ -459,8 +459,8 @@ O.cte(
     "c_vans",
     """SELECT conv_id || '-' || turn AS query_id, conv_id, turn, q AS query, CASE turn % 7 WHEN 1 THEN text || ' ' || 'I cannot find it'
     WHEN 3 THEN text || '...' WHEN 5 THEN '[doc#setup-guide] ' || text || ' Customer interaction utility CIU [2] is shown here in full.'
-    ELSE text END AS answer, coalesce(p2, '') || ' ' || text AS context, CASE conv_id % 3 WHEN 0 THEN 'Customer Interaction Utility'
-    WHEN 1 THEN 'Account Utility' END AS utility, turn % 2 = 1 AS how_to FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id
+    ELSE text END AS answer, coalesce(p2, '') || ' ' || text AS context, CASE conv_id % 4 WHEN 0 THEN 'Customer Interaction Utility'
+    WHEN 1 THEN 'Account Utility' WHEN 2 THEN 'Digital The events' END AS utility, turn % 2 = 1 AS how_to FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id
     ORDER BY turn) AS q, lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS p2 FROM conversations)
     WHERE role = 'assistant'""",
 )
@@ -486,7 +486,10 @@ def graded_answers(spark, folder):
         F.col("p1_text").alias("query"),
         answer.alias("answer"),
         F.concat(F.coalesce("p2_text", F.lit("")), F.lit(" "), F.col("text")).alias("context"),
-        F.when(F.col("conv_id") % 3 == 0, "Customer Interaction Utility").when(F.col("conv_id") % 3 == 1, "Account Utility").alias("utility"),
+        F.when(F.col("conv_id") % 4 == 0, "Customer Interaction Utility")
+        .when(F.col("conv_id") % 4 == 1, "Account Utility")
+        .when(F.col("conv_id") % 4 == 2, "Digital The events")
+        .alias("utility"),
         (F.col("turn") % 2 == 1).alias("how_to"),
         "conv_id",
     )
@@ -523,19 +526,16 @@ def _count_sql(x, w):
 
 
 def utility_relevance_sql(answer: str, utility: str) -> str:
-    pairs = []
-    low, n = f"lower({answer})", f"len({O.words(answer)})"
-    for name, topics in R.UTILITY_TOPICS.items():
-        acronym = "".join(w[0] for w in name.split()).lower()
-        direct = _count_sql(low, name.lower())
-        total = " + ".join([direct, _count_sql(low, acronym)] + [_count_sql(low, t) for t in topics])
-        pairs.append(
-            (
-                f"{utility} = {O.s(name)}",
-                f"least(1.0, least(1.0, ({total}) / greatest({n} / 20.0, 1.0)) + CASE WHEN {direct} > 0 THEN 0.3 ELSE 0 END)",
-            )
-        )
-    return f"CAST({O.case(pairs, '1.0')} AS DOUBLE)"
+    low, n, name = f"lower({answer})", f"len({O.words(answer)})", f"lower(trim({utility}))"
+    topics = [
+        (f"{name} = {O.s(known.lower())}", "(" + " + ".join(_count_sql(low, t) for t in terms) + ")")
+        for known, terms in R.UTILITY_TOPICS.items()
+    ]
+    count = lambda w: f"((length({low}) - length(replace({low}, {w}, ''))) // greatest(length({w}), 1))"
+    initials = f"array_to_string(list_transform(string_split({name}, ' '), lambda w: w[1]), '')"
+    total = f"{count(name)} + {count(initials)} + {O.case(topics, '0')}"
+    score = f"least(1.0, least(1.0, ({total}) / greatest({n} / 20.0, 1.0)) + CASE WHEN {count(name)} > 0 THEN 0.3 ELSE 0 END)"
+    return f"CAST(CASE WHEN {utility} IS NULL THEN 1.0 ELSE {score} END AS DOUBLE)"
 
 
 @query(

@@ -493,7 +493,7 @@ def recent_context(spark, folder):
     "list_values",
     O.sql(
         """SELECT * FROM (SELECT utility_name AS value, count(*) AS n FROM c_corpus WHERE utility_name IS NOT NULL
-        GROUP BY 1 ORDER BY 1 LIMIT 1000)"""
+        GROUP BY 1 ORDER BY 1)"""
     ),
 )
 def list_values(spark, folder):
@@ -536,8 +536,7 @@ O.cte(
     "c_obs",
     f"""SELECT CASE WHEN idx IN ('src1', 'src2', 'src3') THEN idx || '-api' ELSE idx END AS idx, ts, has_inner_hits,
     CASE WHEN n_passages = 0 THEN 'no_content' WHEN has_inner_hits THEN 'inner_hits' WHEN has_sections THEN
-    'sections.content' ELSE coalesce(body_field, 'unknown') END AS path FROM ({_OBS}) WHERE (idx <> 'src4' OR doc_id < 50)
-    AND (idx NOT IN ('src1', 'src5') OR doc_id % 4 <> 1)""",
+    'sections.content' ELSE coalesce(body_field, 'unknown') END AS path FROM ({_OBS})""",
 )
 O.cte(
     "c_prof",
@@ -550,11 +549,10 @@ O.cte(
 def observations(spark, folder):
     d = C.corpus(spark, folder).join(C.table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
     i, src = F.col("doc_id"), F.col("source")
-    kept = d.where(((src != "src4") | (i < 50)) & (~src.isin("src1", "src5") | (i % 4 != 1)))
     path = quality.content_path(
         i % 4 != 0, i % 6 == 0, F.when(i % 5 == 0, "summary").when(i % 3 == 0, "body"), F.when(i % 11 == 0, 0).otherwise(1)
     )
-    return kept.select(
+    return d.select(
         F.when(src.isin("src1", "src2", "src3"), F.concat(src, F.lit("-api"))).otherwise(src).alias("idx"),
         F.col("updated_at").cast("timestamp").alias("ts"),
         (i % 4 != 0).alias("has_inner_hits"),

@@ -108,20 +108,20 @@ def suite_rules(spark, folder):
 
 
 # -------------------------------------------------------------------------------------------- views, analysis
-# The procedure view is the lexical list, the info view the vector list; some queries lack one or both.
+# The procedure view is the lexical list, the info view the vector list.
 O.cte(
     "c_views",
     """SELECT query_id, 'procedure' AS view_name, CASE WHEN query_id % 2 = 0 THEN 'reranked' ELSE 'fused' END AS stage,
-    doc_id, rank FROM c_bm25 WHERE query_id % 5 <> 0 UNION ALL SELECT query_id, 'info', CASE WHEN query_id % 3 = 0 THEN
-    'reranked' ELSE 'fused' END, doc_id, rank FROM c_knn JOIN c_corpus USING (doc_id) WHERE query_id % 10 <> 0""",
+    doc_id, rank FROM c_bm25 UNION ALL SELECT query_id, 'info', CASE WHEN query_id % 3 = 0 THEN
+    'reranked' ELSE 'fused' END, doc_id, rank FROM c_knn JOIN c_corpus USING (doc_id)""",
 )
 
 
 def views(spark, folder):
     q = F.col("query_id")
-    lex = lex_hits(spark, folder).where(q % 5 != 0)
+    lex = lex_hits(spark, folder)
     docs = C.corpus(spark, folder).select("doc_id")
-    vec = nearest.knn(C.vectors(spark, folder), C.query_vectors(spark, folder)).where(q % 10 != 0).join(docs, "doc_id", "left_semi")
+    vec = nearest.knn(C.vectors(spark, folder), C.query_vectors(spark, folder)).join(docs, "doc_id", "left_semi")
     a = lex.select(
         q, F.lit("procedure").alias("view"), F.when(q % 2 == 0, "reranked").otherwise("fused").alias("stage"), "doc_id", "rank"
     )

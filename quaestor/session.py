@@ -1,6 +1,7 @@
 """Session helpers."""
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +23,20 @@ def local_session(app: str = "quaestor", cores: str = "*", shuffle_partitions: i
     )
 
 
+SHARED_KEY = "quaestor.shared.dir"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared folder the cluster names; a local one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A fresh folder under the shared folder the cluster names in spark.checkpoint.dir (or in quaestor.shared.dir).
+
+    Only a session that runs on this machine alone (tests) may name none; it gets one temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED_KEY, None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"spark.checkpoint.dir (or {SHARED_KEY}) must name a folder shared by the driver and all executors")
         base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.conf.set(SHARED_KEY, base)
     return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
