@@ -4,16 +4,16 @@ For each of HASHES hash functions the shingles of a document form a Cartesian tr
 minimum of every stretch that holds it within the node's span.  Nodes that span at least a passage of PASSAGE words are the
 compact windows: all passages whose minimum is that shingle, in one row.  They are found as the runs of equal minima of a
 sliding window of one passage, and their spans are kept as far as a passage of that length around the minimum reaches:
-longer passages are made up of these.  Two windows of one hash function join when their minima are the same shingle and the
-shingle NEAR places before or after agrees too (every passage that holds the minimum holds one of these neighbours), and
+longer passages are made up of these.  Windows of one hash function join when their minima are the same shingle, and
 their spans are then verified: a stretch of at least PASSAGE words around the minimum with Jaccard similarity of at least
-SIMILARITY on its shingles.  One hash function that agrees is enough to verify; an exact repeat agrees in all, a repeat at
-the threshold in at least one of four with a probability above 0.99.
+SIMILARITY on its shingles.  One hash function that agrees is enough to verify: an exact repeat agrees in all of them, a
+repeat at the threshold in at least one of three with a probability of 1 - 0.25 ** 3 or 0.98.
 
-Windows whose key occurs once in the corpus never leave their batch.  Within a batch the windows of a key are verified
-against the first of them and stay behind if they match, so a passage that a third of all documents share sends one row
-per batch.  What remains is sorted by (key, shingle FAR places away, document) and verified row by row against the first
-of its key and the first of its sub-group, in constant memory.  A link leads from a document to one with a smaller id.
+Windows whose minimum occurs in one document only never leave their batch.  Within a batch the windows of a key are
+verified against the first of them and stay behind if they match, so a passage that a third of all documents share sends
+about one row per batch.  What remains is sorted by (key, shingle FAR places away, document) and verified row by row
+against the first of its sub-group and the first of its key, in constant memory.  FAR keeps a passage apart from a
+shorter one inside it.  A link leads from a document to one with a smaller id.
 
 Nulls: a null text is empty, documents shorter than a passage have none; rows without an id neither give nor take links,
 and rows that share an id are never linked with each other.  Empty tables give no rows.
@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import PRIME, grams, in_batches, mix, texts, word_hashes, written
+from quaestor.llm.common import PRIME, grams, in_batches, mix, texts, word_hashes
 from quaestor.llm.counting import distinct, to_keys, with_totals, words_in
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.75
 WIDTH = PASSAGE - SHINGLE + 1
-HASHES, NEAR, FAR = 4, 10, 22
-BATCH_BYTES = 8 << 20
+HASHES, FAR = 3, 22
+BATCH_BYTES = 4 << 20
 SITES = "kind int, key long, beyond long, doc long, at int, place int, sketch binary, other long, first int, last int, other_first int, similarity double"
 LINKS = "doc long, first int, last int, other long, other_first int, similarity double"
 
@@ -63,10 +63,10 @@ def compact_windows(shingles: np.ndarray, row: np.ndarray, seed: int, width: int
 
 
 class Windows:
-    """Compact windows of a batch, twice each: with the neighbour before and the neighbour after the minimum."""
+    """Compact windows of a batch; rows are numbered within the batch, shingles (l, c, r, begin) as well."""
 
     def __init__(self, table: pa.Table):
-        parts, self.blocks, base = [], [], 0
+        parts, blocks, base = [], [], 0
         for chunk_at, chunk in _chunks(table.column("text")):
             for first, hashes, counts, _, _ in word_hashes(chunk):
                 word_row = np.repeat(np.arange(len(counts)) + first + chunk_at, counts)
@@ -77,26 +77,19 @@ class Windows:
                 begin = np.cumsum(counts) - counts
                 for f in range(HASHES):
                     l, c, r = compact_windows(s, row, f + 1)
-                    keep = row[l] >= 0
-                    keep &= (row[l] == row[c]) & (row[r] == row[c])
+                    keep = (row[l] >= 0) & (row[l] == row[c]) & (row[r] == row[c])
                     l, c, r = l[keep], c[keep], r[keep]
-                    for side in (-1, 1):
-                        near, far = c + side * NEAR, c + side * FAR
-                        inside = (near >= 0) & (near < n) & (row[np.clip(near, 0, n - 1)] == row[c])
-                        lw, cw, rw, near, far = l[inside], c[inside], r[inside], near[inside], far[inside]
-                        reach = (far >= 0) & (far < n) & (row[np.clip(far, 0, n - 1)] == row[cw])
-                        beyond = np.where(reach, s[np.clip(far, 0, n - 1)], np.uint64(0))
-                        key = mix(s[cw] * np.uint64(PRIME) + mix(s[near]) + np.uint64(2 * f + (side > 0)))
-                        doc = row[cw]
-                        parts.append((key, beyond, doc, lw + base, cw + base, rw + base, begin[doc - first - chunk_at] + base))
-                self.blocks.append(s)
+                    far = c + (FAR if f % 2 == 0 else -FAR)
+                    reach = (far >= 0) & (far < n) & (row[np.clip(far, 0, n - 1)] == row[c])
+                    beyond = np.where(reach, s[np.clip(far, 0, n - 1)], np.uint64(0))
+                    key, doc = mix(s[c] * np.uint64(PRIME) + np.uint64(f)), row[c]
+                    parts.append((key, beyond, doc, l + base, c + base, r + base, begin[doc - first - chunk_at] + base))
+                blocks.append(s)
                 base += n
-            # rows are numbered within the batch
-        names = ("key", "beyond", "doc", "l", "c", "r", "begin")
-        kinds = (np.uint64, np.uint64) + (np.int64,) * 5
-        for k, name in enumerate(names):
-            setattr(self, name, np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kinds[k]))
-        self.shingles = np.concatenate(self.blocks) if self.blocks else np.zeros(0, np.uint64)
+        kinds = dict(zip(("key", "beyond", "doc", "l", "c", "r", "begin"), (np.uint64, np.uint64) + (np.int64,) * 5))
+        columns = zip(*parts) if parts else ([np.zeros(0, k)] for k in kinds.values())
+        self.key, self.beyond, self.doc, self.l, self.c, self.r, self.begin = (np.concatenate(list(c)) for c in columns)
+        self.shingles = np.concatenate(blocks) if blocks else np.zeros(0, np.uint64)
 
 
 def _chunks(column: pa.ChunkedArray):
@@ -107,7 +100,14 @@ def _chunks(column: pa.ChunkedArray):
 
 
 def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return distinct(to_keys(Windows(table).key))
+    """Keys of a batch and in how many of its documents each occurs."""
+    w = Windows(table)
+    key = to_keys(w.key)
+    order = np.lexsort((w.doc, key))
+    key, doc = key[order], w.doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    return distinct(key[new])
 
 
 def _best(score: np.ndarray) -> int:
@@ -132,6 +132,8 @@ def verify(x: np.ndarray, at_x: int, y: np.ndarray, at_y: int):
     """
     left, right = min(at_x, at_y), min(len(x) - at_x, len(y) - at_y)
     same = x[at_x - left : at_x + right] == y[at_y - left : at_y + right]
+    if left + right >= WIDTH and same.all():
+        return at_x - left, at_x + right - 1, at_y - left, at_y + right - 1, 1.0
     a, b = _around(same, left)
     size, both = b - a + 1, int(np.count_nonzero(same[a : b + 1]))
     if size >= WIDTH and both >= SIMILARITY * (2 * size - both):
@@ -147,6 +149,14 @@ def verify(x: np.ndarray, at_x: int, y: np.ndarray, at_y: int):
     return None
 
 
+def _link(x: tuple[int, int], y: tuple[int, int], found: tuple) -> tuple:
+    """Link of two spans (document, first shingle of the span), from the larger to the smaller document."""
+    a, b, c, d, similarity = found
+    one, two = (x[0], x[1] + a, x[1] + b), (y[0], y[1] + c, y[1] + d)
+    (doc, first, last), (other, other_first, _) = (one, two) if one > two else (two, one)
+    return doc, first, last, other, other_first, similarity
+
+
 def _sites(table: pa.Table, totals: np.ndarray) -> pa.Table:
     """Windows whose key others have too (kind 0), and links found within the batch (kind 1)."""
     w = Windows(table)
@@ -171,17 +181,18 @@ def _sites(table: pa.Table, totals: np.ndarray) -> pa.Table:
         for other, sketch_o, place_o, at_o in reps:
             found = verify(sketch, place, sketch_o, place_o) if other != doc else None
             if found:
-                a, b, o, _, similarity = found
-                links.append((doc, at + a, at + b, other, at_o + o, similarity))
+                links.append(_link((doc, at), (other, at_o), found))
                 break
         else:
             reps = reps[:1] or [(doc, sketch, place, at)]
             sites.append((int(w.key[k].astype(np.int64)), int(w.beyond[k].astype(np.int64)), doc, at, place, sketch.tobytes()))
+    # links travel with the sites, spread by where they are
     ns, nl = len(sites), len(links)
+    spread = mix(np.array([v[0] * 31 + v[1] for v in links], np.int64).view(np.uint64)).view(np.int64).tolist()
     s, v = list(zip(*sites)) or [()] * 6, list(zip(*links)) or [()] * 6
     none_s, none_l = [None] * ns, [None] * nl
     columns = [[0] * ns + [1] * nl]
-    columns += [list(s[k]) + none_l for k in (0, 1)] + [list(s[2]) + list(v[0])] + [list(s[k]) + none_l for k in (3, 4, 5)]
+    columns += [list(s[0]) + spread, list(s[1]) + none_l] + [list(s[2]) + list(v[0])] + [list(s[k]) + none_l for k in (3, 4, 5)]
     columns += [none_s + list(v[k]) for k in (3, 1, 2, 4, 5)]
     return pa.table([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
@@ -192,11 +203,16 @@ _TYPES = [_KINDS[c.split(" ")[1]] for c in SITES.split(", ")]
 
 
 def _match(batches):
-    """Verify sorted windows against the first of their key and the first of their sub-group."""
+    """Verify sorted windows against the first of their sub-group and of their key; pass links on."""
     key = beyond = top = sub = None
+    names = [c.split(" ")[0] for c in LINKS.split(", ")]
     for batch in batches:
-        links = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "beyond", "doc", "at", "place", "sketch"))):
+        kind = batch.column("kind").to_numpy()
+        done = batch.filter(pa.array(kind == 1)).select(names)
+        if done.num_rows:
+            yield done
+        links, open_ = [], batch.filter(pa.array(kind == 0))
+        for row in zip(*(open_.column(c).to_pylist() for c in ("key", "beyond", "doc", "at", "place", "sketch"))):
             k, far, doc, at, place, raw = row
             own = (doc, at, place, np.frombuffer(raw, np.uint16))
             if k != key:
@@ -207,42 +223,21 @@ def _match(batches):
             else:
                 tried = [sub] if sub is top else [sub, top]
             for other in tried:
-                if other[0] == doc:
-                    continue
-                found = verify(own[3], place, other[3], other[2])
+                found = verify(own[3], place, other[3], other[2]) if other[0] != doc else None
                 if found:
-                    a, b, c, d, similarity = found
-                    mine, its = (doc, at + a, at + b), (other[0], other[1] + c, other[1] + d)
-                    (x, first, last), (y, other_first, _) = (mine, its) if doc > other[0] else (its, mine)
-                    links.append((x, first, last, y, other_first, similarity))
+                    links.append(_link((doc, at), other[:2], found))
                     break
         if links:
             kinds = [_KINDS[c.split(" ")[1]] for c in LINKS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*links), kinds)], [c.split(" ")[0] for c in LINKS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*links), kinds)], names)
 
 
 def links(docs: DataFrame) -> DataFrame:
     """doc, first, last (shingles, inclusive), other, other_first, similarity: verified repeats of earlier documents."""
     rows = texts(docs)
-    keys_in_all = 2 * HASHES * 2 * words_in(rows) // WIDTH
-    sites = written(with_totals(in_batches(rows, BATCH_BYTES), _keys, _sites, SITES, keys_in_all), "sites")
-    near = sites.where("kind = 1").select("doc", "first", "last", "other", "other_first", "similarity")
-    wide = (
-        sites.where("kind = 0")
-        .select("key", "beyond", "doc", "at", "place", "sketch")
-        .repartition("key")
-        .sortWithinPartitions("key", "beyond", "doc", "at")
-        .mapInArrow(_match, LINKS)
-    )
-    oriented = near.select(
-        F.greatest("doc", "other").alias("doc"),
-        F.when(F.col("doc") > F.col("other"), F.col("first")).otherwise(F.col("other_first")).alias("first"),
-        F.when(F.col("doc") > F.col("other"), F.col("last")).otherwise(F.col("other_first") + F.col("last") - F.col("first")).alias("last"),
-        F.least("doc", "other").alias("other"),
-        F.when(F.col("doc") > F.col("other"), F.col("other_first")).otherwise(F.col("first")).alias("other_first"),
-        "similarity",
-    )
-    return oriented.union(wide)
+    sites = with_totals(in_batches(rows, BATCH_BYTES), _keys, _sites, SITES, HASHES * 2 * words_in(rows) // WIDTH)
+    ordered = sites.repartition("key").sortWithinPartitions("kind", "key", "beyond", "doc", "at")
+    return ordered.mapInArrow(_match, LINKS)
 
 
 def _passages(table: pa.Table) -> pa.Table:
