@@ -87,8 +87,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], words: dict[
 
 def _features(batches):
     for batch in batches:
-        found = pa.array([sorted(features(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([batch.column("confirmed"), found], ["confirmed", "features"])
+        for a in range(0, batch.num_rows, 100):  # a long text has tens of thousands of features
+            part = batch.slice(a, 100)
+            found = pa.array([sorted(features(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column("confirmed"), found], ["confirmed", "features"])
 
 
 def screen(sample: DataFrame) -> dict[str, int]:
@@ -121,9 +123,12 @@ def fit(learnable: DataFrame, labels: DataFrame, positives: int = POSITIVES, unl
     sent = learnable.sparkSession.sparkContext.broadcast(words)  # at most VOCABULARY
 
     def number(batches):
+        kept = sent.value
         for batch in batches:
-            at = [[sent.value[f] for f in fs if f in sent.value] for fs in batch.column("features").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("confirmed"), pa.array(at, pa.list_(pa.int32()))], ["confirmed", "at"])
+            for a in range(0, batch.num_rows, 100):
+                part = batch.slice(a, 100)
+                at = [[kept[f] for f in fs if f in kept] for fs in part.column("features").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("confirmed"), pa.array(at, pa.list_(pa.int32()))], ["confirmed", "at"])
 
     rows = sample.mapInArrow(number, "confirmed boolean, at array<int>").toPandas()
     by_kind = [[np.asarray(a) for a in rows["at"][rows["confirmed"] == kind]] for kind in (True, False)]
