@@ -58,6 +58,9 @@ def op6_jaccard_join(spark, folder):
     return jaccard_join.join(table(spark, folder, "documents"))
 
 
+ORACLES["op6_jaccard_join"] = jaccard_join.ORACLE
+
+
 @query
 def op5_language_id(spark, folder):
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
