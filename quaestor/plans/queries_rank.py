@@ -715,7 +715,7 @@ def hit_struct():
 
     secs = F.transform(lines, section)
     inner = F.transform(
-        F.slice(secs, 1, 7), lambda s, n: F.struct((1.0 / (n + 1)).alias("_score"), s.alias("_source"))
+        secs, lambda s, n: F.struct((1.0 / (n + 1)).alias("_score"), s.alias("_source"))
     )
     return F.struct(
         i.cast("string").alias("_id"),
@@ -809,13 +809,12 @@ def parse_hits(spark, folder):
     "full_body",
     O.sql(
         """SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 AND length(title) > 100 THEN title WHEN doc_id % 3 = 0 THEN text
-        ELSE title || CASE WHEN title = '' THEN '' ELSE ' ' END || 'short note' END) AS body_md5 FROM c_corpus
-        WHERE length(text) > 100"""
+        ELSE title || CASE WHEN title = '' THEN '' ELSE ' ' END || 'short note' END) AS body_md5 FROM c_corpus"""
     ),
 )
 def full_body(spark, folder):
     i, null = F.col("doc_id"), F.lit(None).cast("string")
-    d = C.corpus(spark, folder).where(F.length("text") > 100)
+    d = C.corpus(spark, folder)
     body = passages.full_body(
         {
             "body": F.when(i % 2 == 0, F.col("title")),
