@@ -33,6 +33,9 @@ from quaestor.llm.counting import distinct, to_keys, with_totals, words_in
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.75
 WIDTH = PASSAGE - SHINGLE + 1
 HASHES, FAR = 3, 22
+#: Spans whose words were shifted by an edit still match in so many places around the minimum: a passage of 50 words at the
+#: threshold has one such edit, and one of its two unbroken sides holds the minimum.
+PIECE = 12
 BATCH_BYTES = 4 << 20
 SITES = "kind int, key long, beyond long, doc long, at int, place int, sketch binary, other long, first int, last int, other_first int, similarity double"
 LINKS = "doc long, first int, last int, other long, other_first int, similarity double"
@@ -138,6 +141,8 @@ def verify(x: np.ndarray, at_x: int, y: np.ndarray, at_y: int):
     size, both = b - a + 1, int(np.count_nonzero(same[a : b + 1]))
     if size >= WIDTH and both >= SIMILARITY * (2 * size - both):
         return a + at_x - left, b + at_x - left, a + at_y - left, b + at_y - left, both / (2 * size - both)
+    if np.count_nonzero(same) < PIECE:
+        return None
     # words were put in or left out: compare as sets
     a, b = _around(np.isin(x, y), at_x)
     c, d = _around(np.isin(y, x), at_y)
@@ -242,32 +247,29 @@ def links(docs: DataFrame) -> DataFrame:
 
 def _passages(table: pa.Table) -> pa.Table:
     """Overlapping or touching stretches of a document as one; the link that reaches the smallest document names it."""
-    d = table.select(["doc", "first", "last", "other", "other_first", "similarity"]).to_pandas().sort_values(["first", "last", "other"])
-    begins = d["first"].to_numpy() > np.concatenate([[-1], np.maximum.accumulate(d["last"].to_numpy())[:-1]]) + 1
-    d["passage"] = np.cumsum(begins)
-    low = d.sort_values(["passage", "other", "first"]).groupby("passage").first()
-    out = pd.DataFrame(
+    first, last, other, other_first = (table.column(c).to_numpy() for c in ("first", "last", "other", "other_first"))
+    order = np.argsort(first, kind="stable")
+    first, last, other, other_first = first[order], last[order], other[order], other_first[order]
+    reach = np.maximum.accumulate(last)
+    start = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1] + 1]))
+    end = np.append(start[1:], len(first))
+    low = [a + int(np.argmin(other[a:b])) for a, b in zip(start, end)]
+    return pa.table(
         {
-            "doc_id": low["doc"],
-            "first_word": d.groupby("passage")["first"].min(),
-            "n_words": d.groupby("passage")["last"].max() - d.groupby("passage")["first"].min() + SHINGLE,
-            "other_doc_id": low["other"],
-            "other_first_word": low["other_first"],
-            "similarity": d.groupby("passage")["similarity"].min(),
+            "doc_id": table.column("doc").slice(0, 1).take([0] * len(start)),
+            "first_word": pa.array(first[start], pa.int64()),
+            "n_words": pa.array(reach[end - 1] - first[start] + SHINGLE, pa.int64()),
+            "other_doc_id": pa.array(other[low], pa.int64()),
+            "other_first_word": pa.array(other_first[low], pa.int64()),
+            "similarity": pa.array(np.minimum.reduceat(table.column("similarity").to_numpy()[order], start), pa.float64()),
         }
     )
-    return pa.Table.from_pandas(out, preserve_index=False)
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """One row per repeated passage of a document: where it is, and an earlier document (smaller id) that has it."""
     schema = "doc_id long, first_word long, n_words long, other_doc_id long, other_first_word long, similarity double"
-    return links(docs).groupBy("doc").applyInArrow(_cast(_passages, schema), schema)
-
-
-def _cast(fn, schema: str):
-    kinds = pa.schema([(n, _KINDS[k]) for n, k in (c.split(" ") for c in schema.split(", "))])
-    return lambda table: fn(table).cast(kinds)
+    return links(docs).groupBy("doc").applyInArrow(_passages, schema)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
