@@ -103,9 +103,6 @@ class Remembered:
             ids = self.store[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])]
             yield first, ids, np.concatenate([[0], ends])[np.searchsorted(start, bounds)]
 
-    def one(self, text: str) -> np.ndarray:
-        return next(self(pa.array([text])))[1]
-
 
 class Encoder(Remembered):
     """The tokenizers library on a tokenizer file's content."""
