@@ -664,6 +664,8 @@ ATTR_LABELS = {
 # Telemetry.
 HOT_MS, WARN_MS = 2000.0, 500.0
 STAGE_FIXES = {"k_nn": "knn", "kknn": "knn", "bm_25": "bm25"}
+# Other spellings of log keys.
+LOG_KEYS = {"reg_id": "req_id", "request_id": "req_id"}
 BUDGET_MS = {"slotting_regex": 1.0, "slotting_model": 50.0, "fusion": 3.0, "pair_scoring": 1800.0}
 IMPORTANT_EVENTS = ["error", "success", "start"]
 IMPORTANT_STAGES = ["overall", "bm25", "knn"]

@@ -445,3 +445,20 @@ def call_to_action(suite: Column, capability: Column) -> Column:
 def normalize_stage(c: Column) -> Column:
     s = F.translate(F.lower(c), "- ", "__")
     return F.coalesce(F.element_at(literal_map(R.STAGE_FIXES), s), s)
+
+
+def normalize_key(c: Column) -> Column:
+    """A log key in snake case, without quotes, under its usual name."""
+    key = F.translate(F.lower(F.translate(c, "\"'", "")), "- ", "__")
+    return F.coalesce(F.element_at(literal_map(R.LOG_KEYS), key), key)
+
+
+def one_step_plan(c: Column, k: int = 15) -> Column:
+    """The plan of a query that is not taken apart: one unfiltered search."""
+    return F.array(F.struct(F.lit("search").alias("type"), c.alias("query"), F.lit(k).cast("long").alias("k")))
+
+
+def candidate_text(text: Column, content: Column, snippet: Column, body: Column) -> Column:
+    """The first of a candidate's texts that is not blank, stripped; empty if there is none."""
+    found = [F.nullif(strip(c), F.lit("")) for c in (text, content, snippet, body)]
+    return F.coalesce(*found, F.lit(""))

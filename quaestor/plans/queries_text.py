@@ -594,3 +594,45 @@ def api_catalog(spark, folder):
 )
 def strategy_choice(spark, folder):
     return S.strategy(_log(spark, folder)).select("query_id", "strategy", "idx")
+
+
+@query(
+    "one_step_plan",
+    O.sql("SELECT query_id, 'search' AS type, query, CAST(15 AS BIGINT) AS k FROM c_qlog"),
+)
+def one_step_plan(spark, folder):
+    return _log(spark, folder).select("query_id", F.inline(X.one_step_plan(F.col("query"))))
+
+
+# A candidate's text is its second line, its content the first, its snippet the address group, its body the whole text.
+_line = "nullif({0}, '')"
+_given = ", ".join(
+    _line.format(O.strip(x)) for x in ("split_part(text, chr(10), 2)", "split_part(text, chr(10), 1)", "source", "text")
+)
+
+
+@query(
+    "candidate_text",
+    O.sql(f"SELECT doc_id, md5(coalesce({_given}, '')) AS text_md5 FROM documents"),
+)
+def candidate_text(spark, folder):
+    second, first = (F.split_part(F.col("text"), F.lit("\n"), F.lit(n)) for n in (2, 1))
+    return C.table(spark, folder, "documents").select(
+        "doc_id", F.md5(X.candidate_text(second, first, F.col("source"), F.col("text"))).alias("text_md5")
+    )
+
+
+_key = "replace(replace(lower(replace(replace(k, '\"', ''), chr(39), '')), '-', '_'), ' ', '_')"
+
+
+@query(
+    "normalize_log_keys",
+    O.sql(
+        f"""SELECT key, count(*) AS n FROM (SELECT {O.lookup(R.LOG_KEYS, _key, _key)} AS key FROM (SELECT unnest(['Request-ID',
+        '"reg_id"', 'Event ' || event_type]) AS k FROM events)) GROUP BY key"""
+    ),
+)
+def normalize_log_keys(spark, folder):
+    names = F.array(F.lit("Request-ID"), F.lit('"reg_id"'), F.concat(F.lit("Event "), F.col("event_type")))
+    keys = C.table(spark, folder, "events").select(F.explode(names).alias("k"))
+    return keys.select(X.normalize_key(F.col("k")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
