@@ -143,15 +143,34 @@ def verify(x: np.ndarray, at_x: int, y: np.ndarray, at_y: int):
         return a + at_x - left, b + at_x - left, a + at_y - left, b + at_y - left, both / (2 * size - both)
     if np.count_nonzero(same) < PIECE:
         return None
-    # words were put in or left out: compare as sets
-    a, b = _around(np.isin(x, y), at_x)
-    c, d = _around(np.isin(y, x), at_y)
-    one, two = np.unique(x[a : b + 1]), np.unique(y[c : d + 1])
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    union = len(one) + len(two) - both
-    if min(b - a, d - c) + 1 >= WIDTH and both >= SIMILARITY * union:
-        return a, b, c, d, both / union
-    return None
+    # words were put in or left out: compare as sets (small ones, for which plain Python is faster than arrays)
+    one, two = x.tolist(), y.tolist()
+    in_one, in_two = set(one), set(two)
+    if len(in_one & in_two) < SIMILARITY * WIDTH:
+        return None
+    a, b = _dense([v in in_two for v in one], at_x)
+    if b - a + 1 < WIDTH:
+        return None
+    c, d = _dense([v in in_one for v in two], at_y)
+    if d - c + 1 < WIDTH:
+        return None
+    in_one, in_two = set(one[a : b + 1]), set(two[c : d + 1])
+    both = len(in_one & in_two)
+    union = len(in_one) + len(in_two) - both
+    return (a, b, c, d, both / union) if both >= SIMILARITY * union else None
+
+
+def _dense(match: list[bool], at: int) -> tuple[int, int]:
+    """As _around(), for lists."""
+    ends = []
+    for side in (match[:at][::-1], match[at + 1 :]):
+        best = total = end = 0
+        for k, hit in enumerate(side, 1):
+            total += 1 if hit else -3
+            if total > best:
+                best, end = total, k
+        ends.append(end)
+    return at - ends[0], at + ends[1]
 
 
 def _link(x: tuple[int, int], y: tuple[int, int], found: tuple) -> tuple:
