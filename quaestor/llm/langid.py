@@ -15,13 +15,14 @@ import math
 import os
 import re
 from collections import defaultdict
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quaestor.llm.common import written
+
 SAMPLE = 4000
 WORDS = 40_000
 GRAMS = 20_000
@@ -31,48 +32,53 @@ SMOOTHING = 0.5
 #: A text's score is the posterior as if its words numbered at most this many.
 CONFIDENT = 20
 #: Remembered words per worker (results do not depend on it).
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
-@dataclass
 class Model:
-    languages: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
-    seen: dict[str, int] = field(default_factory=dict)
-    rows: list[tuple[float, ...]] = field(default_factory=list)
+    """Languages, and log frequencies per language of words and of n-grams: names and a matrix with a row for each."""
+
+    def __init__(self, languages: list[str], words: dict[str, int], word_table, grams: dict[str, int], gram_table):
+        self.languages, self.words, self.word_table, self.grams, self.gram_table = languages, words, word_table, grams, gram_table
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.table = np.zeros((1 << 12, len(self.languages)))
 
-    def word(self, word: str) -> tuple[float, ...]:
+    def word(self, word: str) -> np.ndarray:
         """Log frequency of a word per language, by n-grams where the word is unknown."""
-        if word in self.words:
-            return self.words[word]
+        at = self.words.get(word)
+        if at is not None:
+            return self.word_table[at]
         marked = f"_{word}_"
         for n in range(min(LONGEST, len(marked)), 0, -1):
-            known = [g for k in range(len(marked) - n + 1) if (g := self.grams.get(marked[k : k + n]))]
+            known = [g for k in range(len(marked) - n + 1) if (g := self.grams.get(marked[k : k + n])) is not None]
             if known:
-                return tuple(sum(column) / len(known) for column in zip(*known))
-        return (0.0,) * len(self.languages)
+                return self.gram_table[known].mean(0)
+        return np.zeros(len(self.languages))
 
     def place(self, word: str) -> int:
         at = self.seen.get(word)
         if at is None:
-            at = self.seen[word] = len(self.rows)
-            self.rows.append(self.word(word))
+            at = self.seen[word] = len(self.seen)
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[at] = self.word(word)
         return at
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-            self.rows.clear()
+            self._forget()
         found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         places = np.fromiter((self.place(w) for ws in found for w in ws), np.int64, int(sizes.sum()))
         if not self.languages or not len(places):
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         owner = np.repeat(np.arange(len(found)), sizes)
-        table = np.array(self.rows)[places]
+        table = self.table[places]
         sums = np.stack([np.bincount(owner, table[:, k], len(found)) for k in range(len(self.languages))], 1)
         scaled = sums * np.minimum(1, CONFIDENT / np.maximum(sizes, 1))[:, None]
         best = scaled.argmax(1)
@@ -81,6 +87,10 @@ class Model:
         return names, np.where(sizes > 0, score, 0.0).tolist()
 
 
+def _numbered(tables: dict[str, tuple[float, ...]], width: int) -> tuple[dict[str, int], np.ndarray]:
+    return {key: k for k, key in enumerate(tables)}, np.array(list(tables.values()), np.float64).reshape(len(tables), width)
+
+
 def _table(rows, languages: list[str], totals: dict[str, int]) -> dict[str, tuple[float, ...]]:
     """Log frequencies of keys per language."""
     counts: dict[str, list[int]] = defaultdict(lambda: [0] * len(languages))
@@ -104,6 +114,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         .groupBy("lang", "key")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    words = written(words, "words")  # of a sample of fixed size; read four times
     marked = F.concat(F.lit("_"), "key", F.lit("_"))
     at = F.explode(F.sequence(F.lit(1), F.length("marked") - F.col("size") + 1))
     grams = (
@@ -126,10 +137,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     for r in gram_rows:
         if r["lang"] in languages:
             by_size[r["size"]].append(r)
-    model = Model(languages, _table(word_rows, languages, {k[0]: n for k, n in word_totals.items()}), {})
+    grams = {}
+    known = _numbered(_table(word_rows, languages, {k[0]: n for k, n in word_totals.items()}), len(languages))
     for size, some in by_size.items():
-        model.grams |= _table(some, languages, {k[0]: n for k, n in gram_totals.items() if k[1] == size})
-    return model
+        grams |= _table(some, languages, {k[0]: n for k, n in gram_totals.items() if k[1] == size})
+    return Model(languages, *known, *_numbered(grams, len(languages)))
 
 
 _models: dict[str, Model] = {}
@@ -137,7 +149,7 @@ _models: dict[str, Model] = {}
 
 def predictor(spark: SparkSession, model: Model):
     """A column function: text to struct(lang_pred, score)."""
-    sent = spark.sparkContext.broadcast((model.languages, model.words, model.grams))  # of fixed size, see fit
+    sent = spark.sparkContext.broadcast((model.languages, model.words, model.word_table, model.grams, model.gram_table))  # of fixed size, see fit
     name = os.urandom(8).hex()
 
     @F.pandas_udf("lang_pred string, score double")
@@ -145,7 +157,7 @@ def predictor(spark: SparkSession, model: Model):
         if name not in _models:
             _models.clear()
             _models[name] = Model(*sent.value)
-        parts = [_models[name].predict(text.iloc[a : a + 500].tolist()) for a in range(0, len(text), 500)]
+        parts = [_models[name].predict(text.iloc[a : a + 200].tolist()) for a in range(0, len(text), 200)]
         return pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
 
     return run
