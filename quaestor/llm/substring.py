@@ -21,6 +21,8 @@ and rows that share an id are never linked with each other.  Empty tables give n
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,9 +35,6 @@ from quaestor.llm.counting import distinct, to_keys, with_totals, words_in
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.75
 WIDTH = PASSAGE - SHINGLE + 1
 HASHES, FAR = 3, 22
-#: Spans whose words were shifted by an edit still match in so many places around the minimum: a passage of 50 words at the
-#: threshold has one such edit, and one of its two unbroken sides holds the minimum.
-PIECE = 12
 BATCH_BYTES = 4 << 20
 SITES = "kind int, key long, beyond long, doc long, at int, place int, sketch binary, other long, first int, last int, other_first int, similarity double"
 LINKS = "doc long, first int, last int, other long, other_first int, similarity double"
@@ -113,21 +112,6 @@ def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return distinct(key[new])
 
 
-def _best(score: np.ndarray) -> int:
-    """Length of the prefix with the highest sum (0 if none is positive)."""
-    if not len(score):
-        return 0
-    sums = np.cumsum(score)
-    k = int(sums.argmax())
-    return k + 1 if sums[k] > 0 else 0
-
-
-def _around(match: np.ndarray, at: int) -> tuple[int, int]:
-    """The stretch around a place in which matches are dense: first and last position."""
-    score = np.where(match, 1, -3)
-    return at - _best(score[:at][::-1]), at + _best(score[at + 1 :])
-
-
 def verify(x: np.ndarray, at_x: int, y: np.ndarray, at_y: int):
     """First and last shingle of matching passages of two spans whose shingles at_x and at_y agree, and their similarity.
 
@@ -137,40 +121,62 @@ def verify(x: np.ndarray, at_x: int, y: np.ndarray, at_y: int):
     same = x[at_x - left : at_x + right] == y[at_y - left : at_y + right]
     if left + right >= WIDTH and same.all():
         return at_x - left, at_x + right - 1, at_y - left, at_y + right - 1, 1.0
-    a, b = _around(same, left)
-    size, both = b - a + 1, int(np.count_nonzero(same[a : b + 1]))
-    if size >= WIDTH and both >= SIMILARITY * (2 * size - both):
-        return a + at_x - left, b + at_x - left, a + at_y - left, b + at_y - left, both / (2 * size - both)
-    if np.count_nonzero(same) < PIECE:
-        return None
-    # words were put in or left out: compare as sets (small ones, for which plain Python is faster than arrays)
     one, two = x.tolist(), y.tolist()
-    in_one, in_two = set(one), set(two)
-    if len(in_one & in_two) < SIMILARITY * WIDTH:
+    in_two = set(two)
+    if sum(v in in_two for v in one) < SIMILARITY * WIDTH:  # an upper bound of what any two stretches share
         return None
-    a, b = _dense([v in in_two for v in one], at_x)
-    if b - a + 1 < WIDTH:
-        return None
-    c, d = _dense([v in in_one for v in two], at_y)
-    if d - c + 1 < WIDTH:
+    return _stretch(one, at_x, two, at_y)
+
+
+def _names(values: list[int], at: int, repeated: set[int]) -> list:
+    """Names that tell the places of a repeated shingle apart: by side of the minimum and distance from it in occurrences."""
+    if not repeated:
+        return values
+    names = list(values)
+    for side, places in ((-1, range(at - 1, -1, -1)), (1, range(at + 1, len(values)))):
+        seen: Counter = Counter()
+        for k in places:
+            if values[k] in repeated:
+                seen[values[k]] += 1
+                names[k] = (values[k], side * seen[values[k]])
+    names[at] = None
+    return names
+
+
+def _stretch(one: list[int], at_x: int, two: list[int], at_y: int):
+    """The stretches around the minimum that share most shingles at a Jaccard similarity of at least SIMILARITY.
+
+    Where neighbours of matching ends match as well, longer stretches are more similar, so ends are those of runs of matches.
+    Stretches shorter than WIDTH are filled up with shingles that count as different.
+    """
+    repeated = {v for values in (one, two) if len(set(values)) < len(values) for v, n in Counter(values).items() if n > 1}
+    where = {name: j for j, name in enumerate(_names(two, at_y, repeated))}
+    pairs = [(i, where[name]) for i, name in enumerate(_names(one, at_x, repeated)) if name in where]
+    both = set(pairs)
+    starts = [(i, j) for i, j in pairs if (i - 1, j - 1) not in both]
+    ends = [(i, j) for i, j in pairs if (i + 1, j + 1) not in both]
+    i, j = np.array(pairs).T
+    spans = []
+    for k, at, places in ((0, at_x, i), (1, at_y, j)):
+        low = np.array(sorted({v[k] for v in starts if v[k] <= at}))
+        high = np.array(sorted({v[k] for v in ends if v[k] >= at}))
+        low, high = np.repeat(low, len(high)), np.tile(high, len(low))
+        spans.append((low, high, ((places >= low[:, None]) & (places <= high[:, None])).astype(np.float32)))
+    (a, b, inside_x), (c, d, inside_y) = spans
+    common = inside_x @ inside_y.T
+    union = np.maximum(b - a + 1, WIDTH)[:, None] + np.maximum(d - c + 1, WIDTH) - common
+    ratio = common / union
+    good = common >= SIMILARITY * union
+    if not good.any():
         return None
-    in_one, in_two = set(one[a : b + 1]), set(two[c : d + 1])
-    both = len(in_one & in_two)
-    union = len(in_one) + len(in_two) - both
-    return (a, b, c, d, both / union) if both >= SIMILARITY * union else None
-
-
-def _dense(match: list[bool], at: int) -> tuple[int, int]:
-    """As _around(), for lists."""
-    ends = []
-    for side in (match[:at][::-1], match[at + 1 :]):
-        best = total = end = 0
-        for k, hit in enumerate(side, 1):
-            total += 1 if hit else -3
-            if total > best:
-                best, end = total, k
-        ends.append(end)
-    return at - ends[0], at + ends[1]
+    n, m = np.unravel_index(int(np.where(good, common + ratio / 2, -1).argmax()), good.shape)
+    return (*_filled(int(a[n]), int(b[n]), len(one)), *_filled(int(c[m]), int(d[m]), len(two)), float(ratio[n, m]))
+
+
+def _filled(first: int, last: int, size: int) -> tuple[int, int]:
+    """A stretch made as long as WIDTH within its span: to the right, then to the left."""
+    last = max(last, min(first + WIDTH, size) - 1)
+    return min(first, max(0, last - WIDTH + 1)), last
 
 
 def _link(x: tuple[int, int], y: tuple[int, int], found: tuple) -> tuple:

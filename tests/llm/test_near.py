@@ -111,6 +111,47 @@ def test_compact_windows_are_the_nodes_of_the_tree():
     assert sorted(found) == sorted(nodes(0, 200) + nodes(200, 300))
 
 
+@pytest.mark.parametrize("size", [50, 55, 62, 70])
+@pytest.mark.parametrize("edit", ["substitute", "insert", "delete"])
+def test_verify_finds_every_edited_passage(size, edit):
+    """One edit at any place: wherever a shared shingle is the minimum, the best stretches are found, as brute force finds them."""
+    rng = np.random.default_rng(size)
+    W = substring.WIDTH
+    tokens = lambda n: rng.integers(0, 1 << 63, n, np.uint64)
+    passage = tokens(size)
+    for k in range(size):
+        other = {
+            "substitute": [passage[:k], tokens(1), passage[k + 1 :]],
+            "insert": [passage[:k], tokens(1), passage[k:]],
+            "delete": [passage[:k], passage[k + 1 :]],
+        }[edit]
+        x, y = (common.grams(np.concatenate([tokens(30), *p, tokens(30)]), 5) & np.uint64(0xFFFF) for p in ([passage], other))
+        x, y = x.astype(np.uint16), y.astype(np.uint16)
+        n = size - 4
+        for at in {30, 30 + k // 2, 30 + n // 2, 30 + n - 1}:
+            here = np.flatnonzero(y == x[at])
+            if not len(here):
+                continue
+            at_y = int(here[0])
+            u, v = x[max(0, at - W + 1) : at + W], y[max(0, at_y - W + 1) : at_y + W]
+            p, q = min(at, W - 1), min(at_y, W - 1)
+            best = 0  # over all stretches of W and W + 1 shingles that hold the minimum
+            for wide in (W, W + 1):
+                for wide_y in (W, W + 1):
+                    for a in range(max(0, p - wide + 1), min(p, len(u) - wide) + 1):
+                        for c in {q - p + a + s for s in (-1, 0, 1)}:
+                            if max(0, q - wide_y + 1) <= c <= min(q, len(v) - wide_y):
+                                s, t = set(u[a : a + wide].tolist()), set(v[c : c + wide_y].tolist())
+                                best = max(best, len(s & t) / len(s | t))
+            found = substring.verify(u, p, v, q)
+            assert (found is not None) >= (best >= 0.75), (k, at, best)
+            if found:
+                a, b, c, d, similarity = found
+                assert a <= p <= b < len(u) and c <= q <= d < len(v) and min(b - a, d - c) + 1 >= W and 0.75 <= similarity <= 1
+                s, t = set(u[a : b + 1].tolist()), set(v[c : d + 1].tolist())
+                assert len(s & t) >= 0.74 * len(s | t)
+
+
 def test_substring(spark):
     rows = documents()
     docs = frame(spark, rows)
