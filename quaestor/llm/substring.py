@@ -9,11 +9,12 @@ their spans are then verified: a stretch of at least PASSAGE words around the mi
 SIMILARITY on its shingles.  One hash function that agrees is enough to verify: an exact repeat agrees in all of them, a
 repeat at the threshold in at least one of three with a probability of 1 - 0.25 ** 3 or 0.98.
 
-Windows whose minimum occurs in one document only never leave their batch.  Within a batch the windows of a key are
-verified against the first of them and stay behind if they match, so a passage that a third of all documents share sends
-about one row per batch.  What remains is sorted by (key, shingle FAR places away, document) and verified row by row
-against the first of its sub-group and the first of its key, in constant memory.  FAR keeps a passage apart from a
-shorter one inside it.  A link leads from a document to one with a smaller id.
+Windows whose minimum occurs in one document only never leave their batch.  Within a batch, windows of a key with equal
+spans are one: the others are repeats of the first, whole, and stay behind, and whatever repeats one of them later repeats
+the first as well.  All that remain of a key are compared with each other.  A key of more than BLOCK documents is dealt into
+blocks, and each pair of blocks is a cell of its own, so cells of one key spread over tasks.  A window is compared with those
+of smaller documents until its whole span is known to be repeated, and only with ones that share enough shingles for a match
+and hold a shingle not yet covered: the others could add nothing.  A link leads from a document to one with a smaller id.
 
 Nulls: a null text is empty, documents shorter than a passage have none; rows without an id neither give nor take links,
 and rows that share an id are never linked with each other.  Empty tables give no rows.
@@ -21,7 +22,10 @@ and rows that share an id are never linked with each other.  Empty tables give n
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -29,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import PRIME, grams, in_batches, mix, texts, word_hashes
+from quaestor.llm.common import PRIME, grams, in_batches, mix, mix_one, texts, word_hashes
 from quaestor.llm.counting import distinct, to_keys, with_totals, words_in
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.75
 WIDTH = PASSAGE - SHINGLE + 1
-HASHES, FAR = 3, 22
+HASHES = 3
 BATCH_BYTES = 4 << 20
-SITES = "kind int, key long, beyond long, doc long, at int, place int, sketch binary, other long, first int, last int, other_first int, similarity double"
+#: Documents of a key in a block, and earlier windows screened at a time.
+BLOCK, SCREEN = 2048, 256
+#: Cells of so many windows are compared one by one.
+SMALL = 6
+SITES = "kind int, key long, cell int, doc long, at int, place int, sketch binary, other long, first int, last int, other_first int, similarity double"
 LINKS = "doc long, first int, last int, other long, other_first int, similarity double"
 
 
@@ -81,16 +89,13 @@ class Windows:
                     l, c, r = compact_windows(s, row, f + 1)
                     keep = (row[l] >= 0) & (row[l] == row[c]) & (row[r] == row[c])
                     l, c, r = l[keep], c[keep], r[keep]
-                    far = c + (FAR if f % 2 == 0 else -FAR)
-                    reach = (far >= 0) & (far < n) & (row[np.clip(far, 0, n - 1)] == row[c])
-                    beyond = np.where(reach, s[np.clip(far, 0, n - 1)], np.uint64(0))
                     key, doc = mix(s[c] * np.uint64(PRIME) + np.uint64(f)), row[c]
-                    parts.append((key, beyond, doc, l + base, c + base, r + base, begin[doc - first - chunk_at] + base))
+                    parts.append((key, doc, l + base, c + base, r + base, begin[doc - first - chunk_at] + base))
                 blocks.append(s)
                 base += n
-        kinds = dict(zip(("key", "beyond", "doc", "l", "c", "r", "begin"), (np.uint64, np.uint64) + (np.int64,) * 5))
+        kinds = dict(zip(("key", "doc", "l", "c", "r", "begin"), (np.uint64,) + (np.int64,) * 5))
         columns = zip(*parts) if parts else ([np.zeros(0, k)] for k in kinds.values())
-        self.key, self.beyond, self.doc, self.l, self.c, self.r, self.begin = (np.concatenate(list(c)) for c in columns)
+        self.key, self.doc, self.l, self.c, self.r, self.begin = (np.concatenate(list(c)) for c in columns)
         self.shingles = np.concatenate(blocks) if blocks else np.zeros(0, np.uint64)
 
 
@@ -187,8 +192,11 @@ def _link(x: tuple[int, int], y: tuple[int, int], found: tuple) -> tuple:
     return doc, first, last, other, other_first, similarity
 
 
-def _sites(table: pa.Table, totals: np.ndarray) -> pa.Table:
-    """Windows whose key others have too (kind 0), and links found within the batch (kind 1)."""
+def _sites(table: pa.Table, totals: np.ndarray, block: int) -> pa.Table:
+    """Windows whose key others have too, and links found within the batch (kind 1).
+
+    Kind 0 is a window in a cell of one block, kinds 2 and 3 tell the two blocks of a cell apart.
+    """
     w = Windows(table)
     ids = table.column("id").to_pylist()
     _, code = np.unique(to_keys(w.key), return_inverse=True)
@@ -196,32 +204,37 @@ def _sites(table: pa.Table, totals: np.ndarray) -> pa.Table:
     names = np.array([-1 if i is None else 1 for i in ids], np.int64)
     shared = shared[names[w.doc[shared]] > 0]
     doc_id = np.array([i if i is not None else 0 for i in ids], np.int64)
-    shared = shared[np.lexsort((w.c[shared], doc_id[w.doc[shared]], w.beyond[shared], w.key[shared]))]
+    shared = shared[np.lexsort((w.c[shared], doc_id[w.doc[shared]], w.key[shared]))]
     start = np.maximum(w.l, w.c - WIDTH + 1)
     end = np.minimum(w.r, w.c + WIDTH - 1)
     short = (w.shingles & np.uint64(0xFFFF)).astype(np.uint16)
-    sites, links = [], []
-    group, reps = None, []
+    sites, kinds, links = [], [], []
+    blocks = -(-totals[code] // block) if len(code) else code
+    group, seen = None, {}
     for k in shared.tolist():
         doc, c = int(doc_id[w.doc[k]]), int(w.c[k])
         sketch, place = short[start[k] : end[k] + 1], c - int(start[k])
+        raw = sketch.tobytes()
         at = int(start[k] - w.begin[k])  # first shingle of the sketch within the document
-        if group != (w.key[k], w.beyond[k]):
-            group, reps = (w.key[k], w.beyond[k]), []
-        for other, sketch_o, place_o, at_o in reps:
-            found = verify(sketch, place, sketch_o, place_o) if other != doc else None
-            if found:
-                links.append(_link((doc, at), (other, at_o), found))
-                break
-        else:
-            reps = reps[:1] or [(doc, sketch, place, at)]
-            sites.append((int(w.key[k].astype(np.int64)), int(w.beyond[k].astype(np.int64)), doc, at, place, sketch.tobytes()))
+        if group != w.key[k]:
+            group, seen = w.key[k], {}
+        other, at_o = seen.setdefault((place, raw), (doc, at))
+        if other != doc:
+            last = len(sketch) - 1
+            links.append(_link((doc, at), (other, at_o), (0, last, 0, last, 1.0)))
+            continue
+        name = int(w.key[k].astype(np.int64))
+        n = int(blocks[k])
+        own = mix_one(doc) % n
+        for j in range(n):
+            kinds.append(0 if own == j else 2 if own < j else 3)
+            sites.append((name, min(own, j) * n + max(own, j), doc, at, place, raw))
     # links travel with the sites, spread by where they are
     ns, nl = len(sites), len(links)
     spread = mix(np.array([v[0] * 31 + v[1] for v in links], np.int64).view(np.uint64)).view(np.int64).tolist()
     s, v = list(zip(*sites)) or [()] * 6, list(zip(*links)) or [()] * 6
     none_s, none_l = [None] * ns, [None] * nl
-    columns = [[0] * ns + [1] * nl]
+    columns = [kinds + [1] * nl]
     columns += [list(s[0]) + spread, list(s[1]) + none_l] + [list(s[2]) + list(v[0])] + [list(s[k]) + none_l for k in (3, 4, 5)]
     columns += [none_s + list(v[k]) for k in (3, 1, 2, 4, 5)]
     return pa.table([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
@@ -233,40 +246,87 @@ _TYPES = [_KINDS[c.split(" ")[1]] for c in SITES.split(", ")]
 
 
 def _match(batches):
-    """Verify sorted windows against the first of their sub-group and of their key; pass links on."""
-    key = beyond = top = sub = None
+    """Compare the windows of each cell of a key, which follow each other; pass links on."""
     names = [c.split(" ")[0] for c in LINKS.split(", ")]
-    for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        done = batch.filter(pa.array(kind == 1)).select(names)
-        if done.num_rows:
-            yield done
-        links, open_ = [], batch.filter(pa.array(kind == 0))
-        for row in zip(*(open_.column(c).to_pylist() for c in ("key", "beyond", "doc", "at", "place", "sketch"))):
-            k, far, doc, at, place, raw = row
-            own = (doc, at, place, np.frombuffer(raw, np.uint16))
-            if k != key:
-                key, beyond, top, sub = k, far, own, own
-                continue
-            if far != beyond:
-                beyond, tried, sub = far, [top], own
-            else:
-                tried = [sub] if sub is top else [sub, top]
-            for other in tried:
-                found = verify(own[3], place, other[3], other[2]) if other[0] != doc else None
-                if found:
-                    links.append(_link((doc, at), other[:2], found))
-                    break
+    kinds = [_KINDS[c.split(" ")[1]] for c in LINKS.split(", ")]
+    group, held = None, []
+    for batch in itertools.chain(batches, [None]):
+        links: list[tuple] = []
+        if batch is None:
+            _compare(held, links)
+        else:
+            kind = batch.column("kind").to_numpy()
+            done = batch.filter(pa.array(kind == 1)).select(names)
+            if done.num_rows:
+                yield done
+            open_ = batch.filter(pa.array(kind != 1))
+            for key, cell, *row in zip(*(open_.column(c).to_pylist() for c in ("key", "cell", "doc", "at", "place", "sketch", "kind"))):
+                if group != (key, cell):
+                    _compare(held, links)
+                    group, held = (key, cell), []
+                held.append(row)
         if links:
-            kinds = [_KINDS[c.split(" ")[1]] for c in LINKS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*links), kinds)], names)
 
 
+def _compare(rows: list, links: list[tuple]) -> None:
+    """Links of the windows (doc, at, place, sketch, kind) of a cell, in order of documents, to those of smaller documents.
+
+    In a cell of two blocks, to those of the other block.
+    """
+    if len(rows) < 2 or rows[0][0] == rows[-1][0]:
+        return
+    spans = [np.frombuffer(r[3], np.uint16) for r in rows]
+    if len(rows) > SMALL:
+        table = np.full((len(rows), 2 * WIDTH - 1), 1 << 16, np.int32)
+        for k, span in enumerate(spans):
+            table[k, : len(span)] = span
+        mark = np.zeros((1 << 16) + 1, np.uint8)
+    least, kinds = math.ceil(SIMILARITY * WIDTH), np.array([r[4] for r in rows])
+    first = 0  # rows before it have smaller documents
+    for k, (doc, at, place, _, kind) in enumerate(rows):
+        if rows[first][0] != doc and rows[k - 1][0] != doc:
+            first = k
+        span, low, high = spans[k], None, None
+        for begin in range(0, first, SCREEN):
+            stop = min(begin + SCREEN, first)
+            if len(rows) > SMALL:
+                mark[span] = 1
+                near = mark[table[begin:stop]].sum(1) >= least
+                mark[span] = 0
+                if kind:
+                    near &= kinds[begin:stop] != kind
+                if low is not None and near.any():
+                    open_ = np.concatenate([span[:low], span[high + 1 :]])
+                    mark[open_] = 1
+                    near &= mark[table[begin:stop]].any(1)
+                    mark[open_] = 0
+                tried = (begin + np.flatnonzero(near)).tolist()
+            else:
+                tried = range(begin, stop)
+            for o in tried:
+                other = rows[o]
+                if kind and other[4] == kind:
+                    continue
+                if low is not None and not rest & set(spans[o].tolist()):
+                    continue
+                found = verify(span, place, spans[o], other[2])
+                if found is None:
+                    continue
+                links.append(_link((doc, at), (other[0], other[1]), found))
+                low, high = (found[0], found[1]) if low is None else (min(low, found[0]), max(high, found[1]))
+                rest = set(span[:low].tolist()) | set(span[high + 1 :].tolist())
+                if not rest:
+                    break
+            if low is not None and not rest:
+                break
+
+
 def links(docs: DataFrame) -> DataFrame:
     """doc, first, last (shingles, inclusive), other, other_first, similarity: verified repeats of earlier documents."""
     rows = texts(docs)
-    sites = with_totals(in_batches(rows, BATCH_BYTES), _keys, _sites, SITES, HASHES * 2 * words_in(rows) // WIDTH)
-    ordered = sites.repartition("key").sortWithinPartitions("kind", "key", "beyond", "doc", "at")
+    sites = with_totals(in_batches(rows, BATCH_BYTES), _keys, partial(_sites, block=BLOCK), SITES, HASHES * 2 * words_in(rows) // WIDTH)
+    ordered = sites.repartition("key", "cell").sortWithinPartitions("key", "cell", "doc", "at")
     return ordered.mapInArrow(_match, LINKS)
 
 

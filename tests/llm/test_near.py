@@ -176,6 +176,35 @@ def test_substring(spark):
     assert substring.passages(frame(spark, [])).count() == 0 and substring.without_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 2048])
+def test_substring_compares_all_windows_of_a_key(spark, monkeypatch, block):
+    """Repeats whose first relative in the key is another one: edited siblings, and passages around a line of all documents."""
+    monkeypatch.setattr(substring, "BLOCK", block)
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    rows, want = [], []
+
+    def add(w):
+        rows.append((len(rows), " ".join(w), "en", "s1", 1, None, None, None, None))
+        return len(rows) - 1
+
+    line = fresh(30)
+    for _ in range(12):
+        o = fresh(60)
+        a, b = list(o), list(o)
+        a[15], b[45] = fresh(2)
+        add(a)  # shares 46 of 66 shingles with b, o shares 51 of 61
+        want.append((add(o), add(b)))
+    for _ in range(12):
+        add(fresh(40) + line + fresh(40))
+    for _ in range(6):
+        p = fresh(10) + line + fresh(10)
+        want.append((add(fresh(40) + p + fresh(40)), add(fresh(40) + p + fresh(40))))
+    found = {(p.other, p.doc) for p in substring.links(frame(spark, rows)).collect()}
+    assert not [pair for pair in want if pair not in found]
+    assert all(a < b for a, b in found)
+
+
 def vectors(seed=0):
     rng = np.random.default_rng(seed)
     rows, centre = [], rng.normal(size=8)
