@@ -7,7 +7,7 @@ sliding window of one passage, and their spans are kept as far as a passage of t
 longer passages are made up of these.  Windows of one hash function join when their minima are the same shingle, and
 their spans are then verified: a stretch of at least PASSAGE words around the minimum with Jaccard similarity of at least
 SIMILARITY on its shingles.  One hash function that agrees is enough to verify: an exact repeat agrees in all of them, a
-repeat at the threshold in at least one of three with a probability of 1 - 0.25 ** 3 or 0.98.
+repeat at the threshold in at least one of four with a probability of 1 - 0.25 ** 4 or 0.996.
 
 Windows whose minimum occurs in one document only never leave their batch.  Within a batch, windows of a key with equal
 spans are one: the others are repeats of the first, whole, and stay behind, and whatever repeats one of them later repeats
@@ -38,7 +38,7 @@ from quaestor.llm.counting import distinct, to_keys, with_totals, words_in
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.75
 WIDTH = PASSAGE - SHINGLE + 1
-HASHES = 3
+HASHES = 4
 BATCH_BYTES = 4 << 20
 #: Documents of a key in a block, and earlier windows screened at a time.
 BLOCK, SCREEN = 2048, 256

@@ -205,6 +205,24 @@ def test_substring_compares_all_windows_of_a_key(spark, monkeypatch, block):
     assert all(a < b for a, b in found)
 
 
+def test_substring_recall_of_edited_passages(spark):
+    """Passages of 50 to 59 words with one word substituted, inserted or left out, in other contexts: links against brute force."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(1500):
+        p = fresh(50 + k % 10)
+        at = rng.randrange(len(p))
+        q = [p[:at] + fresh(1) + p[at + 1 :], p[:at] + fresh(1) + p[at:], p[:at] + p[at + 1 :]][k % 3]
+        x, y = (shingles(" ".join(w)) for w in (p, q))
+        if min(len(p), len(q)) >= 50 and len(x & y) >= 0.75 * len(x | y):
+            want.add((2 * k, 2 * k + 1))
+        rows += [(2 * k + n, " ".join(fresh(40) + w + fresh(40)), "en", "s1", 1, None, None, None, None) for n, w in enumerate((p, q))]
+    found = {(r.other, r.doc) for r in substring.links(frame(spark, rows)).collect()}
+    print(f"recall {len(want & found)} of {len(want)}")
+    assert len(want) > 1000 and len(want & found) >= 0.998 * len(want)
+
+
 def vectors(seed=0):
     rng = np.random.default_rng(seed)
     rows, centre = [], rng.normal(size=8)
