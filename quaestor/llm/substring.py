@@ -282,6 +282,7 @@ def _compare(rows: list, links: list[tuple]) -> None:
         for k, span in enumerate(spans):
             table[k, : len(span)] = span
         mark = np.zeros((1 << 16) + 1, np.uint8)
+        where = np.full((1 << 16) + 1, -1, np.int16)
     least, kinds = math.ceil(SIMILARITY * WIDTH), np.array([r[4] for r in rows])
     first = 0  # rows before it have smaller documents
     for k, (doc, at, place, _, kind) in enumerate(rows):
@@ -296,19 +297,19 @@ def _compare(rows: list, links: list[tuple]) -> None:
                 mark[span] = 0
                 if kind:
                     near &= kinds[begin:stop] != kind
-                if low is not None and near.any():
-                    open_ = np.concatenate([span[:low], span[high + 1 :]])
-                    mark[open_] = 1
-                    near &= mark[table[begin:stop]].any(1)
-                    mark[open_] = 0
-                tried = (begin + np.flatnonzero(near)).tolist()
+                tried = begin + np.flatnonzero(near)
+                most = _reach(span, place, table[tried], where) if len(tried) else None
             else:
-                tried = range(begin, stop)
-            for o in tried:
+                tried = np.arange(begin, stop)
+            for n, o in enumerate(tried.tolist()):
                 other = rows[o]
                 if kind and other[4] == kind:
                     continue
-                if low is not None and not rest & set(spans[o].tolist()):
+                if len(rows) > SMALL:
+                    first_held, last_held, n_held = (int(m[n]) for m in most)
+                    if n_held < least or low is not None and low <= first_held and last_held <= high:
+                        continue
+                elif low is not None and not rest & set(spans[o].tolist()):
                     continue
                 found = verify(span, place, spans[o], other[2])
                 if found is None:
@@ -322,6 +323,31 @@ def _compare(rows: list, links: list[tuple]) -> None:
                 break
 
 
+def _reach(span: np.ndarray, place: int, others: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of what verify() can find of a span in each of other windows: first and last shingle, and how many are held.
+
+    A stretch has at most as many shingles in common as it has shingles the other window holds, and its union with any other
+    is at least as long as itself, so with +1 for a shingle that is held and -3 for one that is not no similar stretch has a
+    negative sum.  What a stretch is filled up with holds nothing repeated and does not count.
+    """
+    values, inverse = np.unique(span, return_inverse=True)
+    where[values] = np.arange(len(values))
+    held = np.zeros((len(others), len(values) + 1), bool)
+    held[np.arange(len(others))[:, None], where[others]] = True  # -1, for shingles the span lacks, is the last column
+    where[values] = -1
+    held = held[:, :-1][:, inverse]
+    score = np.where(held, 1, -3).astype(np.int16)
+    ahead = np.cumsum(score[:, place + 1 :], axis=1)
+    behind = np.cumsum(score[:, :place][:, ::-1], axis=1)
+    none = np.zeros((len(others), 1), np.int16)
+    ahead, behind = np.hstack([none, ahead]), np.hstack([none, behind])
+    high = (ahead + behind.max(1)[:, None] + 1 >= 0) & held[:, place:]
+    low = (behind + ahead.max(1)[:, None] + 1 >= 0) & held[:, place::-1]
+    last = place + ahead.shape[1] - 1 - high[:, ::-1].argmax(1)
+    first = place - (behind.shape[1] - 1 - low[:, ::-1].argmax(1))
+    return first, last, held.sum(1)
+
+
 def links(docs: DataFrame) -> DataFrame:
     """doc, first, last (shingles, inclusive), other, other_first, similarity: verified repeats of earlier documents."""
     rows = texts(docs)

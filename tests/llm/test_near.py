@@ -205,6 +205,37 @@ def test_substring_compares_all_windows_of_a_key(spark, monkeypatch, block):
     assert all(a < b for a, b in found)
 
 
+def test_bounds_of_spans_hold():
+    rng = np.random.default_rng(6)
+    where, n_found = np.full((1 << 16) + 1, -1, np.int16), 0
+    for k in range(400):
+        span = rng.integers(0, 1 << 16 if k % 4 else 60, 91).astype(np.uint16)
+        others, places = [], []
+        for _ in range(5):
+            w, at = span.tolist(), 45
+            for _ in range(rng.integers(0, 5)):
+                cut = int(rng.integers(0, len(w)))
+                if abs(cut - at) > 5:
+                    new = rng.integers(0, 1 << 16, rng.integers(0, 6)).tolist()
+                    if cut < at:
+                        at += len(new) - len(w[cut : cut + 5])
+                    w[cut : cut + 5] = new
+            others.append(np.array(w[max(0, at - 45) : at + 46], np.uint16))
+            places.append(min(at, 45))
+        table = np.full((5, 91), 1 << 16, np.int32)
+        for o, w in enumerate(others):
+            table[o, : len(w)] = w
+        first, last, held = substring._reach(span, 45, table, where)
+        assert (where == -1).all()
+        for o, w in enumerate(others):
+            found = substring.verify(span, 45, w, places[o])
+            if found:
+                inside = [p for p in range(found[0], found[1] + 1) if span[p] in w]
+                n_found += 1
+                assert first[o] <= inside[0] and inside[-1] <= last[o] and held[o] >= 35
+    assert n_found > 500
+
+
 def test_substring_recall_of_edited_passages(spark):
     """Passages of 50 to 59 words with one word substituted, inserted or left out, in other contexts: links against brute force."""
     rng = random.Random(3)
