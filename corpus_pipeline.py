@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs.  All but the last keep the columns of documents, whatever they are.
-Nulls: a null text has no language and goes; rows without an id pass the near-duplicate stages as they are.
+Nulls: a null text has no language and goes; rows without an id pass the passage stage as they are.
 """
 
 import public_tokenizers
@@ -36,9 +36,20 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    copies = jaccard_join.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(copies, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
+    """One row of each group of near-duplicates: of the smallest id, rows without an id last, then of the smallest hash.
+
+    A row is decided by its id and text, so rows that share an id are apart if their texts differ; rows equal in both are
+    repeats of one document, of which one stays.  Texts without words are no duplicates of anything and stay.
+    """
+    number = F.col("doc_id").cast("long")
+    keyed = docs.withColumn("__key", F.shiftrightunsigned(F.xxhash64(number, "text"), 1))
+    joined = jaccard_join.join(keyed.select(F.col("__key").alias("doc_id"), "text")).where("n_shingles > 0")
+    groups = joined.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("__group"))
+    rows = written(keyed.select("__key", number.alias("__id")).join(groups, "__key"), "groups")
+    firsts = rows.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__key")).alias("f")).select("f.__key")
+    first = keyed.join(firsts, "__key", "left_semi").dropDuplicates(["__key", "doc_id", "text"])
+    none = keyed.join(groups, "__key", "left_anti")
+    return first.union(none).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

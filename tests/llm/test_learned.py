@@ -70,6 +70,16 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
 
 
+def test_near_duplicates_keep_one_row_of_a_group(spark, tmp_path):
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, "en", 60) for _ in range(4))
+    pairs = [(1, a), (1, a), (2, a), (1, b), (3, b), (None, c), (None, c), (4, d), (None, d), (5, ""), (6, ""), (None, "")]
+    docs = frame(spark, [(i, t, "en", "s", 1, None, None, None, None) for i, t in pairs])
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    want = [(1, a), (1, b), (None, c), (4, d), (5, ""), (6, ""), (None, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
