@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import ans, backoff_lm, cover_tree, cws, jaccard_join, langid, packing, piece_bpe, substring, toxicity
+from quaestor.llm import ans, backoff_lm, cover_tree, cws, importance, jaccard_join, langid, packing, piece_bpe, substring, toxicity
 from quaestor.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,11 @@ ORACLES["op3_cover_tree"] = cover_tree.ORACLE
 @query
 def op1_substring(spark, folder):
     return substring.passages(table(spark, folder, "documents"))
+
+
+@query
+def op13_importance(spark, folder):
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op13_importance"] = importance.ORACLE
