@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import ans, backoff_lm, cover_tree, cws, importance, jaccard_join, langid, packing, piece_bpe, substring, toxicity
+from quaestor.llm import ans, backoff_lm, cover_tree, cws, importance, jaccard_join, langid, maxscore, packing, piece_bpe, substring, toxicity
 from quaestor.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,11 @@ def op13_importance(spark, folder):
 
 
 ORACLES["op13_importance"] = importance.ORACLE
+
+
+@query
+def op12_maxscore(spark, folder):
+    return maxscore.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_maxscore"] = maxscore.ORACLE
