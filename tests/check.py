@@ -48,7 +48,7 @@ def compare(df, con, sql):
     want = rows(rel.fetchall(), rel.columns)
     if sorted(df.columns) != sorted(rel.columns):
         return False, f"columns {sorted(df.columns)} vs {sorted(rel.columns)}", len(got)
-    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
     types = dict(zip(rel.columns, map(str, rel.types)))
     off = [f"{n} {t} vs {types[n]}" for n, t in df.dtypes if kinds.get(t) != types[n]]
     if off:
