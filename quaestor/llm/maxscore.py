@@ -121,7 +121,7 @@ class Search:
         scores = postings.traverse(weights, terms[free:])
         self.work += (len(terms) - free) * postings.n
         alive = (scores + (gain[free - 1] if free else 0) > least).astype(bool) if full else np.ones(postings.n, bool)
-        alive[slice(*np.searchsorted(postings.ids, [self.ids[q], self.ids[q] + 1]))] = False
+        alive[np.searchsorted(postings.ids, self.ids[q]) : np.searchsorted(postings.ids, self.ids[q], "right")] = False
         at = np.flatnonzero(alive)
         scores = scores[at]
         while free and len(at):

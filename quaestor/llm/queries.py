@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm import ans, backoff_lm, cover_tree, cws, importance, jaccard_join, langid, maxscore, packing, piece_bpe, substring, toxicity
+from quaestor.llm import ans, backoff_lm, cover_tree, cws, importance, jaccard_join, langid, maxscore, packing, piece_bpe, prefix_trie, substring, toxicity
 from quaestor.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,12 @@ def op12_maxscore(spark, folder):
 
 
 ORACLES["op12_maxscore"] = maxscore.ORACLE
+
+
+@query
+def op11_prefix_trie(spark, folder):
+    turns, sizes = prefix_trie.rebuilt(prefix_trie.numbered(table(spark, folder, "conversations")), family=5, most=9)
+    return prefix_trie.trie(turns, sizes)
+
+
+ORACLES["op11_prefix_trie"] = prefix_trie.ORACLE
