@@ -429,7 +429,7 @@ def trie(turns: DataFrame, sizes: DataFrame, path: int = PATH, shard_turns: int
     )
     steps = early.count()
     shards = max(shuffle_partitions(turns.sparkSession), math.ceil(steps / shard_turns))
-    sorted_rows = rows.repartitionByRange(shards, "path").withColumn("shard", F.spark_partition_id())
+    sorted_rows = rows.repartitionByRange(shards, "path", "size").withColumn("shard", F.spark_partition_id())
     sorted_rows = written(sorted_rows, "shards")
     borders = sorted_rows.groupBy("shard").agg(F.min("path").alias("low"), F.max("path").alias("high"))
     near = Window.orderBy("shard")  # one row a shard
@@ -437,7 +437,7 @@ def trie(turns: DataFrame, sizes: DataFrame, path: int = PATH, shard_turns: int
     sides = borders.select("shard", F.explode(F.array(F.struct(F.lit(-1).alias("side"), F.col("before").alias("path")), F.struct(F.lit(1).alias("side"), F.col("after").alias("path")))).alias("b"))
     sides = sides.select("shard", "b.side", "b.path").where("path IS NOT NULL")
     whole = sorted_rows.withColumn("side", F.lit(0)).unionByName(sides, allowMissingColumns=True)
-    whole = whole.repartitionById(shards, "shard").sortWithinPartitions("shard", "side", "path")
+    whole = whole.repartitionById(shards, "shard").sortWithinPartitions("shard", "side", "path", "size")
     nodes = written(whole.mapInArrow(_build, _NODE), "nodes")
 
     out = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "weight", "once", "ends"]
