@@ -1,9 +1,11 @@
 """Lexical retrieval: BM25 over documents or sections.
 
 Shape of the plan: the query table is small next to the corpus, so its terms are broadcast once their size is checked.
-The corpus is exploded to tokens, cut down to query terms map-side, and shuffled once by document.  Term frequencies,
-per-section scores and per-document scores are then local to a partition, and the window that keeps the best k per
-query prunes inside each partition before it shuffles k rows per query.
+A published index is read by its terms: the broadcast prunes the folders of other terms, stored frequencies and lengths
+stand in for counts, and only postings of query terms are shuffled, once, by document.  Filters narrow candidates by a
+semi-join on that same key.  A table without an index is exploded to tokens and cut down to query terms map-side, in the
+same single shuffle.  Per-section scores and per-document scores are then local to a partition, and the window that keeps
+the best k per query prunes inside each partition before it shuffles k rows per query.
 """
 
 from functools import reduce
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import rules as R
 from quaestor.functions import text as X
-from quaestor.session import text_bytes
+from quaestor.session import settle, text_bytes
+from quaestor.sources.index import Index, bucket
 
 BROADCAST_BYTES = 16 << 20  # query text that may be broadcast; terms take no more rows than the text has bytes
 
@@ -91,33 +94,60 @@ def bm25_units(units: DataFrame, queries: DataFrame, text: str = "unit_text", ex
         F.count_if(marker).alias("n_units"), F.avg(F.when(marker, F.col("unit_len"))).alias("avg_len")
     )  # one row
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = (
-        terms.join(send(df), "term")
-        .crossJoin(F.broadcast(stats))
-        .select(
-            "query_id",
-            "term",
-            "avg_len",
-            (
-                F.col("weight")
-                * F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-                * (R.BM25_K1 + 1)
-            ).alias("w"),
-        )
-    )
+    weights = _weights(terms.join(send(df), "term").crossJoin(F.broadcast(stats)))
+    return _scores((found.where("keep") if keep else found).join(send(weights), "term"), [])
+
+
+def _weights(terms: DataFrame) -> DataFrame:
+    """What a query term adds at most: its boost by its rarity."""
+    rarity = F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return terms.withColumn("w", F.col("weight") * rarity * (R.BM25_K1 + 1)).drop("weight", "n_units", "df")
+
+
+def _scores(matched: DataFrame, scope: list[str]) -> DataFrame:
     tf = F.col("tf").cast("double")
     norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("unit_len") / F.col("avg_len"))
-    return (
-        (found.where("keep") if keep else found)
-        .join(send(weights), "term")
-        .groupBy("query_id", "doc_id", "unit_no")
-        .agg(F.sum(F.col("w") * tf / (tf + norm)).alias("score"))
-    )
+    return matched.groupBy("query_id", *scope, "doc_id", "unit_no").agg(F.sum(F.col("w") * tf / (tf + norm)).alias("score"))
+
+
+def index_units(
+    index: Index, queries: DataFrame, expand: bool = True, field: str = "section", kept: DataFrame | None = None
+) -> DataFrame:
+    """As bm25_units, from a published index; kept holds the doc_ids that a filter leaves as candidates.
+
+    Queries with a column idx are answered from that index alone, by its own statistics; others from all.
+    """
+    scope = [c for c in queries.columns if c == "idx"]
+    terms = query_terms(queries.select("query_id", "query").distinct() if scope else queries, expand)
+    if scope:
+        terms = terms.join(queries.select("query_id", *scope), "query_id")
+    _, size = text_bytes(queries, "query")
+    small = size <= BROADCAST_BYTES
+
+    def send(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
+    n = index.buckets
+    terms = settle(terms.withColumn("bucket", bucket(F.col("term"), n)))
+    vocabulary = terms.select("bucket", "term", *scope).distinct()
+    needed = F.col("bucket").isin([r[0] for r in terms.select("bucket").distinct().collect()])  # numbers of folders
+    lengths = index.lengths(field).groupBy(*scope).agg(F.sum("n_units").alias("n_units"), F.sum("n_terms").alias("n_terms"))
+    lengths = lengths.select(*scope, "n_units", (F.col("n_terms") / F.col("n_units")).alias("avg_len"))
+    df = index.terms(field).where(needed).join(send(vocabulary), ["bucket", "term", *scope], "left_semi")
+    df = df.groupBy("term", *scope).agg(F.sum("df").alias("df"))
+    joined = terms.drop("bucket").join(send(df), ["term", *scope])
+    weights = _weights(joined.join(F.broadcast(lengths), scope) if scope else joined.crossJoin(F.broadcast(lengths)))
+    found = index.postings(field).where(needed).join(send(vocabulary), ["bucket", "term", *scope], "left_semi")
+    found = found.select("doc_id", "unit_no", *scope, "unit_len", "term", "tf").repartition("doc_id")
+    if kept is not None:
+        found = found.join(kept.select("doc_id"), "doc_id", "left_semi")
+    return _scores(found.join(send(weights), ["term", *scope]), scope)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
-    """Best k per key.  Scores are kept to six places, so ties do not depend on the order of summation."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("doc_id"))
+    """Best k per key (and idx, where scores carry one).  Scores are kept to six places, so ties do not depend on the
+    order of summation."""
+    w = Window.partitionBy(by, *(c for c in scored.columns if c == "idx")).orderBy(F.desc("score"), F.asc("doc_id"))
     return (
         scored.withColumn("score", F.round("score", 6))
         .withColumn("rank", F.row_number().over(w))
@@ -129,9 +159,13 @@ def bm25(
     units: DataFrame, queries: DataFrame, k: int = 50, score_mode: str = "max", text: str = "unit_text", expand=True
 ) -> DataFrame:
     """query_id, doc_id, score, rank.  score_mode says how sections make up their document: max, avg or sum."""
-    per_unit = bm25_units(units, queries, text, expand)
+    return top_k(per_document(bm25_units(units, queries, text, expand), score_mode), k)
+
+
+def per_document(per_unit: DataFrame, score_mode: str = "max") -> DataFrame:
     fold = {"max": F.max, "avg": F.avg, "sum": F.sum}[score_mode]
-    return top_k(per_unit.groupBy("query_id", "doc_id").agg(fold("score").alias("score")), k)
+    keys = [c for c in ("query_id", "idx", "doc_id") if c in per_unit.columns]
+    return per_unit.groupBy(*keys).agg(fold("score").alias("score"))
 
 
 def inner_hits(per_unit: DataFrame, hits: DataFrame, n: int = 5) -> DataFrame:
@@ -145,15 +179,13 @@ def inner_hits(per_unit: DataFrame, hits: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
-def multi_match(docs: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+def multi_match(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
     """Flat fields: the better of 2 x content and 6 x title decides."""
     parts = []
     for field, boost in (("text", R.CONTENT_BOOST), ("title", R.TITLE_BOOST)):
-        units = docs.select("doc_id", F.lit(0).alias("unit_no"), F.col(field).alias("unit_text"))
-        scored = bm25_units(units, queries, expand=False)
+        scored = index_units(index, queries, expand=False, field=field)
         parts.append(scored.select("query_id", "doc_id", (F.col("score") * boost).alias("score")))
-    both = reduce(DataFrame.unionByName, parts)
-    return top_k(both.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
+    return top_k(per_document(reduce(DataFrame.unionByName, parts)), k)
 
 
 def by_group(scored: DataFrame, groups: DataFrame, k: int, group: str) -> DataFrame:

@@ -32,7 +32,7 @@ def best_of(score: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 def _block_search(block, dims: int, k: int, matrix_bytes: int):
     def run(batches):
-        ids, q = block.value
+        ids, q, scope = block.value
         best_score, best_docs, seen = None, None, False
         step = max(k, matrix_bytes // (8 * max(1, len(ids))))
         for pdf in batches:
@@ -46,6 +46,8 @@ def _block_search(block, dims: int, k: int, matrix_bytes: int):
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
                 v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
                 score = np.round((1.0 + q @ v.T) / 2.0, 6)
+                if scope is not None:
+                    score[scope[:, None] != part["idx"].to_numpy()] = -np.inf
                 docs = np.broadcast_to(part["doc_id"].to_numpy(), score.shape)
                 if seen:  # a running best k: what leaves the task does not grow with the partition
                     score, docs = np.concatenate([best_score, score], 1), np.concatenate([best_docs, docs], 1)
@@ -53,7 +55,9 @@ def _block_search(block, dims: int, k: int, matrix_bytes: int):
                 seen = True
         if seen:
             n = best_score.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "doc_id": best_docs.ravel(), "score": best_score.ravel()})
+            out = {"query_id": np.repeat(ids, n), "doc_id": best_docs.ravel(), "score": best_score.ravel()}
+            out |= {} if scope is None else {"idx": np.repeat(scope, n)}
+            yield pd.DataFrame(out)[np.isfinite(best_score.ravel())]
 
     return run
 
@@ -61,14 +65,18 @@ def _block_search(block, dims: int, k: int, matrix_bytes: int):
 def knn(
     corpus: DataFrame, queries: DataFrame, k: int = 50, block_bytes: int = BLOCK_BYTES, matrix_bytes: int = MATRIX_BYTES
 ) -> DataFrame:
-    """query_id, doc_id, score, rank with score (1 + cosine) / 2.  corpus: doc_id, embedding."""
+    """query_id, doc_id, score, rank with score (1 + cosine) / 2.  corpus: doc_id, embedding.
+
+    Queries with a column idx meet only the vectors of that idx; the same pass serves all of them.
+    """
     spark = corpus.sparkSession
     shape = queries.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("hi"), F.min(F.size("embedding")).alias("lo")
     ).first()
     id_type = queries.schema["query_id"].dataType.simpleString()
     doc_type = corpus.schema["doc_id"].dataType.simpleString()
-    schema = f"query_id {id_type}, doc_id {doc_type}, score double"
+    scope = [c for c in queries.columns if c == "idx"]
+    schema = f"query_id {id_type}, doc_id {doc_type}, score double" + ", idx string" * len(scope)
     if not shape["n"]:
         return spark.createDataFrame([], schema + ", rank int")
     dims = shape["hi"]
@@ -80,12 +88,12 @@ def knn(
     numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
     parts = []
     for b in range(n_blocks):
-        pdf = numbered.where(F.col("_block") == b).select("query_id", "embedding").toPandas()
+        pdf = numbered.where(F.col("_block") == b).select("query_id", "embedding", *scope).toPandas()
         if pdf.empty:
             continue
         q = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         norm = np.linalg.norm(q, axis=1, keepdims=True)
         q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
-        block = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(), q))
-        parts.append(corpus.select("doc_id", "embedding").mapInPandas(_block_search(block, dims, k, matrix_bytes), schema))
+        block = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(), q, pdf["idx"].to_numpy() if scope else None))
+        parts.append(corpus.select("doc_id", "embedding", *scope).mapInPandas(_block_search(block, dims, k, matrix_bytes), schema))
     return top_k(reduce(DataFrame.unionByName, parts), k)

@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from quaestor.functions import rules as R
-from quaestor.operators import evidence, lexical, scoring
+from quaestor.operators import evidence, scoring
 from quaestor.plans import oracle as O
 from quaestor.plans import search as S
 from quaestor.plans.queries_text import utility_case
 from quaestor.plans.registry import query
 from quaestor.session import shared_dir
 from quaestor.sources import corpus as C
+from quaestor.sources import index as I
 from quaestor.sources import publish as P
 
 
@@ -53,6 +54,26 @@ def adaptive_search(spark, folder):
     return S.adaptive_search(*inputs(spark, folder))
 
 
+# the facade: the same queries for all four foci, two indices
+_knn = "(SELECT k.* FROM c_knn_all k JOIN c_corpus USING (doc_id) WHERE idx = '{}')"
+_lex = "(SELECT query_id, doc_id, max(score) AS score FROM c_x{}_pu GROUP BY ALL)"
+for _idx in ("main", "api"):
+    O.cte(f"c_f{_idx}", O.rrf(f"({O.ranked(_lex.format(_idx), 30)})", f"({O.ranked(_knn.format(_idx), 30)})", 15))
+    O.cte(f"c_l{_idx}", O.ranked(_lex.format(_idx), 15))
+_hits = "SELECT query_id, doc_id, score, rank, 'enhanced_rrf' AS own FROM c_f{0} WHERE query_id IN (SELECT query_id FROM c_qvec) "
+_hits += "UNION ALL SELECT query_id, doc_id, score, rank, 'bm25' FROM c_l{0} WHERE query_id NOT IN (SELECT query_id FROM c_qvec)"
+_foci = " UNION ALL ".join(
+    f"SELECT query_id, {O.s(f)} AS focus, coalesce({O.s(n)}, own) AS method, doc_id, score, rank FROM ({_hits.format(i)})"
+    for f, (i, n) in S.FOCUS.items()
+)
+
+
+@query("focused_search", O.sql(_foci))
+def focused_search(spark, folder):
+    """Every search query through the facade, for every focus."""
+    return S.search(*inputs(spark, folder), strategy="enhanced_rrf", focus=tuple(S.FOCUS))
+
+
 # the anchored pass searches for the query with the name of its utility appended, among that utility's documents
 O.cte("c_named", f"SELECT query_id, query, {utility_case('lower(query)', O.plain('lower(query)'))} AS utility FROM c_sq")
 O.cte("c_aq", "SELECT query_id, query || ' ' || utility AS query, utility FROM c_named WHERE utility IS NOT NULL")
@@ -171,5 +192,4 @@ def publish_version(spark, folder):
 )
 def postings(spark, folder):
     """Document and collection frequency of every term of the index table."""
-    p = lexical.postings(C.sections(C.corpus(spark, folder)))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return I.published(spark, folder).terms().groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))

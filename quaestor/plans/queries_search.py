@@ -8,7 +8,9 @@ from quaestor.operators import fusion, lexical, nearest
 from quaestor.plans import oracle as O
 from quaestor.plans import search as S
 from quaestor.plans.registry import query
+from quaestor.session import settle
 from quaestor.sources import corpus as C
+from quaestor.sources import index as I
 
 RESULT = "query_id, doc_id, score, rank"
 R_COLS = ["query_id", "doc_id", "score", "rank"]
@@ -32,8 +34,8 @@ def bm25_topk(spark, folder):
     O.sql("SELECT n AS n_units, round(al, 6) AS avg_len FROM c_b_st"),
 )
 def corpus_stats(spark, folder):
-    st = lexical.corpus_stats(C.sections(C.corpus(spark, folder)))
-    return st.select("n_units", F.round("avg_len", 6).alias("avg_len"))
+    st = I.published(spark, folder).lengths().agg(F.sum("n_units").alias("n_units"), F.sum("n_terms").alias("n_terms"))
+    return st.select("n_units", F.round(F.col("n_terms") / F.col("n_units"), 6).alias("avg_len"))
 
 
 O.cte("c_ut", "SELECT doc_id, 0 AS unit_no, text AS unit_text FROM c_corpus")
@@ -49,7 +51,7 @@ O.cte(
 
 @query("multi_match", O.sql(f"SELECT {RESULT} FROM ({O.ranked('c_mm', 50)})"))
 def multi_match(spark, folder):
-    return lexical.multi_match(C.corpus(spark, folder), C.search_queries(spark, folder)).select(R_COLS)
+    return lexical.multi_match(I.published(spark, folder), C.search_queries(spark, folder)).select(R_COLS)
 
 
 @query("knn_topk", O.sql(f"SELECT {RESULT} FROM c_knn"))
@@ -85,10 +87,8 @@ def hybrid_raw_scores(spark, folder):
     ),
 )
 def inner_hits(spark, folder):
-    units = C.sections(C.corpus(spark, folder))
-    per_unit = lexical.bm25_units(units, C.search_queries(spark, folder))
-    per_doc = per_unit.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return lexical.inner_hits(per_unit, lexical.top_k(per_doc, 50)).select(
+    per_unit = settle(lexical.index_units(I.published(spark, folder), C.search_queries(spark, folder)))
+    return lexical.inner_hits(per_unit, lexical.top_k(lexical.per_document(per_unit), 50)).select(
         "query_id", "doc_id", "unit_no", "score", "unit_rank"
     )
 

@@ -12,27 +12,28 @@ from quaestor.operators import filters as FL
 from quaestor.operators import fusion, lexical, nearest, ranking
 from quaestor.session import settle
 from quaestor.sources import corpus as C
+from quaestor.sources import index as I
 
 
-@dataclass
+@dataclass(frozen=True)
 class Collection:
-    """What a search runs on: documents, their sections and their vectors."""
+    """What a search runs on: documents, their vectors and their published index."""
 
     docs: DataFrame
     vectors: DataFrame
+    folder: str
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> "Collection":
-        return cls(C.corpus(spark, folder), C.vectors(spark, folder))
-
-    def where(self, condition) -> "Collection":
-        """Restrict documents before ranking; vectors follow their documents."""
-        docs = self.docs.where(condition)
-        return Collection(docs, self.vectors.join(docs.select("doc_id"), "doc_id", "left_semi"))
+        return cls(C.corpus(spark, folder), C.vectors(spark, folder), folder)
 
     @property
-    def sections(self) -> DataFrame:
-        return C.sections(self.docs)
+    def index(self) -> I.Index:
+        return I.published(self.docs.sparkSession, self.folder)
+
+    def passing(self, filters: FL.Filters) -> DataFrame:
+        """doc_ids of the documents that pass, from the index's document table: no text is read."""
+        return self.index.documents.where(filters.predicate()).select("doc_id")
 
     def hydrate(self, hits: DataFrame, *columns: str) -> DataFrame:
         """Attach document columns to hits; the hit list is the small side."""
@@ -40,12 +41,14 @@ class Collection:
 
 
 def lexical_search(c: Collection, queries: DataFrame, k: int = 50, filters: FL.Filters | None = None) -> DataFrame:
-    docs = c.docs.withColumn("keep", filters.predicate()) if filters else c.docs
-    return lexical.bm25(C.sections(docs), queries, k)
+    kept = c.passing(filters) if filters else None
+    return lexical.top_k(lexical.per_document(lexical.index_units(c.index, queries, kept=kept)), k)
 
 
 def vector_search(c: Collection, query_vectors: DataFrame, k: int = 50, filters: FL.Filters | None = None) -> DataFrame:
-    vectors = c.where(filters.predicate()).vectors if filters else c.vectors
+    vectors = c.vectors.join(c.passing(filters), "doc_id", "left_semi") if filters else c.vectors
+    if "idx" in query_vectors.columns:
+        vectors = vectors.join(c.index.documents.select("doc_id", "idx"), "doc_id")
     return nearest.knn(vectors, query_vectors, k)
 
 
@@ -82,7 +85,7 @@ def enhanced_search(
     """Vector search, lexical search unless the vectors suffice, fusion, diversity, no-answer gate, compression."""
     vec = settle(nearest.knn(c.vectors, query_vectors, vector_k))
     gate = ranking.skip_lexical_gate(vec).where("skip").select("query_id")
-    lex = lexical.bm25(c.sections, queries.join(gate, "query_id", "left_anti"), lexical_k)
+    lex = lexical_search(c, queries.join(gate, "query_id", "left_anti"), lexical_k)
     depth = 36 if use_mmr else k
     final = fusion.rrf(lex, vec, k=vector_k + lexical_k if use_mmr else k)
     if use_mmr:
@@ -119,25 +122,65 @@ def strategy(queries: DataFrame, high_confidence: float = 0.7) -> DataFrame:
 
 
 def adaptive_search(c: Collection, queries: DataFrame, query_vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Each query takes the branch its intent asks for, inside the index its intent asks for."""
-    plan = strategy(queries)
-    parts = []
-    for idx in ("main", "api"):
-        part = c.where(F.col("idx") == idx)
-        mine = plan.where(F.col("idx") == idx).select("query_id", "query", "strategy")
-        terms_only = mine.where("strategy = 'bm25'").select("query_id", "query")
-        fuse = mine.where("strategy = 'fusion'").select("query_id", "query")
-        parts.append(lexical_search(part, terms_only, k).withColumn("method", F.lit("bm25")))
-        fused = hybrid_search(part, fuse, query_vectors.join(fuse, "query_id", "left_semi"), k)
-        parts.append(fused.select("query_id", "doc_id", "score", "rank", F.lit("fusion").alias("method")))
-    return reduce(DataFrame.unionByName, parts)
+    """Each query takes the branch its intent asks for, inside the index its intent asks for.
+
+    One pass over the postings and one over the vectors serve every branch: the index is a key of both.
+    """
+    plan = settle(strategy(queries).select("query_id", "query", "strategy", "idx"))
+    lex = settle(lexical_search(c, plan.select("query_id", "query", "idx"), k + 15)).drop("idx")
+    fuse = plan.where("strategy = 'fusion'").select("query_id", "idx")
+    vec = vector_search(c, query_vectors.join(fuse, "query_id"), k + 15).drop("idx")
+    fused = fusion.rrf(lex.join(fuse, "query_id", "left_semi"), vec, k=k)
+    terms_only = lex.join(plan.where("strategy = 'bm25'"), "query_id", "left_semi").where(F.col("rank") <= k)
+    parts = [terms_only.withColumn("method", F.lit("bm25")), fused.withColumn("method", F.lit("fusion"))]
+    return reduce(DataFrame.unionByName, [p.select("query_id", "doc_id", "score", "rank", "method") for p in parts])
+
+
+#: The index of each focus and the name its results go by (none: that of the strategy).
+FOCUS = {"docs": ("main", None), "api": ("api", "api_focused"), "procedure": ("main", "procedure_focused"), "general": ("main", "general")}
+
+
+def search(
+    c: Collection,
+    queries: DataFrame,
+    query_vectors: DataFrame,
+    strategy: str = "bm25",
+    focus: tuple[str, ...] = ("general",),
+    k: int = 15,
+    filters: FL.Filters | None = None,
+) -> DataFrame:
+    """query_id, focus, method, doc_id, score, rank: the entry to every search, k hits per query and focus.
+
+    strategy is bm25, knn or enhanced_rrf; queries without a vector fall back to bm25.  The indices of all foci are searched
+    in one pass, with the index as a key, and their lists are dealt to the foci afterwards.
+    """
+    wanted = sorted({FOCUS[f][0] for f in focus})
+    each = queries.select("query_id", "query", F.explode(F.array(*map(F.lit, wanted))).alias("idx"))
+    has_vector = query_vectors.select("query_id").distinct() if strategy != "bm25" else queries.select("query_id").limit(0)
+    keys = each.select("query_id", "idx").join(has_vector, "query_id", "left_semi")
+    depth = k + 15 if strategy == "enhanced_rrf" else k
+    ask = each if strategy == "enhanced_rrf" else each.join(has_vector, "query_id", "left_anti")
+    lex = lexical_search(c, ask, depth, filters)
+    plain = lex.join(has_vector, "query_id", "left_anti").withColumn("method", F.lit("bm25"))
+    parts = [plain.where(F.col("rank") <= k)]
+    if strategy != "bm25":
+        vec = vector_search(c, query_vectors.join(keys, "query_id"), depth, filters)
+        if strategy == "enhanced_rrf":
+            both = F.struct("query_id", "idx").alias("query_id")
+            fused = fusion.rrf(*(x.select(both, "doc_id", "score", "rank") for x in (lex.join(has_vector, "query_id", "left_semi"), vec)), k=k)
+            vec = fused.select("query_id.query_id", "query_id.idx", "doc_id", "score", "rank")
+        parts.append(vec.withColumn("method", F.lit(strategy)))
+    columns = ["query_id", "idx", "method", "doc_id", "score", "rank"]
+    found = reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+    foci = F.array(*(F.struct(F.lit(f).alias("focus"), F.lit(FOCUS[f][0]).alias("idx"), F.lit(FOCUS[f][1]).alias("name")) for f in focus))
+    dealt = found.withColumn("f", F.explode(foci)).where(F.col("f.idx") == F.col("idx"))
+    return dealt.select("query_id", "f.focus", F.coalesce("f.name", "method").alias("method"), "doc_id", "score", "rank")
 
 
 def search_by_type(c: Collection, queries: DataFrame, types: list[str], k: int = 5) -> DataFrame:
-    """The best k per query and content type from one pass over the corpus."""
-    docs = c.docs.withColumn("keep", F.col("content_type").isin(types))
-    per_unit = lexical.bm25_units(C.sections(docs), queries)
-    per_doc = per_unit.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    """The best k per query and content type from one pass over the postings."""
+    docs = c.index.documents.where(F.col("content_type").isin(types))
+    per_doc = lexical.per_document(lexical.index_units(c.index, queries, kept=docs))
     return lexical.by_group(per_doc, docs, k, "content_type")
 
 
@@ -147,10 +190,9 @@ def two_pass_search(c: Collection, queries: DataFrame, anchored_k: int = 15, gen
     anchored_q = named.where(F.col("utility").isNotNull()).select(
         "query_id", F.concat_ws(" ", "query", "utility").alias("query"), "utility"
     )
-    per_unit = lexical.bm25_units(c.sections, anchored_q.select("query_id", "query"))
-    per_doc = per_unit.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    per_doc = lexical.per_document(lexical.index_units(c.index, anchored_q.select("query_id", "query")))
     # the utility filter goes before the cut
-    own = per_doc.join(c.docs.select("doc_id", "utility_name"), "doc_id").join(
+    own = per_doc.join(c.index.documents.select("doc_id", "utility_name"), "doc_id").join(
         anchored_q.select("query_id", "utility"), "query_id"
     )
     anchored = lexical.top_k(own.where(F.col("utility_name") == F.col("utility")), anchored_k)
@@ -182,7 +224,7 @@ def aspect_search(c: Collection, queries: DataFrame, query_vectors: DataFrame, k
     variants = plan.select(variant_id.alias("query_id"), "query").distinct()
     back = plan.select("query_id", "aspect", "strategy", "variant_no", variant_id.alias("vid")).distinct()
     lists = []
-    lex_api = lexical_search(c.where(F.col("idx") == "api"), variants, depth)
+    lex_api = lexical_search(c, variants.withColumn("idx", F.lit("api")), depth)
     lex_all = settle(lexical_search(c, variants, depth))
     vec = nearest.knn(c.vectors, query_vectors, depth)
     vec_all = (
