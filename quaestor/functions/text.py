@@ -134,8 +134,23 @@ def embedding_text(c: Column) -> Column:
     )
 
 
-def normalize_embed_text(c: Column, limit: int = 8192) -> Column:
-    out = F.substring(collapse(F.coalesce(c, F.lit(""))), 1, limit)
+def one_decimal(c: Column) -> Column:
+    """A non-negative number with one decimal, rounded by its exact value and halves to even, as printf does.
+
+    Twenty times the number minus an odd integer tells on which side of a half it lies; the number is split in two parts
+    whose products are exact.
+    """
+    k = F.floor(c * 10)
+    high = c.cast("float").cast("double")
+    beyond = (high * 20 - (2 * k + 1)) + (c - high) * 20
+    tenths = k + F.when((beyond > 0) | ((beyond == 0) & (k % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
+def normalize_embed_text(c: Column, limit: int | None = None) -> Column:
+    """White space collapsed, '[empty]' for nothing; the whole text unless a limit is given."""
+    out = collapse(F.coalesce(c, F.lit("")))
+    out = out if limit is None else F.substring(out, 1, limit)
     return F.when(out == "", "[empty]").otherwise(out)
 
 

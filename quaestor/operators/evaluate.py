@@ -188,9 +188,10 @@ def anchor_check(answers: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def grounding(answers: DataFrame, hits: DataFrame, top: int = 5, head: int = 100) -> DataFrame:
-    """query_id, grounding: share of the answer's words found among the first words of the top hits."""
-    per_hit = hits.where(F.col("rank") <= top).select("query_id", F.slice(X.words(F.lower("text")), 1, head).alias("ws"))
+def grounding(answers: DataFrame, hits: DataFrame, top: int = 5, head: int | None = None) -> DataFrame:
+    """query_id, grounding: share of the answer's words found among the words (or the first `head`) of the top hits."""
+    words = F.array_distinct(X.words(F.lower("text")) if head is None else F.slice(X.words(F.lower("text")), 1, head))
+    per_hit = hits.where(F.col("rank") <= top).select("query_id", words.alias("ws"))
     seen = per_hit.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("ws"))).alias("ws"))
     aw = F.array_distinct(X.words(F.lower("answer")))
     return (
@@ -238,8 +239,8 @@ def verify_citations(answers: DataFrame, hits: DataFrame, threshold: float = 0.6
             F.when(~F.col("has_citations"), "Add citations to support claims").when(
                 cov < threshold,
                 F.format_string(
-                    "Improve citation coverage: only %.1f%% of sentences have citations (need ≥%.1f%%)",
-                    cov * 100, F.lit(threshold * 100),
+                    "Improve citation coverage: only %s%% of sentences have citations (need ≥%s%%)",
+                    X.one_decimal(cov * 100), F.lit(f"{threshold * 100:.1f}"),
                 ),
             ),
             F.when(~F.col("anchor_ok"), "Include procedural anchors (setup/onboarding/configuration sections)"),

@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,31 +137,53 @@ def term_vectors(docs: DataFrame, title: str = "title", text: str = "text") -> D
 ONE_SIDED = 1.0 + 0.4054651081081644  # 1 + ln(1.5): the weight of a term that only one of two texts has
 
 
-def pair_cosine(a: dict, b: dict) -> float:
-    """TF-IDF cosine of two texts when the two are the whole collection; symmetric and deterministic."""
-    if not a or not b:
-        return 0.0
-    dot = sum(tf * b[t] for t, tf in a.items() if t in b)
-    if not dot:
-        return 0.0
-    norms = 1.0
-    for x, y in ((a, b), (b, a)):
-        norms *= sum((tf if t in y else tf * ONE_SIDED) ** 2 for t, tf in x.items())
-    return dot / norms**0.5
+#: Terms of the matrix that similarities are made from at a time.
+TERMS_AT_ONCE = 4096
+
+
+def similarities(maps: list) -> np.ndarray:
+    """TF-IDF cosine of every two texts of a list when the two are the whole collection.
+
+    A term that both have weighs 1, one of a single text ONE_SIDED, so two products over the terms that at least two texts
+    share give all pairs: of the frequencies, and of their squares with the other text's presence.
+    """
+    number: dict[str, int] = {}
+    parts = []
+    for i, t in enumerate(maps):
+        t = t if isinstance(t, dict) else dict(t)
+        terms = np.fromiter((number.setdefault(w, len(number)) for w in t), np.int64, len(t))
+        parts.append((np.full(len(t), i), terms, np.fromiter(t.values(), np.float64, len(t))))
+    row, term, tf = (np.concatenate(x) for x in zip(*parts))
+    total = np.bincount(row, tf * tf, minlength=len(maps))
+    used = np.bincount(term, minlength=len(number))
+    place = np.cumsum(used > 1) - 1
+    shared = used[term] > 1
+    row, term, tf = row[shared], place[term[shared]], tf[shared]
+    dot, own = np.zeros((len(maps), len(maps))), np.zeros((len(maps), len(maps)))
+    for at in range(0, int((used > 1).sum()), TERMS_AT_ONCE):
+        here = (term >= at) & (term < at + TERMS_AT_ONCE)
+        m = np.zeros((len(maps), TERMS_AT_ONCE))
+        m[row[here], term[here] - at] = tf[here]
+        dot += m @ m.T
+        own += (m * m) @ (m > 0).T.astype(np.float64)
+    weighted = own + (total[:, None] - own) * ONE_SIDED**2
+    return np.divide(dot, np.sqrt(weighted * weighted.T), out=np.zeros_like(dot), where=dot > 0)
 
 
 def _greedy(candidates: pd.DataFrame, k: int, weight: float) -> pd.DataFrame:
     c = candidates.sort_values("rank")
-    vectors = [dict(t) if not isinstance(t, dict) else t for t in c["terms"]]
-    chosen, rows = [], []
+    sims = similarities(c["terms"].tolist())
+    nearest = np.zeros(len(c))  # similarity of each hit to the most similar chosen one
+    n, rows = 0, []
     for i, (doc, rank, rrf_score, rel) in enumerate(zip(c["doc_id"], c["rank"], c["score"], c["relevance"])):
-        if len(chosen) >= k:
+        if n >= k:
             break
-        sim = max((pair_cosine(vectors[i], vectors[j]) for j in chosen), default=0.0)
+        sim = float(nearest[i])
         value = weight * rel + 0.3 * rrf_score - (1 - weight) * sim
-        keep = value > 0 or len(chosen) < 3
+        keep = value > 0 or n < 3
         if keep:
-            chosen.append(i)
+            n += 1
+            nearest = np.maximum(nearest, sims[i])
         rows.append((c["query_id"].iloc[0], doc, int(rank), round(sim, 6), round(value, 6), bool(keep)))
     return pd.DataFrame(rows, columns=["query_id", "doc_id", "rank", "max_sim", "mmr", "selected"])
 
@@ -183,13 +206,10 @@ def nearest_better(candidates: DataFrame) -> DataFrame:
 
     def run(pdf):
         c = pdf.sort_values("rank")
-        vs = [dict(t) if not isinstance(t, dict) else t for t in c["terms"]]
-        docs, ranks = c["doc_id"].tolist(), c["rank"].tolist()
-        rows = []
-        for i in range(1, len(docs)):
-            sims = [round(pair_cosine(vs[i], vs[j]), 6) for j in range(i)]
-            j = max(range(i), key=lambda n: (sims[n], -ranks[n]))
-            rows.append((c["query_id"].iloc[0], docs[i], docs[j], sims[j]))
+        sims = np.round(similarities(c["terms"].tolist()), 6)
+        docs = c["doc_id"].tolist()
+        best = [int(np.argmax(sims[i, :i])) for i in range(1, len(docs))]  # the first of equals is the better-ranked
+        rows = [(c["query_id"].iloc[0], docs[i], docs[j], float(sims[i, j])) for i, j in enumerate(best, 1)]
         return pd.DataFrame(rows, columns=["query_id", "doc_id", "nearest_doc_id", "similarity"])
 
     id_type = candidates.schema["query_id"].dataType.simpleString()

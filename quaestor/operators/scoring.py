@@ -35,33 +35,73 @@ def hash_embedder(dims: int = 64) -> Embedder:
     return embed
 
 
-def embed_texts(
-    texts: DataFrame, embedder: Embedder | None = None, dims: int = 64, batch: int = 64, retries: int = 3
+#: Characters of a text that an embedder gets at a time.
+PIECE_CHARS = 8192
+
+
+def embed_pieces(
+    texts: DataFrame, embedder: Embedder | None = None, dims: int = 64, batch: int = 64, retries: int = 3, chars: int = PIECE_CHARS
 ) -> DataFrame:
-    """id, text -> id, embedding.  Equal normalised texts are embedded once and joined back."""
+    """id, text -> id, piece, n_chars, embedding, error: every piece of every text.  Equal pieces are embedded once.
+
+    A batch that fails `retries` times is halved until the pieces that fail stand alone; they come back without a vector
+    and with the error, so one bad text neither stops the job nor takes its batch along.
+    """
     embedder = embedder or hash_embedder(dims)
-    keyed = texts.withColumn("_norm", X.normalize_embed_text(F.col("text")))
-    unique = keyed.select("_norm").distinct()
+    norm = X.normalize_embed_text(F.col("text"))
+    starts = F.sequence(F.lit(1), F.length("_norm"), F.lit(chars))
+    pieces = texts.select(F.col("id"), norm.alias("_norm")).select("id", F.posexplode(F.transform(starts, lambda a: F.substr("_norm", a, F.lit(chars)))).alias("piece", "_text"))
+    pieces = settle(pieces, "pieces")
+
+    def embed(chunk: list[str]):
+        """(vector, error) of each text."""
+        for attempt in range(retries):
+            try:
+                vectors = np.asarray(embedder(chunk))
+                break
+            except Exception as e:
+                reason = f"{type(e).__name__}: {e}"
+        else:
+            if len(chunk) == 1:
+                return [(None, reason)]
+            half = len(chunk) // 2
+            return embed(chunk[:half]) + embed(chunk[half:])
+        if vectors.shape != (len(chunk), dims):
+            raise ValueError(f"embedder returned {vectors.shape}, expected {(len(chunk), dims)}")
+        return [(v.astype(np.float32).tolist(), None) for v in vectors]
 
     def run(batches):
         for pdf in batches:
             done = []
             for start in range(0, len(pdf), batch):
-                chunk = pdf["_norm"].iloc[start : start + batch].tolist()
-                for attempt in range(retries):
-                    try:
-                        vectors = np.asarray(embedder(chunk))
-                        break
-                    except Exception:
-                        if attempt == retries - 1:
-                            raise
-                if vectors.shape != (len(chunk), dims):
-                    raise ValueError(f"embedder returned {vectors.shape}, expected {(len(chunk), dims)}")
-                done += [v.astype(np.float32).tolist() for v in vectors]
-            yield pd.DataFrame({"_norm": pdf["_norm"], "embedding": done})
-
-    vectors = unique.mapInPandas(run, "_norm string, embedding array<float>")
-    return keyed.join(vectors, "_norm").drop("_norm", "text")
+                done += embed(pdf["_text"].iloc[start : start + batch].tolist())
+            yield pd.DataFrame({"_text": pdf["_text"], "embedding": [v for v, _ in done], "error": [e for _, e in done]})
+
+    vectors = pieces.select("_text").distinct().mapInPandas(run, "_text string, embedding array<float>, error string")
+    return pieces.join(vectors, "_text").select("id", "piece", F.length("_text").alias("n_chars"), "embedding", "error")
+
+
+def pooled(pieces: DataFrame, dims: int = 64) -> DataFrame:
+    """id, embedding: the mean of a text's pieces weighted by their length, brought to length 1.
+
+    A text any piece of which failed has no vector; its rows of embed_pieces say why (see quarantine).
+    """
+    weight = F.col("n_chars").cast("double")
+    sums = [F.sum(F.get("embedding", F.lit(k)) * weight).alias(f"s{k}") for k in range(dims)]
+    whole = pieces.groupBy("id").agg(F.max("error").alias("error"), *sums).where("error IS NULL")
+    v = F.array(*[F.col(f"s{k}") for k in range(dims)])
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return whole.select("id", F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float")).alias("embedding"))
+
+
+def quarantine(pieces: DataFrame) -> DataFrame:
+    """id, piece, n_chars, error of everything that could not be embedded."""
+    return pieces.where("error IS NOT NULL").drop("embedding")
+
+
+def embed_texts(texts: DataFrame, embedder: Embedder | None = None, dims: int = 64, batch: int = 64, retries: int = 3) -> DataFrame:
+    """id, text -> id, embedding of the whole text.  Texts that could not be embedded are left out: see embed_pieces."""
+    return pooled(embed_pieces(texts, embedder, dims, batch, retries), dims)
 
 
 def score_pairs(pairs: DataFrame, scorer: PairScorer | None = None) -> DataFrame:

@@ -47,14 +47,14 @@ def hint_hits(text: Column, suite: str) -> Column:
     return total
 
 
-def suite_confidence(passages: DataFrame, head: int = 500) -> DataFrame:
+def suite_confidence(passages: DataFrame, head: int | None = None) -> DataFrame:
     """query_id, suite, confidence: twice the share of (hint, passage) pairs that match, at most 1.
 
-    The hint counts of all suites are measured in one pass and summed per query before they become rows.
+    The hint counts of all suites are measured in one pass and summed per query before they become rows.  Texts count
+    whole unless `head` says how many characters do.
     """
-    probe = F.concat_ws(
-        " ", F.coalesce("title", F.lit("")), F.coalesce("page_url", F.lit("")), F.substring("text", 1, head)
-    )
+    text = F.col("text") if head is None else F.substring("text", 1, head)
+    probe = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("page_url", F.lit("")), text)
     p = passages.withColumn("_probe", probe)
     sums = p.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(hint_hits(F.col("_probe"), s)).alias(s) for s in SUITES]
@@ -241,8 +241,8 @@ def choose_presenter(
     return j.select(
         "query_id",
         F.when(procedure, "procedure").when(info, "info").otherwise("fallback").alias("presenter"),
-        F.when(procedure, F.format_string("actionable_score=%.1f, spans=%d", score, n))
-        .when(info, F.format_string("info_available=%d, low_actionability=%.1f", n_info, score))
+        F.when(procedure, F.format_string("actionable_score=%s, spans=%d", X.one_decimal(score), n))
+        .when(info, F.format_string("info_available=%d, low_actionability=%s", n_info, X.one_decimal(score)))
         .otherwise("insufficient_results_both_views")
         .alias("reason"),
         score.alias("score"),

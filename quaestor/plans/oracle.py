@@ -139,16 +139,18 @@ cte(
 )
 
 # -------------------------------------------------------------------------------------------------- lexical
-_CLAUSES = " UNION ALL ".join(
-    f"SELECT query_id, {s(a + suffix)} AS text, {boost} AS boost FROM c_sq WHERE contains(lower(query), {s(n.lower())})"
-    for n, a in R.CLAUSE_UTILITIES
-    for suffix, boost in R.CLAUSE_BOOSTS
-)
+def clauses_sql(queries: str) -> str:
+    """Boosted clauses for the utilities that queries(query_id, query) name."""
+    return " UNION ALL ".join(
+        f"SELECT query_id, {s(a + suffix)} AS text, {boost} AS boost FROM {queries} WHERE contains(lower(query), {s(n.lower())})"
+        for n, a in R.CLAUSE_UTILITIES
+        for suffix, boost in R.CLAUSE_BOOSTS
+    )
 
 
 def bm25_ctes(prefix: str, units: str, queries: str, clauses: bool) -> None:
     """<prefix>_pu(query_id, doc_id, unit_no, score) over units(doc_id, unit_no, unit_text)."""
-    extra = f" UNION ALL {_CLAUSES}" if clauses else ""
+    extra = f" UNION ALL {clauses_sql(queries)}" if clauses else ""
     cte(
         f"{prefix}_qt",
         f"""SELECT query_id, term, sum(CAST(boost AS DOUBLE)) AS weight FROM (SELECT query_id, boost,

@@ -9,7 +9,7 @@ from quaestor.plans import oracle as O
 from quaestor.plans import search as S
 from quaestor.plans.queries_rank import _scaled
 from quaestor.plans.queries_search import R_COLS, lex_hits
-from quaestor.plans.queries_text import decompose_sql, relevance_sql
+from quaestor.plans.queries_text import decompose_sql, relevance_sql, utility_case
 from quaestor.plans.registry import query
 from quaestor.session import settle
 from quaestor.sources import corpus as C
@@ -21,18 +21,26 @@ def fused(spark, folder):
 
 
 # ---------------------------------------------------------------------------------------------------- fusion
+O.cte("c_named", f"SELECT query_id, query, {utility_case('lower(query)', O.plain('lower(query)'))} AS utility FROM c_sq")
+
+
 @query(
     "anchored_fusion",
     O.sql(
         """SELECT query_id, doc_id, anchored, weighted, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
         ORDER BY weighted DESC, anchored DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, 1 AS anchored,
-        round(least(score * 1.5, 0.95), 9) AS weighted FROM c_scaled WHERE doc_id % 4 = 0 UNION ALL
+        round(least(score * 1.5, 0.95), 9) AS weighted FROM c_scaled JOIN (SELECT query_id, utility FROM c_named)
+        USING (query_id) JOIN (SELECT doc_id, utility_name FROM c_corpus) USING (doc_id) WHERE utility_name = utility UNION ALL
         SELECT query_id, doc_id, 0, score FROM c_scaled)) WHERE rank <= 20""".replace("1 AS anchored", "CAST(1 AS BIGINT) AS anchored")
     ),
 )
 def anchored_fusion(spark, folder):
+    """Hits on documents of the utility that the query names are the anchored ones."""
     h = _scaled(spark, folder)
-    return fusion.anchored_fusion(h.where(F.col("doc_id") % 4 == 0), h, 20)
+    named = C.search_queries(spark, folder).select("query_id", X.recognize_utility(F.col("query")).alias("utility"))
+    own = C.corpus(spark, folder).select("doc_id", F.col("utility_name").alias("utility"))
+    anchored = h.join(named, "query_id").join(own, ["doc_id", "utility"], "left_semi")
+    return fusion.anchored_fusion(anchored, h, 20)
 
 
 @query(
@@ -83,52 +91,26 @@ def comparison_sides(spark, folder):
     )
 
 
-O.cte(
-    "c_cmerge",
-    """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, side, doc_id) AS position FROM (SELECT query_id,
-    side, doc_id, round(1.0 / (rank + 60) * CASE WHEN side = 1 THEN 1.1 ELSE 1 END, 9) AS score FROM c_sides)""",
-)
+def comparison_merge_sql(name: str, sides: str) -> str:
+    """SQL of the merge of sides(query_id, side, doc_id, rank); name is that of its intermediate expression."""
+    O.cte(
+        name,
+        f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, side, doc_id) AS position FROM (SELECT query_id,
+        side, doc_id, round(1.0 / (rank + 60) * CASE WHEN side = 1 THEN 1.1 ELSE 1 END, 9) AS score FROM {sides})""",
+    )
+    missing = f"""SELECT *, CASE WHEN count(*) FILTER (position <= 6 AND side = 1) OVER (PARTITION BY query_id) = 0 THEN 1
+        WHEN count(*) FILTER (position <= 6 AND side = 2) OVER (PARTITION BY query_id) = 0 THEN 2 END AS missing FROM {name}"""
+    swap = f"""SELECT *, min(position) FILTER (side = missing AND position > 6) OVER (PARTITION BY query_id) AS sub FROM ({missing})"""
+    return f"""SELECT query_id, side, doc_id, score, position FROM ({swap}) WHERE NOT (position = 6 AND sub IS NOT NULL) UNION ALL
+        SELECT query_id, side, doc_id, score, 6 FROM ({swap}) WHERE position = sub"""
 
 
-@query(
-    "comparison_merge",
-    O.sql(
-        """SELECT query_id, side, doc_id, score, position FROM (SELECT query_id, side, doc_id, score, position, missing,
-        min(position) FILTER (side = missing AND position > 6) OVER (PARTITION BY query_id) AS sub FROM (SELECT *,
-        CASE WHEN count(*) FILTER (position <= 6 AND side = 1) OVER (PARTITION BY query_id) = 0 THEN 1
-        WHEN count(*) FILTER (position <= 6 AND side = 2) OVER (PARTITION BY query_id) = 0 THEN 2 END AS missing
-        FROM c_cmerge)) WHERE NOT (position = 6 AND sub IS NOT NULL) UNION ALL
-        SELECT query_id, side, doc_id, score, 6 FROM (SELECT *, min(position) FILTER (side = missing AND position > 6)
-        OVER (PARTITION BY query_id) AS sub FROM (SELECT *,
-        CASE WHEN count(*) FILTER (position <= 6 AND side = 1) OVER (PARTITION BY query_id) = 0 THEN 1
-        WHEN count(*) FILTER (position <= 6 AND side = 2) OVER (PARTITION BY query_id) = 0 THEN 2 END AS missing
-        FROM c_cmerge)) WHERE position = sub"""
-    ),
-)
+@query("comparison_merge", O.sql(comparison_merge_sql("c_cmerge", "c_sides")))
 def comparison_merge(spark, folder):
     m = fusion.comparison_merge(comparison_sides(spark, folder))
     return m.select("query_id", "side", "doc_id", "score", "position")
 
 
-@query(
-    "comparison_confidence",
-    O.sql(
-        """SELECT query_id, round(CASE WHEN coalesce(n1, 0) = 0 OR coalesce(n2, 0) = 0 THEN 0.2 WHEN n1 < 2 OR n2 < 2 THEN 0.4
-        ELSE least(m / (n1 + n2) + (a1 + a2) / 2, 1) END, 6) AS confidence FROM c_sq LEFT JOIN (SELECT query_id,
-        count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = 2) AS n2, avg(score) FILTER (side = 1) AS a1,
-        avg(score) FILTER (side = 2) AS a2, count(*) FILTER (contains(lower(text), 'jira')) AS m FROM (SELECT * FROM c_sides
-        WHERE rank <= 8 AND (query_id % 4 <> 1 OR side = 1) AND (query_id % 4 <> 2 OR rank <= 1)) GROUP BY 1)
-        USING (query_id)"""
-    ),
-)
-def comparison_confidence(spark, folder):
-    s = comparison_sides(spark, folder).withColumn("mentioned", F.lower("text").contains("jira"))
-    m = F.col("query_id") % 4
-    few = s.where((F.col("rank") <= 8) & ((m != 1) | (F.col("side") == 1)) & ((m != 2) | (F.col("rank") <= 1)))
-    c = fusion.comparison_confidence(few, C.search_queries(spark, folder))
-    return c.withColumn("confidence", F.round("confidence", 6))
-
-
 @query(
     "time_decay",
     O.sql(
@@ -163,7 +145,7 @@ def tfidf_pair(spark, folder):
 
 # candidates of the diversity selection, their relevance and the similarity of each to the better-ranked ones
 _dt = "concat_ws(' ', title, text)"
-O.cte("c_cand", f"SELECT query_id, query, doc_id, rank, score, {_dt} AS text FROM c_rrfhits WHERE rank <= 20")
+O.cte("c_cand", f"SELECT query_id, query, doc_id, rank, score, {_dt} AS text FROM c_rrfhits")
 O.cte(
     "c_candtf",
     f"""SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc_id, unnest({O.index_tokens("text")}) AS term
@@ -188,10 +170,9 @@ O.cte(
 )
 
 
-def candidates(spark, folder, k=20):
+def candidates(spark, folder):
     c, f = fused(spark, folder)
-    q = C.search_queries(spark, folder)
-    return S.diversity_candidates(c, q, settle(f.where(F.col("rank") <= k).select(R_COLS)))
+    return S.diversity_candidates(c, C.search_queries(spark, folder), settle(f.select(R_COLS)))
 
 
 @query(
@@ -222,7 +203,7 @@ O.cte(
     FROM (SELECT *, mmr > 0 OR len(chosen) < 3 AS keep FROM (SELECT *, 0.75 * relevance + 0.3 * score - 0.25 * ms AS mmr FROM
     (SELECT r.query_id, s.rank AS pos, r.chosen, s.doc_id, s.relevance, s.score, CAST(coalesce(list_max(list_transform(
     list_filter(s.sims, lambda x: list_contains(r.chosen, x.d)), lambda x: x.s)), 0) AS DOUBLE) AS ms FROM c_mmr_r r
-    JOIN c_steps s ON s.query_id = r.query_id AND s.rank = r.pos + 1 WHERE len(r.chosen) < 12)))""",
+    JOIN c_steps s ON s.query_id = r.query_id AND s.rank = r.pos + 1 WHERE len(r.chosen) < 36)))""",
 )
 
 
@@ -234,7 +215,7 @@ O.cte(
     ).replace("c_mmr_r AS MATERIALIZED", "c_mmr_r AS"),
 )
 def mmr_select(spark, folder):
-    return fusion.mmr(candidates(spark, folder), k=12)
+    return fusion.mmr(candidates(spark, folder))
 
 
 # -------------------------------------------------------------------------------------------------- evidence
@@ -547,26 +528,21 @@ def utility_relevance(spark, folder):
     return a.select("query_id", F.round(evaluate.utility_relevance(F.col("answer"), F.col("utility")), 6).alias("relevance"))
 
 
-# Results behind an answer: the five documents whose number matches the conversation's; paths name some procedures.
+# Results behind an answer: the best five documents of a search for its question; paths name some procedures.
 _PATHS = ["/setup/intro", "/reference", "/guide/steps", "/faq", "/other", "/about"]
+O.bm25_ctes("c_vq", "c_units", "c_vans", True)
+O.cte("c_vbest", O.ranked("(SELECT query_id, doc_id, max(score) AS score FROM c_vq_pu GROUP BY ALL)", 5))
 O.cte(
     "c_vhits",
-    f"""SELECT a.query_id, row_number() OVER (PARTITION BY a.query_id ORDER BY d.doc_id) AS rank, d.doc_id, d.title,
-    d.text, {O.pick(_PATHS, "d.doc_id")} AS path FROM c_vans a JOIN c_corpus d
-    ON d.doc_id % 97 = a.conv_id % 97""",
+    f"""SELECT query_id, rank, doc_id, title, text, {O.pick(_PATHS, "doc_id")} AS path FROM c_vbest JOIN c_corpus USING (doc_id)""",
 )
 
 
 def answer_hits(spark, folder):
-    """query_id, rank, doc_id, title, text, path: documents that share a residue with the conversation."""
-    from pyspark.sql import Window
-
-    a = graded_answers(spark, folder).select("query_id", (F.col("conv_id") % 97).alias("m"))
-    d = C.corpus(spark, folder).select("doc_id", "title", "text", (F.col("doc_id") % 97).alias("m"))
-    # the first hits are enough for every check, so each residue is cut before the join
-    cut = Window.partitionBy("m").orderBy("doc_id")
-    top = d.withColumn("rank", F.row_number().over(cut)).where(F.col("rank") <= 5)
-    return a.join(top, "m").select(
+    """query_id, rank, doc_id, title, text, path of the best five documents for each answer's question."""
+    c = S.Collection.load(spark, folder)
+    hits = settle(S.lexical_search(c, graded_answers(spark, folder).select("query_id", "query"), 5))
+    return c.hydrate(hits, "title", "text").select(
         "query_id", "rank", "doc_id", "title", "text", C.pick(_PATHS, F.col("doc_id")).alias("path")
     )
 
@@ -593,7 +569,7 @@ O.cte(
     "c_ground",
     f"""SELECT query_id, len(list_intersect(aw, coalesce(ws, CAST([] AS VARCHAR[])))) / greatest(len(aw), 1) AS grounding
     FROM (SELECT query_id, list_distinct({O.words("lower(answer)")}) AS aw FROM c_vans) LEFT JOIN (SELECT query_id,
-    list_distinct(flatten(list(w))) AS ws FROM (SELECT query_id, list_slice({O.words("lower(text)")}, 1, 100) AS w FROM c_vhits
+    list_distinct(flatten(list(w))) AS ws FROM (SELECT query_id, {O.words("lower(text)")} AS w FROM c_vhits
     WHERE rank <= 5) GROUP BY 1) USING (query_id)""",
 )
 O.cte(

@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from quaestor.functions import rules as R
-from quaestor.operators import evidence, scoring
+from quaestor.operators import evidence, fusion, scoring
 from quaestor.plans import oracle as O
 from quaestor.plans import search as S
-from quaestor.plans.queries_text import utility_case
+from quaestor.plans.queries_evidence import comparison_merge_sql
 from quaestor.plans.registry import query
-from quaestor.session import shared_dir
+from quaestor.session import settle, shared_dir
 from quaestor.sources import corpus as C
 from quaestor.sources import index as I
 from quaestor.sources import publish as P
@@ -20,7 +20,7 @@ def inputs(spark, folder):
 
 @query("enhanced_search")
 def enhanced_search(spark, folder):
-    return S.enhanced_search(*inputs(spark, folder), vector_k=50, lexical_k=50).select(
+    return S.enhanced_search(*inputs(spark, folder), vector_k=100, lexical_k=200).select(
         "query_id", "doc_id", "rank", "score", "raw_score", "text"
     )
 
@@ -75,7 +75,6 @@ def focused_search(spark, folder):
 
 
 # the anchored pass searches for the query with the name of its utility appended, among that utility's documents
-O.cte("c_named", f"SELECT query_id, query, {utility_case('lower(query)', O.plain('lower(query)'))} AS utility FROM c_sq")
 O.cte("c_aq", "SELECT query_id, query || ' ' || utility AS query, utility FROM c_named WHERE utility IS NOT NULL")
 _clauses = " UNION ALL ".join(
     f"SELECT query_id, {O.s(a + x)} AS text, {b} AS boost FROM c_aq WHERE contains(lower(query), {O.s(n.lower())})"
@@ -156,6 +155,43 @@ def comparison_search(spark, folder):
     return S.comparison_hits(c, C.query_log(spark, folder))
 
 
+O.cte(
+    "c_csides",
+    """SELECT qid AS query_id, side, doc_id, rank, round(score / max(score) OVER (PARTITION BY qid, side), 6) AS score,
+    contains(lower(text), lower(entity)) AS mentioned FROM c_cq JOIN (SELECT query_id AS query, doc_id, rank, score FROM c_ch)
+    USING (query) JOIN (SELECT doc_id, text FROM c_corpus) USING (doc_id)""",
+)
+O.cte(
+    "c_cconf",
+    """SELECT query_id, round(CASE WHEN coalesce(n1, 0) = 0 OR coalesce(n2, 0) = 0 THEN 0.2 WHEN n1 < 2 OR n2 < 2 THEN 0.4
+    ELSE least(m / (n1 + n2) + (a1 + a2) / 2, 1) END, 6) AS confidence FROM (SELECT DISTINCT qid AS query_id FROM c_cq) LEFT JOIN
+    (SELECT query_id, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = 2) AS n2, avg(score) FILTER (side = 1) AS a1,
+    avg(score) FILTER (side = 2) AS a2, count(*) FILTER (mentioned) AS m FROM c_csides GROUP BY 1) USING (query_id)""",
+)
+
+
+@query("comparison_confidence", O.sql("SELECT query_id, confidence FROM c_cconf"))
+def comparison_confidence(spark, folder):
+    """How sure each comparison of the query log is, from the hits of its two entity searches."""
+    c, q = S.Collection.load(spark, folder), C.query_log(spark, folder)
+    hits = settle(S.comparison_hits(c, q))
+    sure = fusion.comparison_confidence(S.scaled_sides(hits), S.comparison_queries(q).select("query_id").distinct())
+    return sure.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    "comparison_answer",
+    O.sql(
+        f"""SELECT query_id, side, doc_id, score, position, confidence FROM c_cconf LEFT JOIN
+        ({comparison_merge_sql("c_ccm", "c_csides")}) USING (query_id)"""
+    ),
+)
+def comparison_answer(spark, folder):
+    """Both entity searches of each comparison, merged, with its confidence."""
+    found = S.comparison_search(S.Collection.load(spark, folder), C.query_log(spark, folder))
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
 @query("search_views")
 def search_views(spark, folder):
     v = S.search_views(*inputs(spark, folder))
@@ -166,7 +202,7 @@ def search_views(spark, folder):
 def embed_texts(spark, folder):
     """Every document embedded with the default model; norm and width of each vector."""
     docs = C.corpus(spark, folder).select(F.col("doc_id").alias("id"), "text")
-    e = scoring.embed_texts(docs)
+    e = scoring.embed_texts(docs)  # of whole texts
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     return e.select("id", F.size("embedding").alias("width"), F.round(norm, 3).alias("norm"))
 

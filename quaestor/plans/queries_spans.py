@@ -150,7 +150,7 @@ _hint_rows = " UNION ALL ".join(
 )
 O.cte(
     "c_probe",
-    f"""SELECT query_id, {O.plain("title || ' ' || page_url || ' ' || left(text, 500)")} AS p FROM c_aset
+    f"""SELECT query_id, {O.plain("title || ' ' || page_url || ' ' || text")} AS p FROM c_aset
     JOIN c_corpus USING (doc_id)""",
 )
 O.cte("c_conf", _hint_rows)

@@ -119,7 +119,7 @@ def embedding_text(spark, folder):
     "normalize_embed_text",
     O.sql(
         f"""SELECT doc_id, md5(CASE WHEN t = '' THEN '[empty]' ELSE t END) AS text_md5, CAST(length(t) AS BIGINT) AS n
-        FROM (SELECT doc_id, left({O.collapse("text")}, 8192) AS t FROM c_corpus)"""
+        FROM (SELECT doc_id, {O.collapse("text")} AS t FROM c_corpus)"""
     ),
 )
 def normalize_embed_text(spark, folder):

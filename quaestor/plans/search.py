@@ -273,6 +273,24 @@ def comparison_hits(c: Collection, queries: DataFrame, k: int = 8) -> DataFrame:
     )
 
 
+def comparison_search(c: Collection, queries: DataFrame, k: int = 8) -> DataFrame:
+    """query_id, side, doc_id, score, position, confidence: both entities searched, merged, and how sure the answer is.
+
+    A comparison that finds nothing gets one row without a document.
+    """
+    hits = settle(comparison_hits(c, queries, k))
+    merged = fusion.comparison_merge(hits).select("query_id", "side", "doc_id", "score", "position")
+    asked = comparison_queries(queries).select("query_id").distinct()
+    sure = fusion.comparison_confidence(scaled_sides(hits), asked)
+    return sure.join(merged, "query_id", "left").select("query_id", "side", "doc_id", "score", "position", "confidence")
+
+
+def scaled_sides(hits: DataFrame) -> DataFrame:
+    """Scores brought to 0..1 by the best of their side."""
+    top = hits.groupBy("query_id", "side").agg(F.max("score").alias("_top"))
+    return hits.join(top, ["query_id", "side"]).withColumn("score", F.round(F.col("score") / F.col("_top"), 6)).drop("_top")
+
+
 def search_views(c: Collection, queries: DataFrame, query_vectors: DataFrame, top: int = 8, minimum: int = 5) -> DataFrame:
     """query_id, view, stage, doc_id, rank, soft_score for the info and the procedure view.
 

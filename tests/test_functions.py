@@ -71,7 +71,8 @@ def test_trim(spark):
 def test_embedding_text_normalisation(spark):
     assert one(spark, "  a \n b ", X.normalize_embed_text) == "a b"
     assert one(spark, "   ", X.normalize_embed_text) == "[empty]"
-    assert len(one(spark, "x" * 9000, X.normalize_embed_text)) == 8192
+    assert len(one(spark, "x" * 9000, X.normalize_embed_text)) == 9000
+    assert len(one(spark, "x" * 9000, lambda c: X.normalize_embed_text(c, 8192))) == 8192
 
 
 def test_cosine(spark):
@@ -81,3 +82,9 @@ def test_cosine(spark):
     bad = spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<float>, b array<float>")
     with pytest.raises(Exception, match="widths differ"):
         bad.select(V.cosine(F.col("a"), F.col("b"))).collect()
+
+
+def test_one_decimal_is_rounded_as_printf_does(spark):
+    values = [n / 100 for n in range(0, 1000)] + [k / 3 for k in range(50)] + [12.25, 12.75, 0.05, 99.95, 0.04999999999999999]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.one_decimal(F.col("v")).alias("s"))
+    assert all(r["s"] == f"{r['v']:.1f}" for r in df.collect())

@@ -89,11 +89,12 @@ def test_dedupe_keeps_first_and_best(spark):
     assert rows(fusion.dedupe_docs(h).select("doc_id", "score", "rank"), "rank") == [(1, 0.9, 1), (2, 0.8, 2)]
 
 
-def test_pair_cosine():
-    assert fusion.pair_cosine({"a": 1}, {"a": 3}) == pytest.approx(1.0)
-    assert fusion.pair_cosine({"a": 1}, {"b": 1}) == 0.0
+def test_pair_similarity_formula():
+    one = lambda a, b: fusion.similarities([a, b])[0, 1]
+    assert one({"a": 1}, {"a": 3}) == pytest.approx(1.0)
+    assert one({"a": 1}, {"b": 1}) == 0.0
     w = 1 + math.log(1.5)
-    assert fusion.pair_cosine({"a": 1, "b": 1}, {"a": 1, "c": 1}) == pytest.approx(1 / (1 + w * w))
+    assert one({"a": 1, "b": 1}, {"a": 1, "c": 1}) == pytest.approx(1 / (1 + w * w))
 
 
 def test_rerank_policy(spark):
@@ -202,6 +203,42 @@ def test_embedding_batches_and_width(spark):
         scoring.embed_texts(t, embedder=lambda xs: np.zeros((len(xs), 3))).collect()
 
 
+def test_embedding_reads_whole_texts(spark):
+    long = "word " * 4000  # three pieces
+    t = spark.createDataFrame([(1, long + "alpha"), (2, long + "beta"), (3, "alpha"), (4, None)], "id long, text string")
+    got = {r["id"]: np.array(r["embedding"]) for r in scoring.embed_texts(t).collect()}
+    assert not np.allclose(got[1], got[2])
+    text = " ".join((long + "alpha").split())
+    cuts = [text[a : a + 8192] for a in range(0, len(text), 8192)]
+    want = sum(len(p) * scoring.hash_embedder()([p])[0].astype(float) for p in cuts)
+    assert np.allclose(got[1], want / np.linalg.norm(want), atol=1e-6) and set(got) == {1, 2, 3, 4}
+
+
+def test_failed_texts_are_set_aside_alone(spark):
+    def picky(xs):
+        if any("bad" in x for x in xs):
+            raise RuntimeError("no")
+        return np.ones((len(xs), 4))
+
+    t = spark.createDataFrame([(i, "bad" if i == 5 else f"text {i}") for i in range(20)], "id long, text string").coalesce(1)
+    pieces = scoring.embed_pieces(t, picky, 4, batch=8)
+    assert [(r["id"], r["error"]) for r in scoring.quarantine(pieces).collect()] == [(5, "RuntimeError: no")]
+    assert sorted(r["id"] for r in scoring.pooled(pieces, 4).collect()) == [i for i in range(20) if i != 5]
+
+
+def test_similarities_equal_the_pairwise_formula():
+    rng = np.random.default_rng(1)
+    maps = [{f"t{w}": int(n) for w, n in zip(rng.choice(60, 20, replace=False), rng.integers(1, 5, 20))} for _ in range(12)] + [{}, {"only": 3}]
+
+    def cosine(a, b):
+        weigh = lambda x, y: sum((tf if t in y else tf * fusion.ONE_SIDED) ** 2 for t, tf in x.items())
+        dot = sum(tf * b[t] for t, tf in a.items() if t in b)
+        return dot / (weigh(a, b) * weigh(b, a)) ** 0.5 if dot else 0.0
+
+    got = fusion.similarities(maps)
+    assert all(abs(got[i, j] - cosine(a, b)) < 1e-12 for i, a in enumerate(maps) for j, b in enumerate(maps) if i != j)
+
+
 def test_failed_scorer_gives_zeros(spark):
     def broken(q, t):
         raise RuntimeError
