@@ -3,11 +3,13 @@
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import rules as R
 from quaestor.functions import text as X
+from quaestor.operators.literals import Screen
 
 SPAN_SCHEMA = (
     "doc_id long, rule_no int, suite string, capability string, type string, weight double, text string, url string, "
@@ -16,60 +18,53 @@ SPAN_SCHEMA = (
 SUITES = list(R.SUITES)
 
 
-def rule_rows() -> list[tuple]:
+def rule_rows(suites: dict | None = None) -> list[tuple]:
     """(rule_no, suite, name, capability, weight, pattern) of every pattern, suites first, global ones last."""
     rows = []
-    for suite, manifest in R.SUITES.items():
+    for suite, manifest in (suites or R.SUITES).items():
         for name, capability, weight, patterns, _, _ in manifest["extractors"]:
             rows += [(len(rows) + i, suite, name, capability, weight, p) for i, p in enumerate(patterns)]
     rows += [(len(rows) + i, "global", c, c, R.GLOBAL_CONFIDENCE, p) for i, (c, p) in enumerate(R.GLOBAL_PATTERNS)]
     return rows
 
 
-def suite_registry(spark) -> DataFrame:
-    """suite, keywords (patterns without regex syntax), url_patterns, hints: one row per suite."""
-    rows = []
-    for suite, manifest in R.SUITES.items():
-        extractors = manifest["extractors"]
-        plain = [p.lower() for e in extractors for p in e[3] if not set(p) & set(r"[](){}*+?|^$\\")]
-        rows.append((suite, plain, [u for e in extractors for u in e[5]], list(manifest["hints"])))
-    return spark.createDataFrame(
-        rows, "suite string, keywords array<string>, url_patterns array<string>, hints array<string>"
+def suite_registry(rules: DataFrame) -> DataFrame:
+    """suite, keywords (patterns without regex syntax), url_patterns, hints: one row per suite of a rule table."""
+    plain = F.filter(F.flatten("extractors.patterns"), lambda p: ~p.rlike(r"[\[\](){}*+?|^$\\]"))
+    return rules.select(
+        "suite", F.transform(plain, F.lower).alias("keywords"), F.flatten("extractors.url_patterns").alias("url_patterns"), "hints"
     )
 
 
-def hint_hits(text: Column, suite: str) -> Column:
+def hint_hits(text: Column, hints: list[str]) -> Column:
     """How many of a suite's hints a text meets."""
-    hits = [F.coalesce(X.has(text, h).cast("int"), F.lit(0)) for h in R.SUITES[suite]["hints"]]
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
-    return total
+    return sum((F.coalesce(X.has(text, h).cast("int"), F.lit(0)) for h in hints), F.lit(0))
 
 
-def suite_confidence(passages: DataFrame, head: int | None = None) -> DataFrame:
+def suite_confidence(passages: DataFrame, head: int | None = None, suites: dict | None = None) -> DataFrame:
     """query_id, suite, confidence: twice the share of (hint, passage) pairs that match, at most 1.
 
     The hint counts of all suites are measured in one pass and summed per query before they become rows.  Texts count
-    whole unless `head` says how many characters do.
+    whole unless `head` says how many characters do.  A suite without hints counts as half sure.
     """
+    suites = suites or R.SUITES
     text = F.col("text") if head is None else F.substring("text", 1, head)
     probe = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("page_url", F.lit("")), text)
     p = passages.withColumn("_probe", probe)
     sums = p.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(hint_hits(F.col("_probe"), s)).alias(s) for s in SUITES]
+        F.count(F.lit(1)).alias("n"), *[F.sum(hint_hits(F.col("_probe"), m["hints"])).alias(s) for s, m in suites.items()]
     )
     pairs = F.explode(
         F.array(
             *[
-                F.struct(F.lit(s).alias("suite"), F.col(s).alias("hits"), F.lit(len(R.SUITES[s]["hints"])).alias("hints"))
-                for s in SUITES
+                F.struct(F.lit(s).alias("suite"), F.col(s).alias("hits"), F.lit(len(m["hints"])).alias("hints"))
+                for s, m in suites.items()
             ]
         )
     )
-    return sums.select("query_id", "n", pairs.alias("s")).select(
-        "query_id", "s.suite", F.least(F.lit(1.0), 2.0 * F.col("s.hits") / (F.col("s.hints") * F.col("n"))).alias("confidence")
-    )
+    share = 2.0 * F.col("s.hits") / (F.nullif(F.col("s.hints"), F.lit(0)) * F.col("n"))
+    sure = F.when(F.col("s.hints") == 0, 0.5).otherwise(F.least(F.lit(1.0), share))
+    return sums.select("query_id", "n", pairs.alias("s")).select("query_id", "s.suite", sure.alias("confidence"))
 
 
 _OPEN_RUN = r"(?i)([\w\s-]+)"
@@ -93,15 +88,18 @@ def _matches(rx, text: str):
         pos = m.end() if m else run.end()
 
 
-def _extractor():
-    by_extractor, urls, attrs = {}, {}, {}
-    for suite, manifest in R.SUITES.items():
+def _extractor(suites: dict | None = None):
+    suites = suites or R.SUITES
+    urls, attrs, rules = {}, {}, []
+    for suite, manifest in suites.items():
         for name, _, _, _, attr_rules, url_rules in manifest["extractors"]:
             attrs[suite, name] = [(k, re.compile(v)) for k, v in attr_rules.items()]
             urls[suite, name] = [re.compile(u) for u in url_rules]
-    for no, suite, name, capability, weight, p in rule_rows():
+    rows = rule_rows(suites)
+    for no, suite, name, capability, weight, p in rows:
         kind = R.CAPABILITY_TYPES.get(capability, "endpoint") if suite != "global" else capability
-        by_extractor.setdefault((suite, name), []).append((no, capability, kind, weight, re.compile(p)))
+        rules.append((suite, name, no, capability, kind, weight, re.compile(p)))
+    screen: list[Screen] = []  # made inside the task: an automaton does not travel
     any_url = re.compile(r"https?://[^\s]+")
 
     def best_url(suite, name, match, page_url):
@@ -116,22 +114,24 @@ def _extractor():
         found = {}
         for key, rx in attrs.get((suite, name), []):
             m = rx.search(match)
-            if m:
+            if m and m.group(1) is not None:
                 found[key] = m.group(1).strip()
         return found
 
     def scan(doc, title, body, url):
         text = f"{title or ''}\n{body or ''}"
-        for (suite, name), rules in by_extractor.items():
-            for no, capability, kind, weight, rx in rules:
-                for m in _matches(rx, text):
-                    s = m.group(0)
-                    where = best_url(suite, name, s, url)
-                    yield doc, no, suite, capability, kind, weight, s.strip(), where, m.start(), attributes(suite, name, s)
+        for i in screen[0].candidates(text):
+            suite, name, no, capability, kind, weight, rx = rules[i]
+            for m in _matches(rx, text):
+                s = m.group(0)
+                where = best_url(suite, name, s, url)
+                yield doc, no, suite, capability, kind, weight, s.strip(), where, m.start(), attributes(suite, name, s)
 
     columns = ["doc_id", "rule_no", "suite", "capability", "type", "weight", "text", "url", "offset", "attrs"]
 
     def run(batches):
+        if not screen:
+            screen.append(Screen([r[5] for r in rows]))
         for pdf in batches:
             docs = zip(pdf["doc_id"], pdf["title"], pdf["text"], pdf["page_url"])
             yield pd.DataFrame([row for d in docs for row in scan(*d)], columns=columns)
@@ -139,13 +139,14 @@ def _extractor():
     return run
 
 
-def extract_spans(docs: DataFrame) -> DataFrame:
+def extract_spans(docs: DataFrame, suites: dict | None = None) -> DataFrame:
     """Every match of every rule, once per document.  docs: doc_id, title, text, page_url.
 
     Offsets of matches are what Spark's regex functions do not give, hence the Arrow batches.  A document is scanned
-    once however many queries it answers.
+    once however many queries it answers: one pass for the literals that the patterns need, then only the patterns whose
+    literals are there.  suites are the rules of rule files (see sources.rules), the built-in ones by default.
     """
-    return docs.select("doc_id", "title", "text", "page_url").mapInPandas(_extractor(), SPAN_SCHEMA)
+    return docs.select("doc_id", "title", "text", "page_url").mapInPandas(_extractor(suites), SPAN_SCHEMA)
 
 
 def spans_for_queries(hits: DataFrame, spans: DataFrame, confidence: DataFrame, minimum: float = 0.1) -> DataFrame:
@@ -162,37 +163,36 @@ def spans_for_queries(hits: DataFrame, spans: DataFrame, confidence: DataFrame,
     )
 
 
+def _keep(gap: int, back: int):
+    """Task function over spans sorted by query, document, offset and rule: only the last kept ones are remembered."""
+
+    def run(batches):
+        document, kept = None, []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("query_id", "doc_id", "offset", "suite")))
+            keep = []
+            for query, doc, offset, suite in keys:
+                if (query, doc) != document:
+                    document, kept = (query, doc), []
+                new = not any(s == suite and abs(offset - o) < gap for o, s in kept)
+                if new:
+                    kept = [*kept[1 - back :], (offset, suite)] if back > 1 else [(offset, suite)]
+                keep.append(new)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def dedupe_spans(spans: DataFrame, gap: int = 50, back: int = 3) -> DataFrame:
     """Drop a span when one of the last three kept ones is of the same suite and starts within the gap.
 
-    The check never looks across documents, so each (query, document) folds its own sorted spans.
+    The check never looks across documents: spans are sorted by (query, document) and pass by in order, so a document
+    with very many spans takes linear time and no memory.
     """
-    item = F.struct("offset", "rule_no", "suite", "capability", "type", "confidence", "text", "url", "attrs")
-    keys = ["query_id", "doc_id"]
-    kept_type = "array<struct<offset:int,rule_no:int,suite:string>>"
-    slim = F.struct("offset", "rule_no", "suite")
-    folded = (
-        spans.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(slim)).alias("all"))
-        .select(
-            *keys,
-            F.explode(
-                F.aggregate(
-                    "all",
-                    F.array().cast(kept_type),
-                    lambda acc, x: F.when(
-                        F.exists(
-                            F.slice(acc, F.greatest(F.size(acc) - (back - 1), F.lit(1)), F.lit(back)),
-                            lambda k: (k["suite"] == x["suite"]) & (F.abs(k["offset"] - x["offset"]) < gap),
-                        ),
-                        acc,
-                    ).otherwise(F.concat(acc, F.array(x))),
-                )
-            ).alias("k"),
-        )
-        .select(*keys, F.col("k.offset").alias("offset"), F.col("k.rule_no").alias("rule_no"))
-    )
-    return spans.select(*keys, item.alias("s")).select(*keys, "s.*").join(folded, [*keys, "offset", "rule_no"], "left_semi")
+    columns = ["query_id", "doc_id", "offset", "rule_no", "suite", "capability", "type", "confidence", "text", "url", "attrs"]
+    order = ["query_id", "doc_id", "offset", "rule_no"]
+    s = spans.select(columns)
+    return s.repartition("query_id", "doc_id").sortWithinPartitions(*order).mapInArrow(_keep(gap, back), s.schema)
 
 
 def actionable(spans: DataFrame) -> DataFrame:

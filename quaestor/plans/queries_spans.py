@@ -12,6 +12,7 @@ from quaestor.plans.queries_search import lex_hits
 from quaestor.plans.registry import query
 from quaestor.session import settle
 from quaestor.sources import corpus as C
+from quaestor.sources import rules as RF
 
 # ------------------------------------------------------------------------------------------------ extraction
 O.cte(
@@ -95,13 +96,14 @@ _hits_of = {suite: [O.has("p", h) for h in m["hints"]] for suite, m in R.SUITES.
     ),
 )
 def suite_rules(spark, folder):
-    """The rule tables with the number of documents that meet any hint of each suite, from one pass."""
-    docs = C.corpus(spark, folder)
-    met = docs.select(*[(SP.hint_hits(F.col("text"), s) > 0).cast("int").alias(s) for s in SP.SUITES])
-    sums = met.agg(*[F.sum(s).alias(s) for s in SP.SUITES])
-    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("suite"), F.col(s).alias("n_docs")) for s in SP.SUITES]))
+    """The rule files with the number of documents that meet any hint of each suite, from one pass."""
+    docs, rules = C.corpus(spark, folder), RF.read_suites(spark, RF.built_in(spark).suites)
+    suites = RF.suites_of(rules)
+    met = docs.select(*[(SP.hint_hits(F.col("text"), m["hints"]) > 0).cast("int").alias(s) for s, m in suites.items()])
+    sums = met.agg(*[F.sum(s).alias(s) for s in suites])
+    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("suite"), F.col(s).alias("n_docs")) for s in suites]))
     n = sums.select(rows.alias("r")).select("r.*")
-    reg = SP.suite_registry(spark)
+    reg = SP.suite_registry(rules)
     return reg.join(n, "suite").select(
         "suite", F.size("hints").alias("n_hints"), F.size("url_patterns").alias("n_url_patterns"), "n_docs"
     )

@@ -10,6 +10,7 @@ from quaestor.plans.queries_search import lex_hits
 from quaestor.plans.registry import query
 from quaestor.plans import search as S
 from quaestor.sources import corpus as C
+from quaestor.sources import rules as RF
 
 # Words are fenced with two private-use characters so that RE2 can match whole Unicode words.
 _A, _Z = "\ue000", "\ue001"
@@ -546,7 +547,7 @@ def _rule_values(rows) -> str:
 )
 def load_synonyms(spark, folder):
     """The synonym table with the number of logged queries that use each term as a word."""
-    terms = spark.createDataFrame(R.SYNONYMS, "term string, expansion string")
+    terms = RF.read_synonyms(spark, RF.built_in(spark).synonyms)
     used = _log(spark, folder).select(F.explode(F.array_distinct(X.tokens(F.col("query")))).alias("term"))
     return (
         terms.join(used.groupBy("term").agg(F.count(F.lit(1)).alias("n_queries")), "term", "left")
@@ -568,8 +569,9 @@ _catalog_rows = [(p, g, a, n) for p, g, a, names in R.API_CATALOG for n in names
 )
 def api_catalog(spark, folder):
     """Catalogue rows with their acronym's name (the synonym file wins) and the documents of their group."""
-    rows = spark.createDataFrame(R.API_CATALOG, "product string, group_name string, acronym string, apis array<string>")
-    names = spark.createDataFrame([(t.upper(), e) for t, e in R.SYNONYMS], "acronym string, expansion string")
+    files = RF.built_in(spark)
+    rows = RF.read_catalog(spark, files.catalog)
+    names = RF.read_synonyms(spark, files.synonyms).select(F.upper("term").alias("acronym"), "expansion")
     docs = C.corpus(spark, folder).groupBy(F.col("utility_name").alias("group_name")).agg(F.count(F.lit(1)).alias("n_docs"))
     return (
         rows.select("product", "group_name", "acronym", F.explode("apis").alias("api_name"))
