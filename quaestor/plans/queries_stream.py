@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quaestor.operators import quality
 from quaestor.plans import oracle as O
 from quaestor.plans.registry import query
+from quaestor.session import shared_dir
 from quaestor.sources import corpus as C
 from quaestor.streaming import jobs as J
 
@@ -21,18 +22,20 @@ O.cte(
     "c_sess",
     """SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) AS n, round(sum(round(ms, 1)), 3) AS total_ms,
     count(*) FILTER (ms > 2000) AS n_hot, count(*) FILTER (ms > 500 AND ms <= 2000) AS n_warn,
-    arg_min(stage, (ts, event_id)) AS first_stage, arg_max(stage, (ts, event_id)) AS last_stage FROM (SELECT *, sum(fresh) OVER
+    arg_min(stage, (ts, event_id)) AS first_stage, arg_max(stage, (ts, event_id)) AS last_stage, 'Timeline[' || printf('%.0f',
+    round(sum(round(ms, 1)), 3)) || 'ms]: ' || string_agg(stage || '→' || CASE WHEN round(ms, 1) > 2000 THEN '🔥' WHEN
+    round(ms, 1) > 500 THEN '⚠️' ELSE '' END || printf('%.0f', round(ms, 1)) || 'ms', ' | ' ORDER BY ts, event_id) AS summary FROM (SELECT *, sum(fresh) OVER
     (PARTITION BY user_id ORDER BY ts, event_id) AS sess FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
     ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM c_tel)) GROUP BY user_id, sess""",
 )
 _timeline = f"""SELECT user_id, strftime(a, {DUCK_STAMP}) AS started, strftime(b, {DUCK_STAMP}) AS ended, n, total_ms, n_hot,
-    n_warn, first_stage, last_stage FROM c_sess"""
+    n_warn, first_stage, last_stage, summary FROM c_sess"""
 
 
 def _show_timeline(t):
     return t.select(
         "user_id", stamp("started"), stamp("ended"), "n", F.round("total_ms", 3).alias("total_ms"), "n_hot", "n_warn",
-        "first_stage", "last_stage",
+        "first_stage", "last_stage", J.timeline_summary(F.col("stages"), F.round("total_ms", 3)).alias("summary"),
     )
 
 
@@ -167,6 +170,7 @@ def budget_violations(spark, folder):
     )
 
 
+_passed = "WHERE ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM c_tel)"  # what a watermark of ten minutes has passed
 _ttl = """SELECT key, r.h AS hits, r.m AS misses FROM (SELECT user_id AS key, list_reduce(list({'i': epoch_us(ts),
     'h': CAST(0 AS BIGINT), 'm': CAST(1 AS BIGINT)} ORDER BY ts, event_id), lambda acc, x: CASE WHEN x.i - acc.i < 14400000000 THEN
     {'i': acc.i, 'h': acc.h + 1, 'm': acc.m} ELSE {'i': x.i, 'h': acc.h, 'm': acc.m + 1} END) AS r FROM c_tel GROUP BY user_id)"""
@@ -178,12 +182,66 @@ def ttl_dedup(spark, folder):
     return J.ttl_cache(C.telemetry(spark, folder), "user_id", 4 * 3600)
 
 
-@query("ttl_dedup_stream", O.sql(_ttl))
+@query("ttl_dedup_stream", O.sql(_ttl.replace("FROM c_tel GROUP", f"FROM c_tel {_passed} GROUP")))
 def ttl_dedup_stream(spark, folder):
     uses = J.run_batches(J.ttl_stream(J.read_events(spark, folder), 4 * 3600), "ttl")
     return uses.groupBy("key").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
+# a cache of eight users for each stage; a user's entry lives two days.  State: entries by user with insertion and last use.
+_LRU_TTL, _LRU_CAPACITY = 2 * 86_400, 8
+
+
+def _lru(where: str) -> str:
+    uses = f"""(SELECT stage AS cache, CAST(user_id AS VARCHAR) AS e, epoch_us(ts) AS t, row_number() OVER (PARTITION BY stage
+        ORDER BY ts, event_id) AS pos FROM c_tel {where})"""
+    return f"""WITH RECURSIVE u AS MATERIALIZED {uses}, r AS (SELECT DISTINCT cache, CAST(0 AS BIGINT) AS pos,
+        CAST([] AS STRUCT(e VARCHAR, i BIGINT, u BIGINT)[]) AS m, false AS hit, CAST(0 AS BIGINT) AS evicted FROM u UNION ALL
+        SELECT cache, pos, CASE WHEN gone > 0 THEN list_slice(list_sort(m), gone + 1, len(m)) ELSE m END, hit, gone FROM
+        (SELECT cache, pos, hit, m, CASE WHEN NOT hit AND len(m) > {_LRU_CAPACITY} THEN len(m) - {_LRU_CAPACITY * 3 // 4} ELSE 0 END
+        AS gone FROM (SELECT r.cache, u.pos, len(mine) > 0 AS hit, list_append(list_filter(live, lambda x: x.e <> u.e),
+        {{'u': u.t, 'e': u.e, 'i': CASE WHEN len(mine) > 0 THEN mine[1].i ELSE u.t END}}) AS m FROM (SELECT r.*, u.t, u.e AS ue,
+        list_filter(r.m, lambda x: u.t - x.i < {_LRU_TTL}000000) AS live FROM r JOIN u ON u.cache = r.cache AND u.pos = r.pos + 1) r
+        JOIN u ON u.cache = r.cache AND u.pos = r.pos + 1, LATERAL (SELECT list_filter(live, lambda x: x.e = u.e) AS mine))))
+        SELECT cache, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, CAST(sum(evicted) AS BIGINT) AS evicted
+        FROM r WHERE pos > 0 GROUP BY cache""".replace("STRUCT(e VARCHAR, i BIGINT, u BIGINT)", "STRUCT(u BIGINT, e VARCHAR, i BIGINT)")
+
+
+def _lru_sql(where: str) -> str:
+    return O.sql(f"SELECT * FROM ({_lru(where)})")
+
+
+def _per_cache(uses):
+    return uses.groupBy("cache").agg(
+        F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.sum("evicted").alias("evicted")
+    )
+
+
+@query("lru_cache", _lru_sql(""))
+def lru_cache(spark, folder):
+    """Hits, misses and evictions of a bounded cache for each stage."""
+    return _per_cache(J.cache_uses(C.telemetry(spark, folder), "stage", "user_id", _LRU_TTL, _LRU_CAPACITY))
+
+
+@query("lru_cache_stream", _lru_sql(_passed))
+def lru_cache_stream(spark, folder):
+    uses = J.cache_stream(J.read_events(spark, folder), "stage", "user_id", _LRU_TTL, _LRU_CAPACITY)
+    return _per_cache(J.run_batches(uses, "lru"))
+
+
+@query(
+    "event_log",
+    O.sql("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids, round(sum(value), 6) AS total FROM events GROUP BY ALL"),
+)
+def event_log(spark, folder):
+    """All events written as JSON lines, read back as a stream and kept by the standing sink."""
+    lines, out = shared_dir(spark, "event-lines"), shared_dir(spark, "event-log")
+    C.table(spark, folder, "events").write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(lines)
+    J.event_sink(J.read_json_lines(spark, lines), out).awaitTermination()
+    kept = spark.read.parquet(f"{out}/rows").groupBy("event_type")
+    return kept.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_ids"), F.round(F.sum("value"), 6).alias("total"))
+
+
 @query(
     "important_events",
     O.sql(

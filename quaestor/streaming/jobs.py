@@ -1,10 +1,14 @@
 """Telemetry jobs.  Stateless and windowed ones are written once and run on batch and streaming input alike; each
-stateful job has a batch twin that computes the same rows from the whole table."""
+stateful job has a batch twin that computes the same rows from the whole table, as far as the stream's watermark has
+passed them.  The stream-stream join of starts and ends gives all pairs within its bound, its twin the first end."""
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,26 +28,46 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry_columns(spark.readStream.schema(schema).parquet(path))
 
 
-def run_batches(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain a streaming frame through foreachBatch and read the rows back with their batch number.
+EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, files_per_batch: int | None = None) -> DataFrame:
+    """Streaming rows of JSON-lines files; a line that is no such object comes with its text in the column corrupt."""
+    reader = spark.readStream.schema(f"{schema}, corrupt string").option("mode", "PERMISSIVE")
+    reader = reader.option("columnNameOfCorruptRecord", "corrupt").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(path)
+
 
-    Each micro-batch overwrites its own folder, so a batch that is repeated after a failure leaves the same rows.
+def event_sink(df: DataFrame, out: str, form: str = "parquet", mode: str = "append", trigger: dict | None = None):
+    """Start a standing sink: rows in out/rows, lines that could not be read in out/corrupt, a folder for each batch.
+
+    A batch overwrites its own folder and the checkpoint lies beside the rows, so a run that is killed and started again
+    with the same arguments neither loses rows nor writes them twice.  Returns the running query.
     """
-    spark = df.sparkSession
-    out = shared_dir(spark, name)
+    split = "corrupt" in df.columns
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        batch.persist()
+        try:
+            good = batch.where("corrupt IS NULL").drop("corrupt") if split else batch
+            good.write.mode("overwrite").format(form).save(f"{out}/rows/batch={batch_id}")
+            if split:
+                bad = batch.where("corrupt IS NOT NULL").select("corrupt")
+                bad.write.mode("overwrite").text(f"{out}/corrupt/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
-    query = (
-        df.writeStream.foreachBatch(write)
-        .outputMode(mode)
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    writer = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{out}/checkpoint")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def run_batches(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Drain a streaming frame into the sink and read the rows back with their batch number."""
+    out = shared_dir(df.sparkSession, name)
+    event_sink(df, out, mode=mode).awaitTermination()
+    return df.sparkSession.read.parquet(f"{out}/rows")
 
 
 # ----------------------------------------------------------------------------------- stateless and windowed
@@ -116,9 +140,23 @@ def _timeline() -> list:
         F.count_if((F.col("ms") > R.WARN_MS) & (F.col("ms") <= R.HOT_MS)).alias("n_warn"),
         F.min_by("stage", at).alias("first_stage"),
         F.max_by("stage", at).alias("last_stage"),
+        F.array_sort(F.collect_list(F.struct("ts", "event_id", "stage", F.round("ms", 1).alias("ms")))).alias("stages"),
     ]
 
 
+def timeline_summary(stages: Column, total_ms: Column) -> Column:
+    """One line: the total and every stage in order with its milliseconds, slow ones marked."""
+
+    def whole(c):
+        return F.bround(c, 0).cast("long").cast("string")
+
+    def part(s):
+        mark = F.when(s["ms"] > R.HOT_MS, "🔥").when(s["ms"] > R.WARN_MS, "⚠️").otherwise("")
+        return F.concat(s["stage"], F.lit("→"), mark, whole(s["ms"]), F.lit("ms"))
+
+    return F.concat(F.lit("Timeline["), whole(total_ms), F.lit("ms]: "), F.array_join(F.transform(stages, part), " | "))
+
+
 def timeline_stream(events: DataFrame, gap: str = GAP, late: str = "10 minutes") -> DataFrame:
     """Closed timelines of a stream: one row per user session; late rows are dropped after the watermark."""
     return (
@@ -126,7 +164,7 @@ def timeline_stream(events: DataFrame, gap: str = GAP, late: str = "10 minutes")
         .groupBy(F.session_window("ts", gap).alias("s"), "user_id")
         .agg(*_timeline())
         .select("user_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "n", "total_ms", "n_hot",
-                "n_warn", "first_stage", "last_stage")
+                "n_warn", "first_stage", "last_stage", "stages")
     )
 
 
@@ -161,6 +199,7 @@ def timeline_batch(events: DataFrame, gap_s: int = 1800, bucket_s: int = 3600) -
             F.sum("n_warn").alias("n_warn"),
             F.min_by("first_stage", "lo").alias("first_stage"),
             F.max_by("last_stage", "hi").alias("last_stage"),
+            F.array_sort(F.flatten(F.collect_list("stages"))).alias("stages"),
         )
         .drop("_session")
     )
@@ -180,38 +219,60 @@ def recent_logs(events: DataFrame, n: int = 50, req_id: str | None = None) -> Da
 
 
 class LastEvents(StatefulProcessor):
-    """Keeps the latest ten event ids of each request."""
+    """Keeps the latest ten event ids of each request, until the request has been silent for the given time."""
+
+    def __init__(self, silence_s: int):
+        self.silence = silence_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.events = handle.getListState("events", "ts timestamp, event_id long, stage string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = [tuple(r) for r in self.events.get()] if self.events.exists() else []
         for pdf in rows:
-            kept += list(zip(pdf["ts"], pdf["event_id"], pdf["stage"]))
-            kept = sorted(kept)[-10:]  # never more than a batch over the ten
+            # never more than a batch over the ten, and a silence that lies between two events ends what was before it
+            kept = sorted([*kept, *zip(pdf["ts"], pdf["event_id"], pdf["stage"])])
+            gaps = [i for i in range(1, len(kept)) if (kept[i][0] - kept[i - 1][0]).total_seconds() * 1000 > self.silence]
+            for a, b in zip([0, *gaps], gaps):
+                yield self._rows(key, kept[a:b][-10:], True)
+            kept = kept[gaps[-1] if gaps else 0 :][-10:]
         self.events.put(kept)
-        yield pd.DataFrame(
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(pd.Timestamp(kept[-1][0]).timestamp() * 1000) + self.silence)
+        yield self._rows(key, kept, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept = [tuple(r) for r in self.events.get()] if self.events.exists() else []
+        self.events.clear()
+        yield self._rows(key, kept, True)
+
+    def _rows(self, key, kept, closed: bool) -> pd.DataFrame:
+        n = len(kept)
+        return pd.DataFrame(
             {
-                "req_id": [key[0]] * len(kept),
-                "event_id": [r[1] for r in kept],
-                "stage": [r[2] for r in kept],
-                "nth": list(range(len(kept), 0, -1)),
+                "req_id": [key[0]] * n, "event_id": [r[1] for r in kept], "stage": [r[2] for r in kept],
+                "nth": list(range(n, 0, -1)), "closed": [closed] * n,
             }
-        )
+        )
 
     def close(self) -> None:
         pass
 
 
-def last_n_stream(events: DataFrame) -> DataFrame:
-    """Running form of last_n: each batch re-emits the lists it changed."""
+def last_n_stream(events: DataFrame, late: str = "10 minutes", silence_s: int = 30 * 86_400) -> DataFrame:
+    """Running form of last_n: each batch re-emits the lists it changed.
+
+    A request that stays silent in event time is emitted once more, closed, and its state is freed.  Events behind the
+    watermark are dropped.
+    """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return events.groupBy("req_id").transformWithStateInPandas(
-        statefulProcessor=LastEvents(),
-        outputStructType="req_id string, event_id long, stage string, nth int",
+    return events.withWatermark("ts", late).groupBy("req_id").transformWithStateInPandas(
+        statefulProcessor=LastEvents(silence_s),
+        outputStructType="req_id string, event_id long, stage string, nth int, closed boolean",
         outputMode="Update",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
@@ -275,127 +336,171 @@ def first_end(events: DataFrame, within_s: int = 3600) -> DataFrame:
     )
 
 
-# ----------------------------------------------------------------------------------------------- TTL cache
-def _ttl_step(ttl_us: int):
-    """A hit while the entry is younger than the TTL; otherwise a miss that inserts the entry anew."""
+# ------------------------------------------------------------------------------------------------- caches
+def ttl_cache(events: DataFrame, key: str = "user_id", ttl_s: int = 600) -> DataFrame:
+    """key, hits, misses of a cache whose entries expire a fixed time after insertion.
 
-    def step(acc, t):
-        fresh = acc["inserted"].isNotNull() & (t - acc["inserted"] < ttl_us)
-        return F.struct(
-            F.when(fresh, acc["inserted"]).otherwise(t).alias("inserted"),
-            (acc["hits"] + fresh.cast("long")).alias("hits"),
-            (acc["misses"] + (~fresh).cast("long")).alias("misses"),
-        )
+    A key's uses pass by in time order; the next insertion after one is found by a binary search in the batch, so the
+    work per key is its insertions and nothing is gathered.  Counts of a batch leave the task and are summed.
+    """
+    ttl = ttl_s * 1_000_000
+
+    def run(batches):
+        last, inserted = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, t = batch.column("key"), batch.column("t").to_numpy()
+            runs = pc.run_end_encode(keys)
+            ends = runs.run_ends.to_numpy()
+            found = []
+            for k, a, b in zip(runs.values.to_pylist(), [0, *ends[:-1]], ends):
+                at = a
+                if k != last:
+                    last, inserted = k, None
+                elif inserted is not None:
+                    at = a + int(np.searchsorted(t[a:b], inserted + ttl))
+                misses = 0
+                while at < b:
+                    misses, inserted = misses + 1, int(t[at])
+                    at += int(np.searchsorted(t[at:b], inserted + ttl))
+                found.append((k, int(b - a) - misses, misses))
+            yield pa.record_batch([pa.array(x) for x in zip(*found)], ["key", "hits", "misses"])
+
+    e = events.select(F.col(key).cast("long").alias("key"), F.unix_micros("ts").alias("t"))
+    parts = e.repartition("key").sortWithinPartitions("key", "t").mapInArrow(run, "key long, hits long, misses long")
+    return parts.groupBy("key").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+
+
+class Cache:
+    """Entries that expire a fixed time after insertion; beyond the capacity the least recently used leave.
+
+    Uses come in time order.  An eviction goes down to three quarters of the capacity, as one that removed a single entry
+    would come with every insertion; of equal last uses the smaller entry leaves first.
+    """
 
-    return step
+    def __init__(self, ttl_us: int, capacity: int | None, entries: dict | None = None):
+        self.ttl, self.capacity, self.entries = ttl_us, capacity, entries or {}
 
+    def expire(self, now: int) -> None:
+        """Free what no use at or after `now` can hit."""
+        self.entries = {k: v for k, v in self.entries.items() if now - v[0] < self.ttl}
 
-def ttl_cache(events: DataFrame, key: str = "user_id", ttl_s: int = 600, hot: int = 1_000_000) -> DataFrame:
-    """key, hits, misses of a cache whose entries expire a fixed time after insertion.
+    def use(self, entry: str, now: int) -> tuple[bool, int]:
+        """(hit, entries evicted)"""
+        inserted = self.entries.get(entry, (None,))[0]
+        hit = inserted is not None and now - inserted < self.ttl
+        self.entries[entry] = (inserted if hit else now, now)
+        if hit or self.capacity is None or len(self.entries) <= self.capacity:
+            return hit, 0
+        self.expire(now)
+        if len(self.entries) <= self.capacity:
+            return hit, 0
+        n = len(self.entries) - self.capacity * 3 // 4
+        for k in sorted(self.entries, key=lambda k: (self.entries[k][1], k))[:n]:
+            del self.entries[k]
+        return hit, n
 
-    The uses of a key are folded in time order.  Keys with more uses than hot are not folded in one place but followed
-    along their chain of insertions, see _ttl_chains; both ways give the same counts.
-    """
-    ttl_us = ttl_s * 1_000_000
-    e = events.select(F.col(key).alias("key"), F.unix_micros("ts").alias("t"))
-    sizes = e.groupBy("key").agg(F.count(F.lit(1)).alias("total"))
-    busy = settle(sizes.where(F.col("total") > hot), "busy-keys")
-    zero = F.struct(
-        F.lit(None).cast("long").alias("inserted"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("misses")
-    )
-    folded = (
-        e.join(busy, "key", "left_anti")
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_list("t")).alias("ts"))
-        .select("key", F.aggregate("ts", zero, _ttl_step(ttl_us)).alias("c"))
-        .select("key", "c.hits", "c.misses")
-    )
-    if busy.isEmpty():
-        return folded
-    misses = _ttl_chains(e.join(busy, "key", "left_semi").distinct(), ttl_us).groupBy("key").agg(
-        F.count(F.lit(1)).alias("misses")
-    )
-    chained = busy.join(misses, "key").select("key", (F.col("total") - F.col("misses")).alias("hits"), "misses")
-    return folded.unionByName(chained)
 
+_USES = "cache string, event_id long, hit boolean, evicted int"
 
-def _ttl_chains(uses: DataFrame, ttl_us: int) -> DataFrame:
-    """(key, t) of every insertion: the first use, then each time the first use a TTL or more after the last one.
 
-    The successor of a use lies in the TTL-wide slot of its expiry or is the first use of a later slot, so successors
-    are found slot by slot.  The chain from the first use is then marked in rounds that double their reach; a round is
-    an equality join on (key, t), which no busy key can unbalance.
-    """
-    slot = F.floor(F.col("at") / ttl_us)
-    marks = uses.select("key", F.col("t").alias("at"), F.col("t").alias("use"), F.lit(None).cast("long").alias("owner")).unionByName(
-        uses.select("key", (F.col("t") + ttl_us).alias("at"), F.lit(None).cast("long").alias("use"), F.col("t").alias("owner"))
-    )
-    marks = marks.withColumn("slot", slot)
-    # newest first; a use at the very moment of expiry counts, so uses come before expiries
-    ahead = Window.partitionBy("key", "slot").orderBy(F.desc("at"), F.col("use").isNull()).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    later = Window.partitionBy("key").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = marks.groupBy("key", "slot").agg(F.min("use").alias("first")).withColumn("later", F.min("first").over(later))
-    step = (
-        marks.withColumn("here", F.min("use").over(ahead))
-        .where(F.col("owner").isNotNull())
-        .join(firsts.select("key", "slot", "later"), ["key", "slot"])
-        .select("key", F.col("owner").alias("t"), F.coalesce("here", "later").alias("next"))
-        .where(F.col("next").isNotNull())
-    )
-    step = settle(step, "ttl-step")
-    reached = settle(uses.groupBy("key").agg(F.min("t").alias("t")), "ttl-reached")
-    while True:
-        more = reached.join(step, ["key", "t"]).select("key", F.col("next").alias("t"))
-        grown = settle(reached.unionByName(more).distinct(), "ttl-reached")
-        step = settle(
-            step.join(step.select("key", F.col("t").alias("next"), F.col("next").alias("after")), ["key", "next"]).select(
-                "key", "t", F.col("after").alias("next")
-            ),
-            "ttl-step",
-        )
-        reached = grown
-        if step.isEmpty():
-            return reached
+def cache_uses(events: DataFrame, cache: str, entry: str, ttl_s: int = 600, capacity: int | None = 1000) -> DataFrame:
+    """cache, event_id, hit, evicted of every use, from a table: each cache's uses pass by in time order."""
+
+    def run(batches):
+        name, state = None, None
+        for batch in batches:
+            rows = batch.to_pylist()
+            out = []
+            for r in rows:
+                if state is None or r["cache"] != name:
+                    name, state = r["cache"], Cache(ttl_s * 1_000_000, capacity)
+                out.append(state.use(r["entry"], r["t"]))
+            hits = [pa.array([h for h, _ in out], pa.bool_()), pa.array([n for _, n in out], pa.int32())]
+            yield pa.record_batch([batch.column("cache"), batch.column("event_id"), *hits], ["cache", "event_id", "hit", "evicted"])
 
+    e = _uses(events, cache, entry)
+    return e.repartition("cache").sortWithinPartitions("cache", "t", "event_id").mapInArrow(run, _USES)
 
-class TtlCache(StatefulProcessor):
-    """Emits every use as hit or miss; the entry is its insertion time."""
 
-    def __init__(self, ttl_s: int = 600):
-        self.ttl_us = ttl_s * 1_000_000
+def _uses(events: DataFrame, cache: str, entry: str) -> DataFrame:
+    names = [F.col(c).cast("string").alias(n) for c, n in ((cache, "cache"), (entry, "entry"))]
+    return events.select(*names, "ts", "event_id", F.unix_micros("ts").alias("t"))
+
+
+class CacheUses(StatefulProcessor):
+    """A cache kept up by a stream.
+
+    Uses wait until the watermark has passed them and are then taken in time order, so results do not depend on how the
+    stream was cut into batches.  Uses behind the watermark of the batch before are dropped: what has been answered stays.
+    Entries leave at their expiry, by a timer.
+    """
+
+    def __init__(self, ttl_us: int, capacity: int | None):
+        self.ttl, self.capacity = ttl_us, capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.inserted = handle.getValueState("inserted", "t long")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, event_id long, entry string")
+        self.entries = handle.getMapState("entries", "entry string", "inserted long, used long")
+
+    def _wake(self, t_us: int) -> None:
+        self.handle.registerTimer(-(-t_us // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at = self.inserted.get()[0] if self.inserted.exists() else None
-        out = []
-        uses = sorted((u, i) for pdf in rows for u, i in zip(pdf["t"], pdf["event_id"]))
-        for u, i in uses:
-            hit = at is not None and u - at < self.ttl_us
-            if not hit:
-                at = u
-            out.append((int(key[0]), int(i), bool(hit)))
-        self.inserted.update((int(at),))
-        yield pd.DataFrame(out, columns=["key", "event_id", "hit"])
+        more = [(int(t), int(i), e) for pdf in rows for t, i, e in zip(pdf["t"], pdf["event_id"], pdf["entry"])]
+        self.waiting.appendList(more)
+        self._wake(min(more)[0])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [w for w in waiting if w[0] <= now], [w for w in waiting if w[0] > now]
+        before = {k[0]: tuple(v) for k, v in self.entries.iterator()}
+        state = Cache(self.ttl, self.capacity, dict(before))
+        out = [(key[0], i, *state.use(e, t)) for t, i, e in due]
+        # the first use to come may be the next one waiting or any later than the watermark
+        state.expire(min([now, *(w[0] for w in rest[:1])]))
+        for e in before.keys() - state.entries.keys():
+            self.entries.removeKey((e,))
+        for e, v in state.entries.items():
+            if before.get(e) != v:
+                self.entries.updateValue((e,), v)
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        elif due:
+            self.waiting.clear()
+        if state.entries:
+            self._wake(max(now + 1, min(v[0] for v in state.entries.values()) + self.ttl))
+        if out:
+            yield pd.DataFrame(out, columns=["cache", "event_id", "hit", "evicted"])
 
     def close(self) -> None:
         pass
 
 
-def ttl_stream(events: DataFrame, ttl_s: int = 600) -> DataFrame:
+def cache_stream(
+    events: DataFrame, cache: str, entry: str, ttl_s: int = 600, capacity: int | None = 1000, late: str = "10 minutes"
+) -> DataFrame:
+    """The rows of cache_uses for all uses that the watermark has passed."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    keyed = events.select(F.col("user_id").alias("key"), "event_id", F.unix_micros("ts").alias("t"))
-    return keyed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=TtlCache(ttl_s),
-        outputStructType="key long, event_id long, hit boolean",
+    return _uses(events.withWatermark("ts", late), cache, entry).groupBy("cache").transformWithStateInPandas(
+        statefulProcessor=CacheUses(ttl_s * 1_000_000, capacity),
+        outputStructType=_USES,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
+def ttl_stream(events: DataFrame, ttl_s: int = 600, late: str = "10 minutes") -> DataFrame:
+    """key, event_id, hit of every use: a cache of its own for each key, so nothing is evicted."""
+    uses = cache_stream(events, "user_id", "user_id", ttl_s, None, late)
+    return uses.select(F.col("cache").cast("long").alias("key"), "event_id", "hit")
+
+
 # ------------------------------------------------------------------------------------------ schema profile
 class SchemaCounts(StatefulProcessor):
     """Running count per content path of one index.
@@ -430,11 +535,11 @@ class SchemaCounts(StatefulProcessor):
         pass
 
 
-def schema_profile_stream(observations: DataFrame, capacity: int = 100, ttl_s: int = 86_400) -> DataFrame:
+def schema_profile_stream(observations: DataFrame, capacity: int | None = 100, ttl_s: int = 86_400) -> DataFrame:
     """idx, path, n, inner, last_seen of the newest indices, kept up by a stream of observations.
 
     Every micro-batch is counted per (index, path) before it meets the state, so a hot index reaches its state as a
-    few rows.  Indices beyond the capacity are evicted oldest first.
+    few rows.  Indices beyond the capacity (null: no limit) are evicted oldest first.
     """
     spark = observations.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -460,5 +565,7 @@ def schema_profile_stream(observations: DataFrame, capacity: int = 100, ttl_s: i
     )
     rows = run_batches(state, "schema-profile", "update")
     latest = rows.groupBy("idx", "path").agg(*[F.max_by(c, "batch").alias(c) for c in ("n", "inner", "last_seen")])
+    if capacity is None:
+        return latest
     kept = latest.groupBy("idx").agg(F.max("last_seen").alias("seen")).orderBy(F.desc("seen"), "idx").limit(capacity)
     return latest.join(kept, "idx", "left_semi")
