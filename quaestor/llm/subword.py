@@ -80,6 +80,9 @@ class Remembered:
             self._learn([keys[k] for k in new], [piece(k) for k in new])
         return found
 
+    def _keep_whole(self, raw: np.ndarray, mark: np.ndarray) -> None:
+        """Take back cuts inside stretches of text that stand for one id."""
+
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Yield (first row, ids, offsets): row first + i of the column has ids[offsets[i]:offsets[i + 1]]."""
         for first, raw, bounds in stretches(column, STRETCH):
@@ -87,6 +90,7 @@ class Remembered:
                 yield first, np.zeros(0, "<u4"), np.zeros(len(bounds), np.int64)
                 continue
             mark = cuts(raw)
+            self._keep_whole(raw, mark)
             mark[bounds[:-1][bounds[:-1] < len(raw)]] = True
             start = np.flatnonzero(mark)
             end = np.concatenate([start[1:], [len(raw)]])
@@ -113,10 +117,25 @@ class Encoder(Remembered):
 
         super().__init__(self._encode)
         self.model = Tokenizer.from_str(tokenizer_json)
-        self.model.encode_special_tokens = True
+        self.whole = [(t.content.encode(), t.lstrip or t.rstrip or t.single_word) for t in self.model.get_added_tokens_decoder().values()]
         line_end = self.model.encode("\n", add_special_tokens=False).ids
         self.line_end = line_end[0] if len(line_end) == 1 else None
 
+    def _keep_whole(self, raw: np.ndarray, mark: np.ndarray) -> None:
+        """The library looks for added tokens before anything else; one that takes in blanks or looks at its neighbours
+        is kept together with the blanks around it."""
+        data = raw.tobytes()
+        for content, wide in filter(lambda t: t[0], self.whole):
+            at = data.find(content)
+            while at >= 0:
+                first, last = at + 1, at + len(content)
+                while wide and first > 1 and _BLANK[raw[first - 2]]:
+                    first -= 1
+                while wide and last < len(raw) and _BLANK[raw[last]]:
+                    last += 1
+                mark[first - wide : last + wide] = False
+                at = data.find(content, at + 1)
+
     def _batch(self, pieces: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
 

@@ -21,7 +21,6 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def library_ids(texts):
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -31,7 +30,10 @@ def rank_encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-TEXTS = st.lists(st.text(st.one_of(st.sampled_from(list("ab the's 'll\n\t  .,!1é\x85 　 ×à中<|>")), st.characters(exclude_categories=["Cs"])), max_size=25), max_size=8)
+ADDED = [t.content for t in Tokenizer.from_file(JSON).get_added_tokens_decoder().values()]
+PLAIN = st.text(st.one_of(st.sampled_from(list("ab the's 'll\n\t  .,!1é\x85 　 ×à中<|>")), st.characters(exclude_categories=["Cs"])), max_size=25)
+WITH_ADDED = st.lists(st.one_of(PLAIN, st.sampled_from([*ADDED, "<|end", "oftext|>", " ", "\n"])), max_size=7).map("".join)
+TEXTS = st.lists(st.one_of(PLAIN, WITH_ADDED), max_size=8)
 
 
 @settings(max_examples=150, deadline=None)
@@ -48,6 +50,13 @@ def test_remembered_pieces_encode_as_the_libraries_do(texts):
         assert coder.decode(np.array(tik.encode_ordinary(text), "<u4")) == text.encode()
 
 
+def test_added_tokens_are_single_ids():
+    texts = [f"a {ADDED[0]}b", ADDED[0] * 3, f"x\n\n{ADDED[0]}  y", ADDED[0][:-1], f"é{ADDED[0]}é " + "word " * 50 + ADDED[0]]
+    encode = subword.encoder(subword.read_tokenizer(JSON))
+    got = [ids[a:b].tolist() for _, ids, at in encode(pa.array(texts)) for a, b in zip(at[:-1], at[1:])]
+    assert got == library_ids(texts) and len(got[1]) == 3
+
+
 @pytest.mark.parametrize("n", [1, 31, 33, 1000, 8192, 65537, 150_000])
 def test_ans_round_trip_spans_and_checksums(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50_000).astype("<u4")
