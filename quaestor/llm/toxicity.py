@@ -105,19 +105,27 @@ def screen(sample: DataFrame) -> dict[str, int]:
     return {r["f"]: k for k, r in enumerate(kept.orderBy(excess.desc(), "f").limit(VOCABULARY).collect())}
 
 
+def _share(size: int, most: int) -> int:
+    """The part of 2 ** 24 hash values that leaves about most of size rows."""
+    return int(min(1.0, most / max(size, 1)) * (1 << 24))
+
+
 def _sample(rows: DataFrame, size: int, most: int) -> DataFrame:
     """About most of size rows, by a hash of the text and id, whatever their order."""
-    return rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 24)) < F.lit(int(min(1.0, most / max(size, 1)) * (1 << 24))))
+    return rows.where(F.pmod(F.xxhash64("text", "id"), F.lit(1 << 24)) < F.lit(_share(size, most)))
 
 
 def fit(learnable: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
     """Learn from rows (id, text) and labels (id, toxic); rows without a label, or with label 0, are unlabelled text."""
     marks = labels.where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    toxic = marks.where("toxic = 1").select("id")
-    known = learnable.select("id").distinct().join(marks, "id").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
-    n_docs = learnable.count()
-    toxic_docs = _sample(learnable.join(toxic, "id", "left_semi"), known["p"] or 0, positives).select("text", F.lit(True).alias("confirmed"))
-    sample = toxic_docs.union(_sample(learnable, n_docs, unlabelled).select("text", F.lit(False)))
+    # ids alone meet the labels; of the toxic ones about `positives` are drawn and sent to the rows, so no text is shuffled
+    known = written(learnable.groupBy("id").count().join(marks, "id"), "labelled")
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
+    drawn = known.where("toxic = 1").where(F.pmod(F.xxhash64("id"), F.lit(1 << 24)) < F.lit(_share(size["p"] or 0, positives)))
+    n_drawn = drawn.agg(F.sum("count")).first()[0] or 0  # more than ids where rows repeat their id
+    toxic_rows = learnable.join(F.broadcast(drawn.select("id")), "id", "left_semi")
+    toxic_docs = _sample(toxic_rows, n_drawn, positives).select("text", F.lit(True).alias("confirmed"))
+    sample = toxic_docs.union(_sample(learnable, learnable.count(), unlabelled).select("text", F.lit(False)))
     sample = written(sample.mapInArrow(_features, "confirmed boolean, features array<string>"), "toxicity")
     words = screen(sample)
     sent = learnable.sparkSession.sparkContext.broadcast(words)  # at most VOCABULARY
@@ -132,7 +140,7 @@ def fit(learnable: DataFrame, labels: DataFrame, positives: int = POSITIVES, unl
 
     rows = sample.mapInArrow(number, "confirmed boolean, at array<int>").toPandas()
     by_kind = [[np.asarray(a) for a in rows["at"][rows["confirmed"] == kind]] for kind in (True, False)]
-    return train(*by_kind, words, (known["p"] or 0) / max(known["n"], 1))
+    return train(*by_kind, words, (size["p"] or 0) / max(size["n"], 1))
 
 
 def scorer(spark: SparkSession, model: Classifier):
