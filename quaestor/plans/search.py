@@ -62,11 +62,12 @@ def hybrid_search(
 
 
 def diversity_candidates(c: Collection, queries: DataFrame, fused: DataFrame) -> DataFrame:
-    """Fused hits with their relevance to the query and their term counts."""
+    """Fused hits with their relevance to the query and their term counts.  Each document's text is read once."""
     needed = c.docs.join(fused.select("doc_id").distinct(), "doc_id", "left_semi")
-    terms = fusion.term_vectors(needed)
-    joined = fused.join(queries, "query_id").join(needed.select("doc_id", "title", "text"), "doc_id")
-    scored = X.with_relevance(joined.withColumn("both", F.concat_ws(" ", "title", "text")), text="both")
+    needed = needed.select("doc_id", F.concat_ws(" ", "title", "text").alias("text"))
+    terms = fusion.term_vectors(needed.withColumn("title", F.lit("")))
+    hits = fused.select("query_id", "doc_id", "rank", "score")
+    scored = X.pair_relevance(hits, queries.select("query_id", "query"), needed, ["query_id"], "relevance")
     return scored.select("query_id", "doc_id", "rank", "score", "relevance").join(terms, "doc_id", "left").withColumn(
         "terms", F.coalesce("terms", F.create_map().cast("map<string,int>"))
     )
