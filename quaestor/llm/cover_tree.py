@@ -32,8 +32,11 @@ SAMPLE = 512
 DEPTH = 12
 #: Levels inside a leaf end at this radius.
 LAST = 0.125
-#: Slack of the bounds for rounding; the comparison itself has none.
+#: Slack of the bounds for rounding, and where distances come from products; the comparison itself has none.
 SLACK = 1e-9
+ROUGH = 1e-6
+#: Distances of node pairs held at a time.
+GAPS = 1 << 21
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
@@ -53,11 +56,14 @@ def _unit(batches):
 
 
 def farthest(points: np.ndarray, apart: float, most: int) -> np.ndarray:
-    """Centres at least `apart` from each other, farthest first, until all points are covered or there are `most`."""
-    centres, nearest = [0], np.linalg.norm(points - points[0], axis=1)
-    while len(centres) < most and nearest.max() > apart:
-        centres.append(int(nearest.argmax()))
-        nearest = np.minimum(nearest, np.linalg.norm(points - points[centres[-1]], axis=1))
+    """Centres at least `apart` from each other, farthest first, until all points are covered or there are `most`.
+
+    Points are unit vectors, so the largest product with a centre tells the nearest one; radii are measured afterwards.
+    """
+    centres, closest = [0], points @ points[0]
+    while len(centres) < most and closest.min() < 1 - apart * apart / 2:
+        centres.append(int(closest.argmin()))
+        np.maximum(closest, points @ points[centres[-1]], out=closest)
     return points[centres]
 
 
@@ -133,22 +139,31 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, cosine: float):
     limit = math.sqrt(2 - 2 * cosine)
     nx, cx, rx = _nested(x)
     ny, cy, ry = _nested(y)
-    by_x = [np.flatnonzero(nx == k) for k in range(len(cx))] if len(cx) < len(x) else None
-    by_y = np.argsort(ny, kind="stable")
-    starts = np.searchsorted(ny[by_y], np.arange(len(cy) + 1))
-    for k in range(len(cx)):
-        gap = np.linalg.norm(cy - cx[k], axis=1)
-        near = np.flatnonzero(gap <= rx[k] + ry + limit + SLACK)
-        if not len(near):
-            continue
-        left = by_x[k] if by_x is not None else np.flatnonzero(nx == k)
-        whole = gap[near] + rx[k] + ry[near] <= limit - SLACK
-        right = np.concatenate([by_y[starts[j] : starts[j + 1]] for j in near])
-        sure = np.repeat(whole, [starts[j + 1] - starts[j] for j in near])
-        hit = sure | (np.einsum("id,jd->ij", x[left], y[right]) >= cosine)
-        i, j = np.nonzero(hit)
-        if len(i):
-            yield left[i], right[j]
+    by_x, by_y = np.argsort(nx, kind="stable"), np.argsort(ny, kind="stable")
+    at_x, at_y = (np.searchsorted(n[by], np.arange(len(c) + 1)) for n, by, c in ((nx, by_x, cx), (ny, by_y, cy)))
+    step = max(1, GAPS // max(1, len(cy)))
+    for first in range(0, len(cx), step):
+        # distances of unit vectors from one product; its rounding is far below ROUGH, and what it leaves is compared exactly
+        gaps = np.sqrt(np.maximum(0, 2 - 2 * cx[first : first + step] @ cy.T))
+        reach = rx[first : first + step, None] + ry
+        for k, near in _rows(gaps <= reach + limit + ROUGH):
+            left = by_x[at_x[first + k] : at_x[first + k + 1]]
+            whole = gaps[k, near] + reach[k, near] <= limit - ROUGH
+            right = np.concatenate([by_y[at_y[j] : at_y[j + 1]] for j in near])
+            sure = np.repeat(whole, at_y[near + 1] - at_y[near])
+            hit = sure | (np.einsum("id,jd->ij", x[left], y[right]) >= cosine)
+            i, j = np.nonzero(hit)
+            if len(i):
+                yield left[i], right[j]
+
+
+def _rows(mask: np.ndarray):
+    """(row, its columns) of the rows that have any."""
+    row, column = np.nonzero(mask)
+    cuts = np.flatnonzero(np.diff(row)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(row)]):
+        if a < b:
+            yield int(row[a]), column[a:b]
 
 
 def _compare(cosine: float):
