@@ -261,8 +261,7 @@ def events(spark, data):
     )
 
 
-@pytest.mark.parametrize("hot", [10**9, 0])
-def test_ttl_cache_against_a_loop(spark, hot):
+def test_ttl_cache_against_a_loop(spark):
     rng = random.Random(3)
     data, n = [], 0
     for user, size in ((1, 200), (2, 5)):
@@ -274,7 +273,7 @@ def test_ttl_cache_against_a_loop(spark, hot):
         at, h, m = want.get(user, (None, 0, 0))
         t = int(t * 1_000_000)
         want[user] = (at, h + 1, m) if at is not None and t - at < 600_000_000 * 6 else (t, h, m + 1)
-    got = {r["key"]: (r["hits"], r["misses"]) for r in jobs.ttl_cache(events(spark, data), ttl_s=3600, hot=hot).collect()}
+    got = {r["key"]: (r["hits"], r["misses"]) for r in jobs.ttl_cache(events(spark, data), ttl_s=3600).collect()}
     assert got == {u: (h, m) for u, (_, h, m) in want.items()}
 
 
