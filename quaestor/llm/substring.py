@@ -38,6 +38,8 @@ from quaestor.llm.counting import distinct, to_keys, with_totals, words_in
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.75
 WIDTH = PASSAGE - SHINGLE + 1
+#: Shingles that two stretches of WIDTH share at least where their similarity suffices; longer ones share more.
+LEAST = math.ceil(2 * WIDTH * SIMILARITY / (1 + SIMILARITY))
 HASHES = 4
 BATCH_BYTES = 4 << 20
 #: Documents of a key in a block, and earlier windows screened at a time.
@@ -128,7 +130,7 @@ def verify(x: np.ndarray, at_x: int, y: np.ndarray, at_y: int):
         return at_x - left, at_x + right - 1, at_y - left, at_y + right - 1, 1.0
     one, two = x.tolist(), y.tolist()
     in_two = set(two)
-    if sum(v in in_two for v in one) < SIMILARITY * WIDTH:  # an upper bound of what any two stretches share
+    if sum(v in in_two for v in one) < LEAST:  # an upper bound of what any two stretches share
         return None
     return _stretch(one, at_x, two, at_y)
 
@@ -269,6 +271,27 @@ def _match(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*links), kinds)], names)
 
 
+def _classes(rows: list, links: list[tuple]) -> list:
+    """The windows of a cell that have to be compared, as (doc, at, place, span, kind, places of its equals in the document).
+
+    Windows with equal sketches are one class.  A member in a larger document than the first repeats it whole, so it is linked
+    and left out: whatever it shares with others the first shares as well.  Members in the document of the first get its links.
+    """
+    first: dict = {}
+    kept = []
+    for doc, at, place, raw, kind in rows:
+        known = first.get((place, raw))
+        if known is None:
+            first[place, raw] = row = (doc, at, place, np.frombuffer(raw, np.uint16), kind, [at])
+            kept.append(row)
+        elif known[0] == doc:
+            known[5].append(at)
+        elif not kind or known[4] != kind:  # within a block, the block's own cell links them
+            last = len(known[3]) - 1
+            links.append(_link((doc, at), known[:2], (0, last, 0, last, 1.0)))
+    return kept
+
+
 def _compare(rows: list, links: list[tuple]) -> None:
     """Links of the windows (doc, at, place, sketch, kind) of a cell, in order of documents, to those of smaller documents.
 
@@ -276,76 +299,86 @@ def _compare(rows: list, links: list[tuple]) -> None:
     """
     if len(rows) < 2 or rows[0][0] == rows[-1][0]:
         return
-    spans = [np.frombuffer(r[3], np.uint16) for r in rows]
-    if len(rows) > SMALL:
-        table = np.full((len(rows), 2 * WIDTH - 1), 1 << 16, np.int32)
-        for k, span in enumerate(spans):
-            table[k, : len(span)] = span
-        mark = np.zeros((1 << 16) + 1, np.uint8)
+    rows = _classes(rows, links)
+    many = len(rows) > SMALL
+    if many:
+        table = np.full((len(rows), 2 * WIDTH - 1), 1 << 16, np.int32)  # the minimum stands in the middle
+        for k, (_, _, place, span, _, _) in enumerate(rows):
+            table[k, WIDTH - 1 - place : WIDTH - 1 - place + len(span)] = span
+        mark = np.zeros((1 << 16) + 1, bool)
         where = np.full((1 << 16) + 1, -1, np.int16)
-    least, kinds = math.ceil(SIMILARITY * WIDTH), np.array([r[4] for r in rows])
+    kinds = np.array([r[4] for r in rows])
     first = 0  # rows before it have smaller documents
-    for k, (doc, at, place, _, kind) in enumerate(rows):
+    for k, (doc, _, place, span, kind, ats) in enumerate(rows):
         if rows[first][0] != doc and rows[k - 1][0] != doc:
             first = k
-        span, low, high = spans[k], None, None
+        low, high, rest = None, None, None
         for begin in range(0, first, SCREEN):
             stop = min(begin + SCREEN, first)
-            if len(rows) > SMALL:
-                mark[span] = 1
-                near = mark[table[begin:stop]].sum(1) >= least
-                mark[span] = 0
+            if many:
+                mark[span] = True
+                held = mark[table[begin:stop]]
+                mark[span] = False
+                near = held.sum(1) >= LEAST
                 if kind:
                     near &= kinds[begin:stop] != kind
-                tried = begin + np.flatnonzero(near)
-                most = _reach(span, place, table[tried], where) if len(tried) else None
+                tried = np.flatnonzero(near)
+                tried = tried[_bounds(held[tried], WIDTH - 1)[2] >= LEAST] if len(tried) else tried
+                if not len(tried):
+                    continue
+                tried += begin
+                low_held, high_held, n_held = _reach(span, place, table[tried], where)
+                good = np.flatnonzero(n_held >= LEAST)
+                # those that share most first: they cover most of the span
+                candidates = [(int(tried[n]), int(low_held[n]), int(high_held[n])) for n in good[np.argsort(-n_held[good], kind="stable")]]
             else:
-                tried = np.arange(begin, stop)
-            for n, o in enumerate(tried.tolist()):
+                candidates = [(o, 0, len(span)) for o in range(begin, stop) if not kind or kinds[o] != kind]
+            for o, low_o, high_o in candidates:
                 other = rows[o]
-                if kind and other[4] == kind:
-                    continue
-                if len(rows) > SMALL:
-                    first_held, last_held, n_held = (int(m[n]) for m in most)
-                    if n_held < least or low is not None and low <= first_held and last_held <= high:
-                        continue
-                elif low is not None and not rest & set(spans[o].tolist()):
+                if rest is not None and (low <= low_o and high_o <= high if many else not rest & set(other[3].tolist())):
                     continue
-                found = verify(span, place, spans[o], other[2])
+                found = verify(span, place, other[3], other[2])
                 if found is None:
                     continue
-                links.append(_link((doc, at), (other[0], other[1]), found))
+                links.extend(_link((doc, at), other[:2], found) for at in ats)
                 low, high = (found[0], found[1]) if low is None else (min(low, found[0]), max(high, found[1]))
                 rest = set(span[:low].tolist()) | set(span[high + 1 :].tolist())
                 if not rest:
                     break
-            if low is not None and not rest:
+            if rest is not None and not rest:
                 break
 
 
-def _reach(span: np.ndarray, place: int, others: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of what verify() can find of a span in each of other windows: first and last shingle, and how many are held.
+def _bounds(held: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of what verify() can find in spans, one a row: first and last shingle, and how many between them are held.
 
-    A stretch has at most as many shingles in common as it has shingles the other window holds, and its union with any other
-    is at least as long as itself, so with +1 for a shingle that is held and -3 for one that is not no similar stretch has a
-    negative sum.  What a stretch is filled up with holds nothing repeated and does not count.
+    A stretch of n shingles has at most as many shingles in common as it holds of the other span, and the other stretch is at
+    least WIDTH long, so it needs held >= (3 n + 3 WIDTH) / 7 for a similarity of 3/4.  With +4 for a shingle that is held and
+    -3 for one that is not, no similar stretch has a sum below 3 WIDTH.  What a stretch is filled up with counts as -3.
     """
+    score = np.where(held, np.int16(4), np.int16(-3))
+    ahead = np.cumsum(score[:, place + 1 :], axis=1, dtype=np.int16)
+    behind = np.cumsum(score[:, :place][:, ::-1], axis=1, dtype=np.int16)
+    none = np.zeros((len(held), 1), np.int16)
+    ahead, behind = np.hstack([none, ahead]), np.hstack([none, behind])
+    high = (ahead + (behind.max(1) + np.int16(4 - 3 * WIDTH))[:, None] >= 0) & held[:, place:]
+    low = (behind + (ahead.max(1) + np.int16(4 - 3 * WIDTH))[:, None] >= 0) & held[:, place::-1]
+    some = high.any(1) & low.any(1)
+    last = np.where(some, place + ahead.shape[1] - 1 - high[:, ::-1].argmax(1), place - 1)
+    first = np.where(some, place - (behind.shape[1] - 1 - low[:, ::-1].argmax(1)), place)
+    up_to = np.hstack([none, np.cumsum(held, axis=1, dtype=np.int16)])
+    line = np.arange(len(held))
+    return first, last, up_to[line, last + 1] - up_to[line, first]
+
+
+def _reach(span: np.ndarray, place: int, others: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of what verify() can find of a span in each of other windows: first and last shingle, and how many are held."""
     values, inverse = np.unique(span, return_inverse=True)
     where[values] = np.arange(len(values))
     held = np.zeros((len(others), len(values) + 1), bool)
     held[np.arange(len(others))[:, None], where[others]] = True  # -1, for shingles the span lacks, is the last column
     where[values] = -1
-    held = held[:, :-1][:, inverse]
-    score = np.where(held, 1, -3).astype(np.int16)
-    ahead = np.cumsum(score[:, place + 1 :], axis=1)
-    behind = np.cumsum(score[:, :place][:, ::-1], axis=1)
-    none = np.zeros((len(others), 1), np.int16)
-    ahead, behind = np.hstack([none, ahead]), np.hstack([none, behind])
-    high = (ahead + behind.max(1)[:, None] + 1 >= 0) & held[:, place:]
-    low = (behind + ahead.max(1)[:, None] + 1 >= 0) & held[:, place::-1]
-    last = place + ahead.shape[1] - 1 - high[:, ::-1].argmax(1)
-    first = place - (behind.shape[1] - 1 - low[:, ::-1].argmax(1))
-    return first, last, held.sum(1)
+    return _bounds(held[:, :-1][:, inverse], place)
 
 
 def links(docs: DataFrame) -> DataFrame:
