@@ -44,8 +44,8 @@ HASHES = 4
 BATCH_BYTES = 4 << 20
 #: Documents of a key in a block, and earlier windows screened at a time.
 BLOCK, SCREEN = 2048, 256
-#: Cells of so many windows are compared one by one.
-SMALL = 6
+#: Cells of so many windows are compared one by one; cells of more than INDEXED look their candidates up by rare shingles.
+SMALL, INDEXED = 6, 256
 SITES = "kind int, key long, cell int, doc long, at int, place int, sketch binary, other long, first int, last int, other_first int, similarity double"
 LINKS = "doc long, first int, last int, other long, other_first int, similarity double"
 
@@ -130,7 +130,7 @@ def verify(x: np.ndarray, at_x: int, y: np.ndarray, at_y: int):
         return at_x - left, at_x + right - 1, at_y - left, at_y + right - 1, 1.0
     one, two = x.tolist(), y.tolist()
     in_two = set(two)
-    if sum(v in in_two for v in one) < LEAST:  # an upper bound of what any two stretches share
+    if sum(map(in_two.__contains__, one)) < LEAST:  # an upper bound of what any two stretches share
         return None
     return _stretch(one, at_x, two, at_y)
 
@@ -159,6 +159,48 @@ def _stretch(one: list[int], at_x: int, two: list[int], at_y: int):
     repeated = {v for values in (one, two) if len(set(values)) < len(values) for v, n in Counter(values).items() if n > 1}
     where = {name: j for j, name in enumerate(_names(two, at_y, repeated))}
     pairs = [(i, where[name]) for i, name in enumerate(_names(one, at_x, repeated)) if name in where]
+    runs = _runs(pairs)
+    found = _best_of_many(pairs, at_x, at_y) if runs is None else _best(runs, at_x)
+    if found is None:
+        return None
+    a, b, c, d, similarity = found
+    return (*_filled(a, b, len(one)), *_filled(c, d, len(two)), similarity)
+
+
+def _runs(pairs: list[tuple]) -> list[tuple] | None:
+    """Runs of neighbouring matches as (first, last, place of the first in the other span); None where matches cross."""
+    runs, first, first_y, i, j = [], *pairs[0], *pairs[0]
+    for k, m in pairs[1:]:
+        if m <= j:
+            return None
+        if k != i + 1 or m != j + 1:
+            runs.append((first, i, first_y))
+            first, first_y = k, m
+        i, j = k, m
+    return [*runs, (first, i, first_y)]
+
+
+def _best(runs: list[tuple], at_x: int):
+    """The best stretches where matches do not cross: those from the start of a run to the end of a run."""
+    middle = next(n for n, (_, last, _) in enumerate(runs) if last >= at_x)
+    top, best = 0.0, None
+    common_from = 0
+    for a, last, c in runs[:middle]:
+        common_from += last - a + 1
+    for a, last_a, c in runs[: middle + 1]:
+        common = common_from
+        for first, b, other in runs[middle:]:
+            common += b - first + 1
+            d = other + b - first
+            union = max(b - a + 1, WIDTH) + max(d - c + 1, WIDTH) - common
+            if common >= SIMILARITY * union and common + common / union / 2 > top:
+                top, best = common + common / union / 2, (a, b, c, d, common / union)
+        common_from -= last_a - a + 1
+    return best
+
+
+def _best_of_many(pairs: list[tuple], at_x: int, at_y: int):
+    """The best stretches where matches cross: any two ends of runs in one span with any two in the other."""
     both = set(pairs)
     starts = [(i, j) for i, j in pairs if (i - 1, j - 1) not in both]
     ends = [(i, j) for i, j in pairs if (i + 1, j + 1) not in both]
@@ -177,7 +219,7 @@ def _stretch(one: list[int], at_x: int, two: list[int], at_y: int):
     if not good.any():
         return None
     n, m = np.unravel_index(int(np.where(good, common + ratio / 2, -1).argmax()), good.shape)
-    return (*_filled(int(a[n]), int(b[n]), len(one)), *_filled(int(c[m]), int(d[m]), len(two)), float(ratio[n, m]))
+    return int(a[n]), int(b[n]), int(c[m]), int(d[m]), float(ratio[n, m])
 
 
 def _filled(first: int, last: int, size: int) -> tuple[int, int]:
@@ -302,37 +344,40 @@ def _compare(rows: list, links: list[tuple]) -> None:
     rows = _classes(rows, links)
     many = len(rows) > SMALL
     if many:
-        table = np.full((len(rows), 2 * WIDTH - 1), 1 << 16, np.int32)  # the minimum stands in the middle
+        table = np.full((2 * WIDTH - 1, len(rows)), 1 << 16, np.int32)  # a window is a column, its minimum in the middle
         for k, (_, _, place, span, _, _) in enumerate(rows):
-            table[k, WIDTH - 1 - place : WIDTH - 1 - place + len(span)] = span
-        mark = np.zeros((1 << 16) + 1, bool)
+            table[WIDTH - 1 - place : WIDTH - 1 - place + len(span), k] = span
+        mark = np.zeros((1 << 16) + 1, np.uint8)
         where = np.full((1 << 16) + 1, -1, np.int16)
+        index = _Rare([r[3] for r in rows]) if len(rows) > INDEXED else None
     kinds = np.array([r[4] for r in rows])
     first = 0  # rows before it have smaller documents
     for k, (doc, _, place, span, kind, ats) in enumerate(rows):
         if rows[first][0] != doc and rows[k - 1][0] != doc:
             first = k
         low, high, rest = None, None, None
-        for begin in range(0, first, SCREEN):
-            stop = min(begin + SCREEN, first)
+        possible = index.sharing(span, first) if many and index else np.arange(first)
+        if kind:
+            possible = possible[kinds[possible] != kind]
+        for begin in range(0, len(possible), SCREEN):
+            tried = possible[begin : begin + SCREEN]
             if many:
-                mark[span] = True
-                held = mark[table[begin:stop]]
-                mark[span] = False
-                near = held.sum(1) >= LEAST
-                if kind:
-                    near &= kinds[begin:stop] != kind
-                tried = np.flatnonzero(near)
-                tried = tried[_bounds(held[tried], WIDTH - 1)[2] >= LEAST] if len(tried) else tried
+                mark[span] = 1
+                held = mark[table[:, tried]]
+                mark[span] = 0
+                near = held.sum(0, dtype=np.uint8) >= LEAST
+                if not near.any():
+                    continue
+                tried, held = tried[near], held[:, near].T.astype(bool)
+                tried = tried[_bounds(held, WIDTH - 1)[2] >= LEAST]
                 if not len(tried):
                     continue
-                tried += begin
-                low_held, high_held, n_held = _reach(span, place, table[tried], where)
+                low_held, high_held, n_held = _reach(span, place, table[:, tried].T, where)
                 good = np.flatnonzero(n_held >= LEAST)
                 # those that share most first: they cover most of the span
                 candidates = [(int(tried[n]), int(low_held[n]), int(high_held[n])) for n in good[np.argsort(-n_held[good], kind="stable")]]
             else:
-                candidates = [(o, 0, len(span)) for o in range(begin, stop) if not kind or kinds[o] != kind]
+                candidates = [(o, 0, len(span)) for o in tried.tolist()]
             for o, low_o, high_o in candidates:
                 other = rows[o]
                 if rest is not None and (low <= low_o and high_o <= high if many else not rest & set(other[3].tolist())):
@@ -349,6 +394,31 @@ def _compare(rows: list, links: list[tuple]) -> None:
                 break
 
 
+class _Rare:
+    """Which windows of a cell hold a shingle, to look up all that can share LEAST shingles with a span by its rarest ones."""
+
+    def __init__(self, spans: list[np.ndarray]):
+        pairs = np.concatenate(spans).astype(np.int64) << 32 | np.repeat(np.arange(len(spans)), [len(s) for s in spans])
+        pairs = np.unique(pairs)
+        self.rows = pairs & 0xFFFFFFFF
+        self.begin = np.searchsorted(pairs >> 32, np.arange((1 << 16) + 1))
+        self.n = np.diff(self.begin)
+
+    def sharing(self, span: np.ndarray, first: int) -> np.ndarray:
+        """Rows before first that hold one of the rarest shingles of a span.
+
+        At most len(span) - LEAST of its places may be unshared, so of one place more at least one is shared.
+        """
+        order = np.argsort(self.n[span], kind="stable")[: len(span) - LEAST + 1]
+        values = np.unique(span[order])
+        values = values[self.n[values] > 1]  # the others are in this window only
+        if self.n[values].sum() > first:
+            return np.arange(first)
+        found = [self.rows[self.begin[v] : self.begin[v + 1]] for v in values.tolist()]
+        found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return found[: np.searchsorted(found, first)]
+
+
 def _bounds(held: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bounds of what verify() can find in spans, one a row: first and last shingle, and how many between them are held.
 

@@ -236,6 +236,63 @@ def test_bounds_of_spans_hold():
     assert n_found > 500
 
 
+def test_best_stretch_of_runs_is_that_of_all_ends():
+    """The search over runs gives what trying any two ends in one span with any two in the other gives."""
+    rng, n_found = np.random.default_rng(8), 0
+    for k in range(600):
+        one = rng.integers(0, 1 << 16 if k % 3 else 200, 91).tolist()
+        two, at = list(one), 45
+        for _ in range(rng.integers(0, 6)):
+            cut = int(rng.integers(0, len(two)))
+            if abs(cut - at) > 5:
+                new = rng.integers(0, 1 << 16, rng.integers(0, 6)).tolist()
+                at += len(new) - len(two[cut : cut + 5]) if cut < at else 0
+                two[cut : cut + 5] = new
+        repeated = {v for values in (one, two) for v in values if values.count(v) > 1}
+        where = {name: j for j, name in enumerate(substring._names(two, at, repeated))}
+        pairs = [(i, where[name]) for i, name in enumerate(substring._names(one, 45, repeated)) if name in where]
+        runs = substring._runs(pairs)
+        if runs is not None:
+            found = substring._best(runs, 45)
+            n_found += found is not None
+            want = substring._best_of_many(pairs, 45, at)
+            assert (found is None) == (want is None)
+            assert found is None or abs(found[4] - want[4]) < 1e-6 and found[:4] == want[:4]
+    assert n_found > 200
+
+
+def test_rare_shingles_look_up_all_that_can_match():
+    rng = np.random.default_rng(12)
+    pool = rng.integers(0, 1 << 16, 300)
+    spans = [rng.choice(pool[: 60 + 60 * (k % 5)], rng.integers(46, 92)).astype(np.uint16) for k in range(200)]
+    index = substring._Rare(spans)
+    for k, span in enumerate(spans):
+        near = [o for o in range(k) if np.isin(span, spans[o]).sum() >= substring.LEAST]
+        assert set(near) <= set(index.sharing(span, k).tolist())
+
+
+@pytest.mark.parametrize("indexed", [6, 256])
+def test_equal_windows_of_a_cell_are_one_class(spark, monkeypatch, indexed):
+    """Copies of a passage in many documents, some of them edited or twice in one document: all are linked to an earlier one."""
+    monkeypatch.setattr(substring, "INDEXED", indexed)
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    p, rows = fresh(80), []
+    for k in range(60):
+        q = list(p)
+        if k % 3 == 0:
+            q[rng.randrange(80)] = fresh(1)[0]
+        rows.append((k, " ".join(fresh(60) + q + fresh(60) + (p if k % 7 == 0 else [])), "en", "s1", 1, None, None, None, None))
+    found = substring.passages(frame(spark, rows)).collect()
+    covered = {k: [(r.first_word, r.first_word + r.n_words) for r in found if r.doc_id == k] for k in range(60)}
+    assert not covered[0]
+    for k in range(1, 60):
+        wanted = [(60, 140)] + ([(200, 280)] if k % 7 == 0 else [])
+        assert all(any(a <= x + 5 and b >= y - 5 for a, b in covered[k]) for x, y in wanted), (k, covered[k])
+        # a stretch filled up to PASSAGE words reaches beyond what is repeated by less than a quarter of it
+        assert all(any(a >= x - 12 and b <= y + 12 for x, y in wanted) for a, b in covered[k]), (k, covered[k])
+
+
 def test_substring_recall_of_edited_passages(spark):
     """Passages of 50 to 59 words with one word substituted, inserted or left out, in other contexts: links against brute force."""
     rng = random.Random(3)
