@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import PRIME, grams, in_batches, mix, mix_one, texts, word_hashes
+from quaestor.llm.common import PRIME, grams, in_batches, mix, texts, word_hashes
 from quaestor.llm.counting import distinct, to_keys, with_totals, words_in
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.75
@@ -252,36 +252,55 @@ def _sites(table: pa.Table, totals: np.ndarray, block: int) -> pa.Table:
     start = np.maximum(w.l, w.c - WIDTH + 1)
     end = np.minimum(w.r, w.c + WIDTH - 1)
     short = (w.shingles & np.uint64(0xFFFF)).astype(np.uint16)
-    sites, kinds, links = [], [], []
-    blocks = -(-totals[code] // block) if len(code) else code
-    group, seen = None, {}
-    for k in shared.tolist():
-        doc, c = int(doc_id[w.doc[k]]), int(w.c[k])
-        sketch, place = short[start[k] : end[k] + 1], c - int(start[k])
-        raw = sketch.tobytes()
-        at = int(start[k] - w.begin[k])  # first shingle of the sketch within the document
-        if group != w.key[k]:
-            group, seen = w.key[k], {}
-        other, at_o = seen.setdefault((place, raw), (doc, at))
-        if other != doc:
-            last = len(sketch) - 1
-            links.append(_link((doc, at), (other, at_o), (0, last, 0, last, 1.0)))
-            continue
-        name = int(w.key[k].astype(np.int64))
-        n = int(blocks[k])
-        own = mix_one(doc) % n
-        for j in range(n):
-            kinds.append(0 if own == j else 2 if own < j else 3)
-            sites.append((name, min(own, j) * n + max(own, j), doc, at, place, raw))
+    doc, place, size = doc_id[w.doc[shared]], w.c[shared] - start[shared], end[shared] - start[shared] + 1
+    at = start[shared] - w.begin[shared]  # first shingle of the sketch within the document
+    sketch = _slices(short, start[shared], size)
+    rep = _firsts(code[shared], place, sketch)
+    again = doc != doc[rep]
+    links = _whole(doc, at, size, np.flatnonzero(again), rep)
     # links travel with the sites, spread by where they are
-    ns, nl = len(sites), len(links)
-    spread = mix(np.array([v[0] * 31 + v[1] for v in links], np.int64).view(np.uint64)).view(np.int64).tolist()
-    s, v = list(zip(*sites)) or [()] * 6, list(zip(*links)) or [()] * 6
-    none_s, none_l = [None] * ns, [None] * nl
-    columns = [kinds + [1] * nl]
-    columns += [list(s[0]) + spread, list(s[1]) + none_l] + [list(s[2]) + list(v[0])] + [list(s[k]) + none_l for k in (3, 4, 5)]
-    columns += [none_s + list(v[k]) for k in (3, 1, 2, 4, 5)]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
+    spread = mix((links[0] * 31 + links[1]).view(np.uint64)).view(np.int64)
+    kept = np.flatnonzero(~again)
+    n = -(-totals[code[shared[kept]]] // block)
+    row = np.repeat(kept, n)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    n = np.repeat(n, n)
+    own = (mix(doc[row].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+    kind = np.where(own == other, 0, np.where(own < other, 2, 3))
+    cell = np.minimum(own, other) * n + np.maximum(own, other)
+    sites = [kind, w.key[shared[row]].view(np.int64), cell, doc[row], at[row], place[row], sketch.take(pa.array(row))]
+    columns = [np.ones(len(spread), np.int64), spread, None, links[0], None, None, None, links[3], links[1], links[2], links[4], links[5]]
+    pieces = [_record(sites + [None] * 5, len(row)), _record(columns, len(spread))]
+    return pa.Table.from_batches(pieces).combine_chunks()
+
+
+def _record(columns: list, n: int) -> pa.RecordBatch:
+    """Columns of SITES; those that are None hold nulls."""
+    arrays = [pa.nulls(n, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c).cast(t) for c, t in zip(columns, _TYPES)]
+    return pa.RecordBatch.from_arrays(arrays, _NAMES)
+
+
+def _slices(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Stretches of 16-bit values as binary strings."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    flat = values[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+    large = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends * 2), pa.py_buffer(flat)])
+    return large.cast(pa.binary())
+
+
+def _firsts(group: np.ndarray, place: np.ndarray, sketch: pa.Array) -> np.ndarray:
+    """For each window the first of its group with the same sketch around the minimum."""
+    if not len(group):
+        return np.zeros(0, np.int64)
+    code = sketch.dictionary_encode().indices.to_numpy().astype(np.int64)
+    _, index, inverse = np.unique((group * (2 * WIDTH) + place) * (code.max() + 1) + code, return_index=True, return_inverse=True)
+    return index[inverse]
+
+
+def _whole(doc: np.ndarray, at: np.ndarray, size: np.ndarray, rows: np.ndarray, rep: np.ndarray) -> list[np.ndarray]:
+    """Columns of LINKS: windows that repeat the first of their class, in a smaller document, whole."""
+    o = rep[rows]
+    return [doc[rows], at[rows], at[rows] + size[rows] - 1, doc[o], at[o], np.ones(len(rows))]
 
 
 _NAMES = [c.split(" ")[0] for c in SITES.split(", ")]
@@ -292,56 +311,67 @@ _TYPES = [_KINDS[c.split(" ")[1]] for c in SITES.split(", ")]
 def _match(batches):
     """Compare the windows of each cell of a key, which follow each other; pass links on."""
     names = [c.split(" ")[0] for c in LINKS.split(", ")]
-    kinds = [_KINDS[c.split(" ")[1]] for c in LINKS.split(", ")]
-    group, held = None, []
+    types = [_KINDS[c.split(" ")[1]] for c in LINKS.split(", ")]
+    held = None
     for batch in itertools.chain(batches, [None]):
-        links: list[tuple] = []
-        if batch is None:
-            _compare(held, links)
-        else:
+        table = held
+        if batch is not None:
             kind = batch.column("kind").to_numpy()
             done = batch.filter(pa.array(kind == 1)).select(names)
             if done.num_rows:
                 yield done
-            open_ = batch.filter(pa.array(kind != 1))
-            for key, cell, *row in zip(*(open_.column(c).to_pylist() for c in ("key", "cell", "doc", "at", "place", "sketch", "kind"))):
-                if group != (key, cell):
-                    _compare(held, links)
-                    group, held = (key, cell), []
-                held.append(row)
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*links), kinds)], names)
-
-
-def _classes(rows: list, links: list[tuple]) -> list:
-    """The windows of a cell that have to be compared, as (doc, at, place, span, kind, places of its equals in the document).
-
-    Windows with equal sketches are one class.  A member in a larger document than the first repeats it whole, so it is linked
-    and left out: whatever it shares with others the first shares as well.  Members in the document of the first get its links.
+            new = pa.Table.from_batches([batch.filter(pa.array(kind != 1)).select(_NAMES[:7])])
+            table = new if held is None else pa.concat_tables([held, new])
+            key, cell = table.column("key").to_numpy(), table.column("cell").to_numpy()
+            before = np.flatnonzero((key != key[-1:]) | (cell != cell[-1:])) if len(key) else key
+            complete = int(before[-1]) + 1 if len(before) else 0
+            held, table = table.slice(complete), table.slice(0, complete)  # the last cell may go on in the next batch
+        if table is not None and table.num_rows:
+            for columns in _cells(table.combine_chunks()):
+                if len(columns[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types)], names)
+
+
+def _cells(table: pa.Table):
+    """Columns of the links of whole cells: first of windows that equal the first of their class, then of all others.
+
+    Windows of a cell with equal sketches are one class.  A member in a larger document than the first repeats it whole, so it
+    is linked and left out: whatever it shares with others the first shares as well.  Members in the document of the first get
+    its links.  In a cell of two blocks, members of one block are left out as the block's own cell links them.
     """
-    first: dict = {}
-    kept = []
-    for doc, at, place, raw, kind in rows:
-        known = first.get((place, raw))
-        if known is None:
-            first[place, raw] = row = (doc, at, place, np.frombuffer(raw, np.uint16), kind, [at])
-            kept.append(row)
-        elif known[0] == doc:
-            known[5].append(at)
-        elif not kind or known[4] != kind:  # within a block, the block's own cell links them
-            last = len(known[3]) - 1
-            links.append(_link((doc, at), known[:2], (0, last, 0, last, 1.0)))
-    return kept
+    kind, key, cell, doc, at, place = (table.column(c).to_numpy() for c in _NAMES[:6])
+    sketch = table.column("sketch").chunk(0)
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
+    number = np.cumsum(new) - 1
+    rep = _firsts(number, place.astype(np.int64), sketch)
+    size = np.diff(np.frombuffer(sketch.buffers()[1], np.int32, len(sketch) + 1, sketch.offset * 4)) // 2
+    yield _whole(doc, at, size, np.flatnonzero((doc != doc[rep]) & ((kind == 0) | (kind != kind[rep]))), rep)
+    line = np.arange(len(rep))
+    first = line[rep == line]
+    several = (np.bincount(number[first]) > 1) & (doc[new] != doc[np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)])
+    twins: dict[int, list[int]] = {}
+    for k in np.flatnonzero((rep != line) & (doc == doc[rep]) & several[number]).tolist():
+        twins.setdefault(int(rep[k]), []).append(int(at[k]))
+    first = first[several[number[first]]]
+    spans = sketch.take(pa.array(first)).to_pylist()
+    group, rows, links = None, [], []
+    for k, g, d, a, p, n, raw in zip(*(c.tolist() for c in (first, number[first], doc[first], at[first], place[first], kind[first])), spans):
+        if g != group:
+            _compare(rows, links)
+            group, rows = g, []
+        rows.append((d, a, p, np.frombuffer(raw, np.uint16), n, [a, *twins.get(k, ())]))
+    _compare(rows, links)
+    if links:
+        yield list(zip(*links))
 
 
 def _compare(rows: list, links: list[tuple]) -> None:
-    """Links of the windows (doc, at, place, sketch, kind) of a cell, in order of documents, to those of smaller documents.
+    """Links of windows of a cell, in order of documents, to those of smaller documents.
 
-    In a cell of two blocks, to those of the other block.
+    A window is (doc, at, place, span, kind, all its places in the document).  In a cell of two blocks, to those of the other.
     """
-    if len(rows) < 2 or rows[0][0] == rows[-1][0]:
+    if len(rows) < 2:
         return
-    rows = _classes(rows, links)
     many = len(rows) > SMALL
     if many:
         table = np.full((2 * WIDTH - 1, len(rows)), 1 << 16, np.int32)  # a window is a column, its minimum in the middle
@@ -365,23 +395,25 @@ def _compare(rows: list, links: list[tuple]) -> None:
                 mark[span] = 1
                 held = mark[table[:, tried]]
                 mark[span] = 0
-                near = held.sum(0, dtype=np.uint8) >= LEAST
-                if not near.any():
-                    continue
-                tried, held = tried[near], held[:, near].T.astype(bool)
-                tried = tried[_bounds(held, WIDTH - 1)[2] >= LEAST]
-                if not len(tried):
-                    continue
-                low_held, high_held, n_held = _reach(span, place, table[:, tried].T, where)
-                good = np.flatnonzero(n_held >= LEAST)
+                n_held = held.sum(0, dtype=np.uint8)
+                near = np.flatnonzero(n_held >= LEAST)
                 # those that share most first: they cover most of the span
-                candidates = [(int(tried[n]), int(low_held[n]), int(high_held[n])) for n in good[np.argsort(-n_held[good], kind="stable")]]
-            else:
-                candidates = [(o, 0, len(span)) for o in tried.tolist()]
-            for o, low_o, high_o in candidates:
+                near = near[np.argsort(-n_held[near].astype(np.int64), kind="stable")]
+                tried, held = tried[near], held[:, near]
+                bounds = None
+                if len(tried) > SMALL:  # fewer are verified sooner than bounded
+                    tried = tried[_bounds(held.T.astype(bool), WIDTH - 1)[2] >= LEAST]
+                    low_held, high_held, n_held = _reach(span, place, table[:, tried].T, where)
+                    good = n_held >= LEAST
+                    tried, bounds = tried[good], list(zip(low_held[good].tolist(), high_held[good].tolist()))
+            for n, o in enumerate(tried.tolist()):
                 other = rows[o]
-                if rest is not None and (low <= low_o and high_o <= high if many else not rest & set(other[3].tolist())):
-                    continue
+                if rest is not None:
+                    if many and bounds:
+                        if low <= bounds[n][0] and bounds[n][1] <= high:
+                            continue
+                    elif rest.isdisjoint(other[3].tolist()):
+                        continue
                 found = verify(span, place, other[3], other[2])
                 if found is None:
                     continue

@@ -289,8 +289,8 @@ def test_equal_windows_of_a_cell_are_one_class(spark, monkeypatch, indexed):
     for k in range(1, 60):
         wanted = [(60, 140)] + ([(200, 280)] if k % 7 == 0 else [])
         assert all(any(a <= x + 5 and b >= y - 5 for a, b in covered[k]) for x, y in wanted), (k, covered[k])
-        # a stretch filled up to PASSAGE words reaches beyond what is repeated by less than a quarter of it
-        assert all(any(a >= x - 12 and b <= y + 12 for x, y in wanted) for a, b in covered[k]), (k, covered[k])
+        for a, b in covered[k]:  # a stretch may reach beyond what is repeated as far as its similarity allows
+            assert sum(max(0, min(b, y) - max(a, x)) for x, y in wanted) >= 0.7 * (b - a), (k, covered[k])
 
 
 def test_substring_recall_of_edited_passages(spark):
