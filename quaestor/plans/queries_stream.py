@@ -182,9 +182,10 @@ def ttl_dedup(spark, folder):
     return J.ttl_cache(C.telemetry(spark, folder), "user_id", 4 * 3600)
 
 
-@query("ttl_dedup_stream", O.sql(_ttl.replace("FROM c_tel GROUP", f"FROM c_tel {_passed} GROUP")))
+@query("ttl_dedup_stream", O.sql(_ttl))
 def ttl_dedup_stream(spark, folder):
-    uses = J.run_batches(J.ttl_stream(J.read_events(spark, folder), 4 * 3600), "ttl")
+    """The counts of ttl_dedup from a stream, down to its last event."""
+    uses = J.run_to_end(J.read_events(spark, folder), lambda events: J.ttl_stream(events, 4 * 3600), "ttl")
     return uses.groupBy("key").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 

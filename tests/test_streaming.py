@@ -95,6 +95,18 @@ def test_ttl_counts_of_table_and_stream(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("n", [1, 4])
+def test_a_stream_that_ends_answers_its_last_uses(spark, n):
+    rows = uses(5, 120)
+    rows += [(500, rows[-1][1], 3, "a"), (501, rows[-1][1] + dt.timedelta(microseconds=700), 3, "a")]
+    cuts = cut(rows, n, 6, False)
+    job = lambda events: J.cache_stream(events, "stage", "user_id", TTL, CAPACITY, late="10 minutes")
+    got = J.run_to_end(stream(spark, cuts), job, "end").select("cache", "event_id", "hit", "evicted")
+    assert sorted(map(tuple, got.collect())) == plain(rows, TTL, CAPACITY)
+    nothing = J.run_to_end(stream(spark, [[]]), job, "none")
+    assert nothing.isEmpty()
+
+
 def test_a_silent_request_leaves_the_state(spark):
     rows = [(k, START + dt.timedelta(minutes=k), 1, "s") for k in range(12)]
     later = [(99, START + dt.timedelta(days=9), 2, "s")]
