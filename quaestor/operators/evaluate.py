@@ -189,11 +189,15 @@ def anchor_check(answers: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def grounding(answers: DataFrame, hits: DataFrame, top: int = 5, head: int | None = None) -> DataFrame:
-    """query_id, grounding: share of the answer's words found among the words (or the first `head`) of the top hits."""
+    """query_id, grounding: share of the answer's words found among the words (or the first `head`) of the top hits.
+
+    Hits that carry their answer meet its words where their text is, so only the words in common are gathered by query.
+    """
     words = F.array_distinct(X.words(F.lower("text")) if head is None else F.slice(X.words(F.lower("text")), 1, head))
+    aw = F.array_distinct(X.words(F.lower("answer")))
+    words = F.array_intersect(aw, words) if "answer" in hits.columns else words
     per_hit = hits.where(F.col("rank") <= top).select("query_id", words.alias("ws"))
     seen = per_hit.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("ws"))).alias("ws"))
-    aw = F.array_distinct(X.words(F.lower("answer")))
     return (
         answers.select("query_id", aw.alias("aw"))
         .join(seen, "query_id", "left")
@@ -210,7 +214,8 @@ def grounding(answers: DataFrame, hits: DataFrame, top: int = 5, head: int | Non
 def verify_citations(answers: DataFrame, hits: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Weighted verification of cited answers.
 
-    answers: query_id, answer, utility (null for none), how_to.  hits: query_id, rank, text, path.
+    answers: query_id, answer, utility (null for none), how_to.  hits: query_id, rank, text, path and,
+    to gather less, answer.
     """
     a = answers.withColumn("_c", X.citations(F.col("answer"))).withColumn(
         "_s", X.verification_sentences(F.col("answer"))
