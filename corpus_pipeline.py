@@ -58,8 +58,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: one row per piece."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    """Training sequences: one row per piece.  Workers that go on to other stages or runs keep no encoder."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, keep=False)
 
 
 STAGES = [

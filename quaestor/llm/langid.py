@@ -12,9 +12,9 @@ nothing; with nothing learned at all every text is `und`.  Ids may be null or re
 from __future__ import annotations
 
 import math
-import os
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,8 +31,8 @@ LONGEST = 5
 SMOOTHING = 0.5
 #: A text's score is the posterior as if its words numbered at most this many.
 CONFIDENT = 20
-#: Remembered words per worker (results do not depend on it).
-REMEMBERED = 200_000
+#: Unknown words a task remembers (results do not depend on it).
+REMEMBERED = 30_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -45,8 +45,8 @@ class Model:
         self._forget()
 
     def _forget(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, len(self.languages)))
+        self.seen: dict[str, int] = {}  # unknown words; their rows follow those of the known ones
+        self.table = np.concatenate([self.word_table, np.zeros((1 << 12, len(self.languages)))])
 
     def word(self, word: str) -> np.ndarray:
         """Log frequency of a word per language, by n-grams where the word is unknown."""
@@ -61,11 +61,13 @@ class Model:
         return np.zeros(len(self.languages))
 
     def place(self, word: str) -> int:
-        at = self.seen.get(word)
+        at = self.words.get(word)
+        if at is None:
+            at = self.seen.get(word)
         if at is None:
-            at = self.seen[word] = len(self.seen)
+            at = self.seen[word] = len(self.words) + len(self.seen)
             if at == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table = np.concatenate([self.table, np.zeros((len(self.seen), len(self.languages)))])
             self.table[at] = self.word(word)
         return at
 
@@ -144,20 +146,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, *known, *_numbered(grams, len(languages)))
 
 
-_models: dict[str, Model] = {}
-
-
 def predictor(spark: SparkSession, model: Model):
-    """A column function: text to struct(lang_pred, score)."""
+    """A column function: text to struct(lang_pred, score).  A worker holds the model as long as its task runs."""
     sent = spark.sparkContext.broadcast((model.languages, model.words, model.word_table, model.grams, model.gram_table))  # of fixed size, see fit
-    name = os.urandom(8).hex()
 
     @F.pandas_udf("lang_pred string, score double")
-    def run(text: pd.Series) -> pd.DataFrame:
-        if name not in _models:
-            _models.clear()
-            _models[name] = Model(*sent.value)
-        parts = [_models[name].predict(text.iloc[a : a + 200].tolist()) for a in range(0, len(text), 200)]
-        return pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        held = Model(*sent.value)
+        for text in batches:
+            parts = [held.predict(text.iloc[a : a + 200].tolist()) for a in range(0, len(text), 200)]
+            yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
 
     return run

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quaestor.llm.common import in_order, texts
-from quaestor.llm.subword import encoder, read_tokenizer, sentence_ends
+from quaestor.llm.subword import encoder, read_tokenizer, release, sentence_ends
 
 LENGTH = 2048
 SENTENCE, ANYWHERE, STRIDE = 2.0, 12.0, 24
@@ -105,8 +105,11 @@ class Packer:
         self.size = len(flat) - cuts[-1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH) -> DataFrame:
-    """One row per piece: which ids of which document stand where in which sequence."""
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENGTH, keep: bool = True) -> DataFrame:
+    """One row per piece: which ids of which document stand where in which sequence.
+
+    keep: encoded pieces stay with the worker for its next task; without, they go with the task.
+    """
     content = read_tokenizer(tokenizer_path)
     sent = docs.sparkSession.sparkContext.broadcast(content)  # one file, whatever the corpus
 
@@ -123,6 +126,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LE
                 yield _table(rows)
                 rows = []
         rows.extend(packer.flush(True))
+        if not keep:
+            del encode
+            release()
         if rows:
             yield _table(rows)
 

@@ -7,6 +7,7 @@ at each such place, the pieces encoded alone, and the ids put together again: th
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -164,6 +165,13 @@ def encoder(tokenizer_json: str) -> Encoder:
     return _encoders[key]
 
 
+def release() -> None:
+    """Give back what the worker's encoders hold, pieces and models: where other work follows in the same worker."""
+    _encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def read_tokenizer(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()

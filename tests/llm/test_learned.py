@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -25,6 +26,17 @@ def test_language(spark):
     assert nothing.predict(["the"]) == (["und"], [0.0])
 
 
+def test_language_remembers_unknown_words_only(monkeypatch):
+    """What a worker holds stays small: known words are not held twice, and a model goes with its task."""
+    table = np.log([[0.7, 0.1], [0.2, 0.6]])
+    model = langid.Model(["de", "en"], {"und": 0, "the": 1}, table, {"_t": 0, "t": 1}, table)
+    assert model.predict(["und und the", "the"])[0] == ["de", "en"] and not model.seen
+    first = [model.predict([f"ta {chr(97 + k % 26) * (k // 26 + 1)}"]) for k in range(200)]
+    monkeypatch.setattr(langid, "REMEMBERED", 10)
+    assert [model.predict([f"ta {chr(97 + k % 26) * (k // 26 + 1)}"]) for k in range(200)] == first and len(model.seen) <= 12
+    assert not hasattr(langid, "_models")
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows, labels = [], []

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quaestor.llm import ans, packing, piece_bpe, subword
 from tests.llm.data import documents, frame
 
@@ -134,3 +135,22 @@ def test_packing(spark, monkeypatch):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
     assert packing.pack(frame(spark, []), JSON).count() == 0
     assert F  # the session is alive
+
+
+def test_pipeline_keeps_no_encoder(spark, monkeypatch):
+    """An encoder holds a million pieces; other stages that follow in the same worker need the room."""
+    with open(JSON, encoding="utf-8") as f:
+        content = f.read()
+    first = [ids.tolist() for _, ids, _ in subword.encoder(content)(pa.array(["one two", "three"]))]
+    assert subword._encoders
+    subword.release()
+    assert not subword._encoders
+    assert [ids.tolist() for _, ids, _ in subword.encoder(content)(pa.array(["one two", "three"]))] == first
+    rows = [(k, f"word {k} and more. " * 30) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, gone = (sorted(map(tuple, packing.pack(docs, JSON, keep=keep).drop("sequence_id").collect())) for keep in (True, False))
+    assert kept == gone
+    called = {}
+    monkeypatch.setattr(packing, "pack", lambda *_, **named: called.update(named))
+    corpus_pipeline.pack(None, None, "")
+    assert called["keep"] is False
