@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import written
+from quaestor.llm.common import give_back, written
 
 SAMPLE = 4000
 WORDS = 40_000
@@ -156,5 +156,8 @@ def predictor(spark: SparkSession, model: Model):
         for text in batches:
             parts = [held.predict(text.iloc[a : a + 200].tolist()) for a in range(0, len(text), 200)]
             yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
+            del text, parts
+        del held
+        give_back()
 
     return run

@@ -7,7 +7,6 @@ at each such place, the pieces encoded alone, and the ids put together again: th
 
 from __future__ import annotations
 
-import gc
 import os
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -16,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from quaestor.llm.common import INVERSE, PRIME, mix, powers, stretches
+from quaestor.llm.common import INVERSE, PRIME, give_back, mix, powers, stretches
 
 #: Pieces remembered per worker; a full memory starts anew (results do not depend on it).
 REMEMBERED = 1_200_000
@@ -168,8 +167,7 @@ def encoder(tokenizer_json: str) -> Encoder:
 def release() -> None:
     """Give back what the worker's encoders hold, pieces and models: where other work follows in the same worker."""
     _encoders.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def read_tokenizer(path: str) -> str:

@@ -17,6 +17,7 @@ counts.  Without any positive the classifier says 0 for all.  Ids may be null or
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import written
+from quaestor.llm.common import give_back, written
 
 POSITIVES = 10_000
 UNLABELLED = 15_000
@@ -91,6 +92,8 @@ def _features(batches):
             part = batch.slice(a, 100)
             found = pa.array([sorted(features(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([part.column("confirmed"), found], ["confirmed", "features"])
+            del part, found
+    give_back()
 
 
 def screen(sample: DataFrame) -> dict[str, int]:
@@ -148,7 +151,10 @@ def scorer(spark: SparkSession, model: Classifier):
     sent = spark.sparkContext.broadcast(model)  # of fixed size, see fit
 
     @F.pandas_udf("double")
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.score(text.tolist()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            yield pd.Series(sent.value.score(text.tolist()))
+            del text
+        give_back()
 
     return run

@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -37,6 +39,24 @@ def test_language_remembers_unknown_words_only(monkeypatch):
     assert not hasattr(langid, "_models")
 
 
+def test_a_worker_gives_back_what_it_freed():
+    """Small pieces freed between others stay with the process unless they are given back."""
+    code = """
+import re, sys
+import numpy as np
+from quaestor.llm.common import give_back
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+base = held()
+pieces = [np.zeros(1000, np.uint8) + 1 for _ in range(200_000)]
+last = pieces[::2000]
+del pieces
+give_back()
+assert held() - base < 60, (base, held())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows, labels = [], []
