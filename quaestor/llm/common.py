@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import math
 import os
 import tempfile
@@ -43,7 +42,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def give_back() -> None:
     """Return what a Python worker has freed to the system: a worker is used again and else keeps it through other stages."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
     if trim:

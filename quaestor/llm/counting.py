@@ -16,9 +16,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from quaestor.llm.common import shuffle_partitions, text_size, unpacked
+from quaestor.llm.common import give_back, shuffle_partitions, text_size, unpacked
 
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 1 << 20
 ASKED = "batch long, bucket int, keys binary, counts binary"
 
 
@@ -106,11 +106,14 @@ def with_totals(
     buckets = min(1 << 23, max(math.ceil(keys_in_all / BUCKET_KEYS), 2 * shuffle_partitions(batched.sparkSession)))
 
     def ask(table: pa.Table) -> pa.Table:
-        keys, counts = keys_of(unpacked(table))
-        return asked(table.column("batch")[0].as_py(), keys, counts, buckets)
+        out = asked(table.column("batch")[0].as_py(), *keys_of(unpacked(table)), buckets)
+        give_back()
+        return out
 
     def use(docs: pa.Table, answer: pa.Table) -> pa.Table:
-        return finish(unpacked(docs), totals_of(answer))
+        out = finish(unpacked(docs), totals_of(answer))
+        give_back()
+        return out
 
     requests = batched.groupBy("batch").applyInArrow(ask, ASKED)
     answers = requests.groupBy("bucket").applyInArrow(_add_up, "batch long, bucket int, counts binary")
