@@ -7,7 +7,9 @@ at each such place, the pieces encoded alone, and the ids put together again: th
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -19,8 +21,8 @@ from quaestor.llm.common import INVERSE, PRIME, give_back, mix, powers, stretche
 
 #: Pieces remembered per worker; a full memory starts anew (results do not depend on it).
 REMEMBERED = 1_200_000
-#: Bytes of text looked at together.
-STRETCH = 1 << 21
+#: Bytes of text looked at together; some fifty bytes of numbers are held for each.
+STRETCH = 1 << 19
 _encoders: dict[int, "Encoder"] = {}
 
 
@@ -37,6 +39,12 @@ _BLANK = _table([*range(9, 14), *range(28, 33)])
 _WIDE_LAST = _table([0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F])
 _WIDE_BEFORE = _table([0xC2, 0x9A, 0x80, 0x81])
 _GAP = _table([10, 32])
+#: One match of the pattern in every version of Unicode: letters up to U+024F.
+_WORD = re.compile(" ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]{1,38}").fullmatch
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The characters that stand for the bytes in a byte-level vocabulary: printed ones for themselves, others from U+0100 on.
+_CHARACTERS = {b: b for b in _PRINTED} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+_LINE_END = chr(_CHARACTERS[10])
 
 
 def cuts(raw: np.ndarray) -> np.ndarray:
@@ -118,8 +126,11 @@ class Encoder(Remembered):
         super().__init__(self._encode)
         self.model = Tokenizer.from_str(tokenizer_json)
         self.whole = [(t.content.encode(), t.lstrip or t.rstrip or t.single_word) for t in self.model.get_added_tokens_decoder().values()]
-        line_end = self.model.encode("\n", add_special_tokens=False).ids
-        self.line_end = line_end[0] if len(line_end) == 1 else None
+        file = json.loads(tokenizer_json)
+        bare = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        cut = {k: v for k, v in (file.get("pre_tokenizer") or {}).items() if k != "trim_offsets"}
+        # nothing but the model works on a word that stands alone
+        self.words_alone = cut == bare and not file.get("normalizer") and not any(_WORD(t.decode().strip()) for t, _ in self.whole)
 
     def _keep_whole(self, raw: np.ndarray, mark: np.ndarray) -> None:
         """The library looks for added tokens before anything else; one that takes in blanks or looks at its neighbours
@@ -140,19 +151,22 @@ class Encoder(Remembered):
         return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _encode(self, pieces: list[str]) -> list[np.ndarray]:
-        """Short pieces " word" go through the library as lines of one text, a line end being a token of its own."""
+        """Words go straight to the library's model, other pieces through the whole of it."""
         out: list = [None] * len(pieces)
-        lines, others = [], []
+        words, others = [], []
         for k, p in enumerate(pieces):
-            (lines if p[0] == " " and len(p) < 40 and p[1:].isalpha() and self.line_end is not None else others).append(k)
+            (words if self.words_alone and _WORD(p) else others).append(k)
         for k, ids in zip(others, self._batch([pieces[k] for k in others])):
             out[k] = ids
-        for a in range(0, len(lines), 4096):
-            some = lines[a : a + 4096]
-            ids, start = self._batch(["\n".join([pieces[k] for k in some]) + "\n"])[0], 0
-            for k, end in zip(some, np.flatnonzero(ids == self.line_end).tolist()):
-                out[k] = ids[start:end]
-                start = end + 1
+        if words:
+            tokenize, flat, ends = self.model.model.tokenize, [], [0]
+            joined = "\n".join([pieces[k] for k in words]).encode().decode("latin-1").translate(_CHARACTERS)
+            for word in joined.split(_LINE_END):
+                flat += [t.id for t in tokenize(word)]
+                ends.append(len(flat))
+            ids = np.array(flat, "<u4")
+            for k, a, b in zip(words, ends, ends[1:]):
+                out[k] = ids[a:b]
         return out
 
 

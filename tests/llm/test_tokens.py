@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -51,6 +52,38 @@ def test_remembered_pieces_encode_as_the_libraries_do(texts):
         assert coder.decode(np.array(tik.encode_ordinary(text), "<u4")) == text.encode()
 
 
+def test_words_go_straight_to_the_model(monkeypatch):
+    encode = subword.Encoder(subword.read_tokenizer(JSON))
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    words = [" " + "".join(letters[i : i + 3]) + x for i in range(len(letters) - 2) for x in ("", "ing", "ß" * 30)]
+    given = []
+    monkeypatch.setattr(encode, "_batch", lambda pieces: given.extend(pieces) or [])
+    assert [i.tolist() for i in encode._encode(words)] == library_ids(words)
+    assert not given
+
+
+def test_a_tokenizer_that_does_more_than_byte_level_pieces_is_asked_as_a_whole():
+    t = Tokenizer.from_file(JSON)
+    t.add_tokens(["ing"])
+    texts = ["sing ing inging", "a ing", "nothing"]
+    encode = subword.Encoder(t.to_str())
+    got = [ids[a:b].tolist() for _, ids, at in encode(pa.array(texts)) for a, b in zip(at[:-1], at[1:])]
+    assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_memory_of_the_encoder_does_not_follow_the_column():
+    encode = subword.Encoder(subword.read_tokenizer(JSON))
+    column = pa.array(["some words " * 100] * 4000)
+    for _ in encode(pa.array(["some words " * 100])):  # tables that stay
+        pass
+    tracemalloc.start()
+    for _ in encode(column):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+
+
 def test_added_tokens_are_single_ids():
     texts = [f"a {ADDED[0]}b", ADDED[0] * 3, f"x\n\n{ADDED[0]}  y", ADDED[0][:-1], f"é{ADDED[0]}é " + "word " * 50 + ADDED[0]]
     encode = subword.encoder(subword.read_tokenizer(JSON))
