@@ -7,7 +7,6 @@ at each such place, the pieces encoded alone, and the ids put together again: th
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -60,13 +59,16 @@ class Remembered:
     """Encodes text columns through a function that encodes a list of pieces, each once."""
 
     def __init__(self, encode: Callable[[list[str]], list[np.ndarray]]):
-        self.encode = encode
+        self._encode = encode
+        self._forget()
+
+    def _forget(self) -> None:
         self.place: dict[int, int] = {}
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.store, self.used = np.zeros(0, "<u4"), 0
 
     def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        found = self.encode(pieces)
+        found = self._encode(pieces)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         first, total = len(self.place), int(sizes.sum())
         if self.used + total > len(self.store):
@@ -81,7 +83,7 @@ class Remembered:
         found = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(found < 0).tolist()
         if new and self.place and len(self.place) + len(new) > REMEMBERED:
-            Remembered.__init__(self, self.encode)
+            self._forget()
             return self._places(keys, piece)
         if new:
             found[new] = np.arange(len(new)) + len(self.place)
@@ -122,15 +124,15 @@ class Encoder(Remembered):
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        super().__init__(self._encode)
+        self._forget()  # no method of its own is kept, so an encoder that nobody holds goes at once
         self.model = Tokenizer.from_str(tokenizer_json)
         self.whole = [(t.content.encode(), t.lstrip or t.rstrip or t.single_word) for t in self.model.get_added_tokens_decoder().values()]
-        file = json.loads(tokenizer_json)
-        bare = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        cut = {k: v for k, v in (file.get("pre_tokenizer") or {}).items() if k != "trim_offsets"}
+        cut = self.model.pre_tokenizer
+        bare = isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
         # nothing but the model works on a word that stands alone
-        self.words_alone = cut == bare and not file.get("normalizer") and not any(_WORD(t.decode().strip()) for t, _ in self.whole)
+        self.words_alone = bare and self.model.normalizer is None and not any(_WORD(t.decode().strip()) for t, _ in self.whole)
 
     def _keep_whole(self, raw: np.ndarray, mark: np.ndarray) -> None:
         """The library looks for added tokens before anything else; one that takes in blanks or looks at its neighbours

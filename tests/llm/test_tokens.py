@@ -1,6 +1,8 @@
 import base64
+import gc
 import hashlib
 import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
@@ -84,6 +86,20 @@ def test_memory_of_the_encoder_does_not_follow_the_column():
     assert peak < 48 << 20
 
 
+def test_a_released_encoder_is_gone():
+    encode = subword.encoder(subword.read_tokenizer(JSON))
+    for _ in encode(pa.array(["some words"])):
+        pass
+    seen = weakref.ref(encode)
+    gc.disable()
+    try:
+        del encode
+        subword.release()
+        assert seen() is None
+    finally:
+        gc.enable()
+
+
 def test_added_tokens_are_single_ids():
     texts = [f"a {ADDED[0]}b", ADDED[0] * 3, f"x\n\n{ADDED[0]}  y", ADDED[0][:-1], f"é{ADDED[0]}é " + "word " * 50 + ADDED[0]]
     encode = subword.encoder(subword.read_tokenizer(JSON))
