@@ -14,7 +14,8 @@ spans are one: the others are repeats of the first, whole, and stay behind, and
 the first as well.  All that remain of a key are compared with each other.  A key of more than BLOCK documents is dealt into
 blocks, and each pair of blocks is a cell of its own, so cells of one key spread over tasks.  A window is compared with those
 of smaller documents until its whole span is known to be repeated, and only with ones that share enough shingles for a match
-and hold a shingle not yet covered: the others could add nothing.  A link leads from a document to one with a smaller id.
+and hold a shingle not yet covered: the others could add nothing.  Those that share most come first, then those that hold
+most of what is not yet covered; shingles that no smaller document has in the cell count for nothing.  A link leads from a document to one with a smaller id.
 
 Nulls: a null text is empty, documents shorter than a passage have none; rows without an id neither give nor take links,
 and rows that share an id are never linked with each other.  Empty tables give no rows.
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -42,10 +42,12 @@ WIDTH = PASSAGE - SHINGLE + 1
 LEAST = math.ceil(2 * WIDTH * SIMILARITY / (1 + SIMILARITY))
 HASHES = 4
 BATCH_BYTES = 4 << 20
-#: Documents of a key in a block, and earlier windows screened at a time.
-BLOCK, SCREEN = 2048, 256
+#: Documents of a key in a block, earlier windows screened at a time, and windows kept in the form for comparisons.
+BLOCK, SCREEN, KEPT = 2048, 1024, 2048
 #: Cells of so many windows are compared one by one; cells of more than INDEXED look their candidates up by rare shingles.
 SMALL, INDEXED = 6, 256
+#: How many rare shingles a candidate may have to hold, and what comparing one costs in entries of the index.
+ENOUGH, LOOK = np.array([1, 2, 4, 8, 16, LEAST]), 64
 SITES = "kind int, key long, cell int, doc long, at int, place int, sketch binary, other long, first int, last int, other_first int, similarity double"
 LINKS = "doc long, first int, last int, other long, other_first int, similarity double"
 
@@ -119,52 +121,72 @@ def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return distinct(key[new])
 
 
+class _Span:
+    """Shingles of a window in the forms that its comparisons need: in order, by their last place, and the repeated ones."""
+
+    __slots__ = ("at", "values", "where", "repeated")
+
+    def __init__(self, values: np.ndarray, at: int):
+        self.at, self.values = at, values.tolist()
+        self.where = where = dict(zip(self.values, range(len(self.values))))
+        self.repeated = set()
+        if len(where) < len(self.values):
+            self.repeated = {v for k, v in enumerate(self.values) if where[v] != k}
+
+
 def verify(x: np.ndarray, at_x: int, y: np.ndarray, at_y: int):
     """First and last shingle of matching passages of two spans whose shingles at_x and at_y agree, and their similarity.
 
     None where there is no stretch of WIDTH shingles with a Jaccard similarity of SIMILARITY.
     """
-    left, right = min(at_x, at_y), min(len(x) - at_x, len(y) - at_y)
-    same = x[at_x - left : at_x + right] == y[at_y - left : at_y + right]
-    if left + right >= WIDTH and same.all():
+    return _verified(_Span(x, at_x), _Span(y, at_y))
+
+
+def _verified(x: _Span, y: _Span):
+    """verify() of spans that are kept for other comparisons."""
+    one, two, at_x, at_y = x.values, y.values, x.at, y.at
+    left, right = min(at_x, at_y), min(len(one) - at_x, len(two) - at_y)
+    if left + right >= WIDTH and one[at_x - left : at_x + right] == two[at_y - left : at_y + right]:
         return at_x - left, at_x + right - 1, at_y - left, at_y + right - 1, 1.0
-    one, two = x.tolist(), y.tolist()
-    in_two = set(two)
-    if sum(map(in_two.__contains__, one)) < LEAST:  # an upper bound of what any two stretches share
+    where = y.where
+    pairs = [(i, where[v]) for i, v in enumerate(one) if v in where]
+    if len(pairs) < LEAST:  # an upper bound of what any two stretches share
         return None
-    return _stretch(one, at_x, two, at_y)
+    repeated = x.repeated | y.repeated
+    if repeated:
+        names = {name: j for j, name in enumerate(_names(two, at_y, repeated))}
+        pairs = [(i, names[name]) for i, name in enumerate(_names(one, at_x, repeated)) if name in names]
+    return _stretch(pairs, at_x, len(one), at_y, len(two))
 
 
-def _names(values: list[int], at: int, repeated: set[int]) -> list:
+def _names(values: list[int], at: int, repeated: set[int]) -> list[int | None]:
     """Names that tell the places of a repeated shingle apart: by side of the minimum and distance from it in occurrences."""
     if not repeated:
         return values
     names = list(values)
-    for side, places in ((-1, range(at - 1, -1, -1)), (1, range(at + 1, len(values)))):
-        seen: Counter = Counter()
+    for side, places in ((0, range(at - 1, -1, -1)), (1, range(at + 1, len(values)))):
+        seen: dict[int, int] = {}
         for k in places:
-            if values[k] in repeated:
-                seen[values[k]] += 1
-                names[k] = (values[k], side * seen[values[k]])
+            v = values[k]
+            if v in repeated:
+                seen[v] = n = seen.get(v, 0) + 1
+                names[k] = v + (2 * n + side << 16)  # shingles have 16 bits
     names[at] = None
     return names
 
 
-def _stretch(one: list[int], at_x: int, two: list[int], at_y: int):
+def _stretch(pairs: list[tuple], at_x: int, size_x: int, at_y: int, size_y: int):
     """The stretches around the minimum that share most shingles at a Jaccard similarity of at least SIMILARITY.
 
     Where neighbours of matching ends match as well, longer stretches are more similar, so ends are those of runs of matches.
     Stretches shorter than WIDTH are filled up with shingles that count as different.
     """
-    repeated = {v for values in (one, two) if len(set(values)) < len(values) for v, n in Counter(values).items() if n > 1}
-    where = {name: j for j, name in enumerate(_names(two, at_y, repeated))}
-    pairs = [(i, where[name]) for i, name in enumerate(_names(one, at_x, repeated)) if name in where]
     runs = _runs(pairs)
     found = _best_of_many(pairs, at_x, at_y) if runs is None else _best(runs, at_x)
     if found is None:
         return None
     a, b, c, d, similarity = found
-    return (*_filled(a, b, len(one)), *_filled(c, d, len(two)), similarity)
+    return (*_filled(a, b, size_x), *_filled(c, d, size_y), similarity)
 
 
 def _runs(pairs: list[tuple]) -> list[tuple] | None:
@@ -372,58 +394,133 @@ def _compare(rows: list, links: list[tuple]) -> None:
     """
     if len(rows) < 2:
         return
-    many = len(rows) > SMALL
-    if many:
-        table = np.full((2 * WIDTH - 1, len(rows)), 1 << 16, np.int32)  # a window is a column, its minimum in the middle
-        for k, (_, _, place, span, _, _) in enumerate(rows):
-            table[WIDTH - 1 - place : WIDTH - 1 - place + len(span), k] = span
-        mark = np.zeros((1 << 16) + 1, np.uint8)
-        where = np.full((1 << 16) + 1, -1, np.int16)
-        index = _Rare([r[3] for r in rows]) if len(rows) > INDEXED else None
-    kinds = np.array([r[4] for r in rows])
+    cell = _Cell(rows) if len(rows) > SMALL else None
+    spans: dict[int, _Span] = {}
+
+    def verified(k: int, o: int):
+        if len(spans) > KEPT:
+            spans.clear()
+        for n in (k, o):
+            if n not in spans:
+                spans[n] = _Span(rows[n][3], rows[n][2])
+        return _verified(spans[k], spans[o])
+
     first = 0  # rows before it have smaller documents
-    for k, (doc, _, place, span, kind, ats) in enumerate(rows):
+    for k, (doc, at, _, span, kind, ats) in enumerate(rows):
         if rows[first][0] != doc and rows[k - 1][0] != doc:
             first = k
-        low, high, rest = None, None, None
-        possible = index.sharing(span, first) if many and index else np.arange(first)
-        if kind:
-            possible = possible[kinds[possible] != kind]
-        for begin in range(0, len(possible), SCREEN):
-            tried = possible[begin : begin + SCREEN]
-            if many:
-                mark[span] = 1
-                held = mark[table[:, tried]]
-                mark[span] = 0
-                n_held = held.sum(0, dtype=np.uint8)
-                near = np.flatnonzero(n_held >= LEAST)
-                # those that share most first: they cover most of the span
-                near = near[np.argsort(-n_held[near].astype(np.int64), kind="stable")]
-                tried, held = tried[near], held[:, near]
-                bounds = None
-                if len(tried) > SMALL:  # fewer are verified sooner than bounded
-                    tried = tried[_bounds(held.T.astype(bool), WIDTH - 1)[2] >= LEAST]
-                    low_held, high_held, n_held = _reach(span, place, table[:, tried].T, where)
-                    good = n_held >= LEAST
-                    tried, bounds = tried[good], list(zip(low_held[good].tolist(), high_held[good].tolist()))
-            for n, o in enumerate(tried.tolist()):
-                other = rows[o]
-                if rest is not None:
-                    if many and bounds:
-                        if low <= bounds[n][0] and bounds[n][1] <= high:
-                            continue
-                    elif rest.isdisjoint(other[3].tolist()):
-                        continue
-                found = verify(span, place, other[3], other[2])
-                if found is None:
-                    continue
-                links.extend(_link((doc, at), other[:2], found) for at in ats)
+        if not first:
+            continue
+        # to be tried next: the last
+        tried = cell.near(k, first) if cell else [o for o in range(first - 1, -1, -1) if not kind or rows[o][4] != kind]
+        low, high, bounds, n_tried = None, None, None, 0
+        while len(tried):
+            o, tried, n_tried = int(tried[-1]), tried[:-1], n_tried + 1
+            bounds = bounds if bounds is None else bounds[:, :-1]
+            found = verified(k, o)
+            news = False
+            if found:
+                links.extend(_link((doc, at), rows[o][:2], found) for at in ats)
+                news = low is None or found[0] < low or found[1] > high
                 low, high = (found[0], found[1]) if low is None else (min(low, found[0]), max(high, found[1]))
-                rest = set(span[:low].tolist()) | set(span[high + 1 :].tolist())
-                if not rest:
+                if low == 0 and high == len(span) - 1:
                     break
-            if rest is not None and not rest:
-                break
+            if bounds is None and cell and n_tried > 1 and len(tried) > SMALL:  # fewer are verified sooner than bounded
+                tried, bounds = cell.bounds(k, tried)
+                news = low is not None
+            if news and len(tried):
+                if bounds is not None:
+                    more = (bounds[0] < low) | (bounds[1] > high)
+                    tried, bounds = tried[more], bounds[:, more]
+                elif cell:
+                    tried = cell.holding(np.concatenate([span[:low], span[high + 1 :]]), tried)
+                else:
+                    rest = {*span[:low].tolist(), *span[high + 1 :].tolist()}
+                    tried = [n for n in tried if not rest.isdisjoint(rows[n][3].tolist())]
+
+
+class _Cell:
+    """Windows of a cell side by side, to tell at once which of them can match another, or add to what is known of it.
+
+    A window is a row of the table, its minimum in the middle; places beyond a window hold the minimum, too.  What of a window
+    no earlier row has cannot match, and by the bounds of verify() most windows without a match are told by that alone.
+    """
+
+    def __init__(self, rows: list):
+        self.rows, n = rows, len(rows)
+        self.least = int(rows[0][3][rows[0][2]])
+        self.table = np.full((n, 2 * WIDTH - 1), self.least, np.uint16)
+        for line, (_, _, place, span, _, _) in zip(self.table, rows):
+            line[WIDTH - 1 - place : WIDTH - 1 - place + len(span)] = span
+        self.kinds = np.array([r[4] for r in rows])
+        self.mark = np.zeros(1 << 16, np.uint8)
+        self.where = np.full(1 << 16, -1, np.int16)
+        docs = np.array([r[0] for r in rows])
+        first = np.searchsorted(docs, docs)
+        start = WIDTH - 1 - np.array([r[2] for r in rows])
+        end = start + np.array([len(r[3]) for r in rows])
+        self.known = np.zeros(self.table.shape, bool)
+        self.enough = np.zeros(n, bool)
+        self.minima = np.zeros(n, np.int64)
+        places = np.arange(2 * WIDTH - 1)
+        for kind in set(self.kinds.tolist()):
+            others = np.flatnonzero(self.kinds != kind)[::-1] if kind else np.arange(n)[::-1]
+            earliest = np.full(1 << 16, n, np.int32)
+            earliest[self.table[others]] = others[:, None]  # the last one stays
+            for part in _parts(np.flatnonzero(self.kinds == kind)):
+                table = self.table[part]
+                inside = (places >= start[part, None]) & (places < end[part, None])
+                self.minima[part] = ((table == self.least) & inside).sum(1)
+                known = (earliest.take(table) < first[part, None]) & inside
+                some = np.flatnonzero(known.sum(1) >= LEAST)
+                part, known = part[some], known[some]
+                low, high, held = _bounds(known, WIDTH - 1)
+                self.known[part] = known & (places >= low[:, None]) & (places <= high[:, None])
+                self.enough[part] = held >= LEAST
+        self.index = _Rare([r[3] for r in rows]) if n > INDEXED and self.enough.any() else None
+
+    def held(self, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Which places of some rows hold one of the values."""
+        self.mark[values] = 1
+        found = self.mark.take(self.table.take(rows, 0))
+        self.mark[values] = 0
+        return found
+
+    def near(self, k: int, first: int) -> np.ndarray:
+        """Rows before first that share enough shingles with row k, those that share most last: they cover most of it."""
+        if not self.enough[k]:
+            return np.zeros(0, np.int64)
+        values, kind = self.table[k][self.known[k]], self.kinds[k]
+        possible = self.index.sharing(values, first) if self.index else np.arange(first)
+        if kind:
+            possible = possible[self.kinds[possible] != kind]
+        values = values[values != self.least]
+        shared = [self.minima[part] + self.held(values, part).sum(1, dtype=np.uint8) for part in _parts(possible)]
+        shared = np.concatenate(shared) if shared else possible
+        near = np.flatnonzero(shared >= LEAST)
+        return possible[near[np.argsort(shared[near], kind="stable")]]
+
+    def holding(self, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Those of some rows that hold one of the values, those that hold most last."""
+        n = np.concatenate([self.held(values, part).sum(1, dtype=np.uint8) for part in _parts(rows)])
+        order = np.argsort(n, kind="stable")
+        return rows[order[np.count_nonzero(n == 0) :]]
+
+    def bounds(self, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of some rows that can match row k, and bounds of what can match in row k: first and last shingles."""
+        _, _, place, span, _, _ = self.rows[k]
+        kept, bounds = [], []
+        for part in _parts(rows):
+            part = part[_bounds(self.held(span, part).view(bool), WIDTH - 1)[2] >= LEAST]
+            low, high, held = _reach(span, place, self.table[part], self.where)
+            good = held >= LEAST
+            kept.append(part[good])
+            bounds.append(np.stack([low[good], high[good]]))
+        return np.concatenate(kept), np.concatenate(bounds, 1)
+
+
+def _parts(rows: np.ndarray) -> list[np.ndarray]:
+    return [rows[at : at + SCREEN] for at in range(0, len(rows), SCREEN)]
 
 
 class _Rare:
@@ -431,24 +528,30 @@ class _Rare:
 
     def __init__(self, spans: list[np.ndarray]):
         pairs = np.concatenate(spans).astype(np.int64) << 32 | np.repeat(np.arange(len(spans)), [len(s) for s in spans])
-        pairs = np.unique(pairs)
+        pairs.sort()
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
         self.rows = pairs & 0xFFFFFFFF
         self.begin = np.searchsorted(pairs >> 32, np.arange((1 << 16) + 1))
         self.n = np.diff(self.begin)
 
-    def sharing(self, span: np.ndarray, first: int) -> np.ndarray:
-        """Rows before first that hold one of the rarest shingles of a span.
+    def sharing(self, values: np.ndarray, first: int) -> np.ndarray:
+        """Rows before first that hold enough of the rarest of the shingles that a span can share.
 
-        At most len(span) - LEAST of its places may be unshared, so of one place more at least one is shared.
+        At most len(values) - LEAST of its places may be unshared, so of n places more at least n are shared.  The more are
+        asked for, the fewer rows hold them and the more rows are looked at; n is the cheapest of ENOUGH, 0 if all rows are.
         """
-        order = np.argsort(self.n[span], kind="stable")[: len(span) - LEAST + 1]
-        values = np.unique(span[order])
-        values = values[self.n[values] > 1]  # the others are in this window only
-        if self.n[values].sum() > first:
+        order = np.argsort(self.n[values], kind="stable")
+        looked_at = np.cumsum(self.n[values[order]])[len(values) - LEAST + ENOUGH - 1]
+        cost = looked_at * (1 + LOOK / ENOUGH)
+        best = int(cost.argmin())
+        if cost[best] > LOOK * first:
             return np.arange(first)
-        found = [self.rows[self.begin[v] : self.begin[v + 1]] for v in values.tolist()]
-        found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return found[: np.searchsorted(found, first)]
+        n = int(ENOUGH[best])
+        found = np.concatenate([self.rows[self.begin[v] : self.begin[v + 1]] for v in values[order[: len(values) - LEAST + n]].tolist()])
+        if n == 1:
+            found = np.unique(found)
+            return found[: np.searchsorted(found, first)]
+        return np.flatnonzero(np.bincount(found, minlength=first)[:first] >= n)
 
 
 def _bounds(held: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -412,3 +412,63 @@ def test_backoff_lm(spark):
     for a, b in zip(sorted(have, key=key), sorted(want, key=key)):
         assert a[:3] == b[:3] and (a[3] is None) == (b[3] is None) and (a[3] is None or abs(a[3] - b[3]) < 2e-6)
     assert backoff_lm.score(frame(spark, [])).count() == 0
+
+
+def window(doc, words_before, passage, words_after, place):
+    """A window of a cell: place is that of its minimum in the passage."""
+    shingles = [*words_before, *passage, *words_after]
+    at = len(words_before) + place
+    first = max(0, at - substring.WIDTH + 1)
+    span = np.array(shingles[first : at + substring.WIDTH], np.uint16)
+    return doc, first, at - first, span, 0, [first]
+
+
+def test_windows_of_a_cell_are_bounded_only_for_what_can_add_to_them(monkeypatch):
+    """Copies of a passage in contexts of their own: once one is found, no other can add anything and none is looked at again."""
+    rng, n, seen = np.random.default_rng(3), 200, []
+    bounds = substring._bounds
+    monkeypatch.setattr(substring, "_bounds", lambda held, place: seen.append(len(held)) or bounds(held, place))
+    values = rng.permutation(1 << 16).tolist()
+    passage = [values.pop() for _ in range(70)]
+    fresh = lambda: [values.pop() for _ in range(6)]
+    links = []
+    substring._compare([window(doc, fresh(), passage, fresh(), 30) for doc in range(n)], links)
+    assert {link[0] for link in links} == set(range(1, n))
+    assert sum(seen) <= 2 * n
+
+
+@pytest.mark.parametrize("small, indexed, screen, kinds", [(6, 256, 1024, 1), (2, 10, 16, 1), (2, 10, 16, 2), (200, 256, 1024, 1)])
+def test_cells_cover_what_comparing_all_pairs_covers(monkeypatch, small, indexed, screen, kinds):
+    for name, value in (("SMALL", small), ("INDEXED", indexed), ("SCREEN", screen), ("KEPT", 20)):
+        monkeypatch.setattr(substring, name, value)
+    rng, n_linked = np.random.default_rng(12), 0
+    for k in range(5):
+        # the last one repeats shingles
+        new = lambda m: rng.integers(0, 65000 if k < 4 else 200, m).tolist()  # noqa: E731, B023
+        least, families, rows = 65500, [(new(45), new(45)) for _ in range(4)], []
+        for doc in range(40):
+            left, right = (list(side) for side in families[rng.integers(0, 4)])
+            for side in (left, right):
+                for _ in range(rng.integers(0, 3)):
+                    cut = int(rng.integers(0, 40))
+                    side[cut : cut + int(rng.integers(0, 6))] = new(rng.integers(0, 6))
+            if rng.random() < 0.3:
+                left = new(25) + left[25:]
+            doc = doc // 2 if rng.random() < 0.2 else doc
+            _, at, place, span, _, ats = window(doc, left, [least], right, 0)
+            rows.append((doc, at, place, span, 2 + doc % 2 if kinds == 2 else 0, ats))
+        rows.sort(key=lambda r: r[0])
+        links = []
+        substring._compare(rows, links)
+        assert all(link[0] > link[3] for link in links)
+        for doc in {r[0] for r in rows}:
+            want = set()
+            for d, at, place, span, kind, _ in (r for r in rows if r[0] == doc):
+                for o in rows:
+                    found = o[0] < doc and (not kind or o[4] != kind) and substring.verify(span, place, o[3], o[2])
+                    want |= set(range(at + found[0], at + found[1] + 1)) if found else set()
+            got = {p for link in links if link[0] == doc for p in range(link[1], link[2] + 1)}
+            # all but what a stretch shorter than a passage is filled up with
+            assert got <= want and len(want) - len(got) <= 2 * (substring.WIDTH - substring.LEAST) and bool(got) == bool(want)
+            n_linked += bool(got)
+    assert n_linked > 100
