@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import PRIME, grams, in_batches, mix, texts, word_hashes
+from quaestor.llm.common import PRIME, give_back, grams, in_batches, mix, texts, word_hashes
 from quaestor.llm.counting import distinct, to_keys, with_totals, words_in
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.75
@@ -43,7 +43,7 @@ LEAST = math.ceil(2 * WIDTH * SIMILARITY / (1 + SIMILARITY))
 HASHES = 4
 BATCH_BYTES = 4 << 20
 #: Documents of a key in a block, earlier windows screened at a time, and windows kept in the form for comparisons.
-BLOCK, SCREEN, KEPT = 2048, 1024, 2048
+BLOCK, SCREEN, KEPT = 2048, 256, 256
 #: Cells of so many windows are compared one by one; cells of more than INDEXED look their candidates up by rare shingles.
 SMALL, INDEXED = 6, 256
 #: How many rare shingles a candidate may have to hold, and what comparing one costs in entries of the index.
@@ -352,6 +352,7 @@ def _match(batches):
             for columns in _cells(table.combine_chunks()):
                 if len(columns[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types)], names)
+    give_back()
 
 
 def _cells(table: pa.Table):
@@ -466,7 +467,8 @@ class _Cell:
         for kind in set(self.kinds.tolist()):
             others = np.flatnonzero(self.kinds != kind)[::-1] if kind else np.arange(n)[::-1]
             earliest = np.full(1 << 16, n, np.int32)
-            earliest[self.table[others]] = others[:, None]  # the last one stays
+            for part in _parts(others):
+                earliest[self.table[part]] = part[:, None]  # the last one stays
             for part in _parts(np.flatnonzero(self.kinds == kind)):
                 table = self.table[part]
                 inside = (places >= start[part, None]) & (places < end[part, None])
