@@ -2,6 +2,8 @@
 stateful job has a batch twin that computes the same rows from the whole table, as far as the stream's watermark has
 passed them.  The stream-stream join of starts and ends gives all pairs within its bound, its twin the first end."""
 
+import itertools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,13 +51,14 @@ def event_sink(df: DataFrame, out: str, form: str = "parquet", mode: str = "appe
     split = "corrupt" in df.columns
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if not split:  # written once, so nothing is kept for a second time
+            batch.write.mode("overwrite").format(form).save(f"{out}/rows/batch={batch_id}")
+            return
         batch.persist()
         try:
-            good = batch.where("corrupt IS NULL").drop("corrupt") if split else batch
-            good.write.mode("overwrite").format(form).save(f"{out}/rows/batch={batch_id}")
-            if split:
-                bad = batch.where("corrupt IS NOT NULL").select("corrupt")
-                bad.write.mode("overwrite").text(f"{out}/corrupt/batch={batch_id}")
+            batch.where("corrupt IS NULL").drop("corrupt").write.mode("overwrite").format(form).save(f"{out}/rows/batch={batch_id}")
+            bad = batch.where("corrupt IS NOT NULL").select("corrupt")
+            bad.write.mode("overwrite").text(f"{out}/corrupt/batch={batch_id}")
         finally:
             batch.unpersist()
 
@@ -452,54 +455,97 @@ def _uses(events: DataFrame, cache: str, entry: str) -> DataFrame:
     return events.select(*names, "ts", "event_id", F.unix_micros("ts").alias("t"))
 
 
+_WAITING = pa.schema([("t", pa.int64()), ("event_id", pa.int64()), ("entry", pa.string())])
+
+
+def _in_time(uses: pa.Table) -> pa.Table:
+    return uses.sort_by([(c, "ascending") for c in _WAITING.names]).combine_chunks()
+
+
 class CacheUses(StatefulProcessor):
     """A cache kept up by a stream.
 
     Uses wait until the watermark has passed them and are then taken in time order, so results do not depend on how the
     stream was cut into batches.  Uses behind the watermark of the batch before are dropped: what has been answered stays.
     Entries leave at their expiry, by a timer.
+
+    What waits lies in chunks by time, so that a busy cache is neither read nor sorted as a whole: `sorted_uses` uses are
+    sorted together and cut into chunks of `chunk_uses`, and those whose times overlap are read together.
     """
 
+    sorted_uses, chunk_uses, read_chunks = 1 << 18, 1 << 12, 16
+
     def __init__(self, ttl_us: int, capacity: int | None):
         self.ttl, self.capacity = ttl_us, capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t long, event_id long, entry string")
+        self.waiting = handle.getMapState("waiting", "first long, last long, number long", "uses binary")
         self.entries = handle.getMapState("entries", "entry string", "inserted long, used long")
 
     def _wake(self, t_us: int) -> None:
         self.handle.registerTimer(-(-t_us // 1000))
 
+    def _put(self, uses: pa.Table) -> int:
+        """Lay sorted uses down in chunks; the time of the first one."""
+        t = uses.column("t").to_numpy()
+        for a in range(0, len(uses), self.chunk_uses):
+            part, sink = uses.slice(a, self.chunk_uses), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, uses.schema) as out:
+                out.write_table(part)
+            key = (int(t[a]), int(t[a + len(part) - 1]), int.from_bytes(os.urandom(7)))
+            self.waiting.updateValue(key, (sink.getvalue().to_pybytes(),))
+        return int(t[0])
+
+    def _take(self, key: tuple) -> pa.Table:
+        uses = pa.ipc.open_stream(self.waiting.getValue(key)[0]).read_all()
+        self.waiting.removeKey(key)
+        return uses
+
+    def _due(self, now: int) -> Iterator[pa.Table]:
+        """The uses up to now in time order, in stretches; what a chunk has beyond stays."""
+        keys, ahead = sorted(tuple(k) for k in self.waiting.keys() if k[0] <= now), _WAITING.empty_table()
+        for a in range(0, len(keys), self.read_chunks):
+            ahead = _in_time(pa.concat_tables([ahead, *(self._take(k) for k in keys[a : a + self.read_chunks])]))
+            # an unread chunk may begin at the time of the last ones
+            until = min([now + 1, *(k[0] for k in keys[a + self.read_chunks : a + self.read_chunks + 1])])
+            n = int(np.searchsorted(ahead.column("t").to_numpy(), until))
+            for b in range(0, n, self.chunk_uses):
+                yield ahead.slice(b, min(self.chunk_uses, n - b))
+            ahead = ahead.slice(n)
+        if len(ahead):
+            self._put(ahead)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        more = [(int(t), int(i), e) for pdf in rows for t, i, e in zip(pdf["t"], pdf["event_id"], pdf["entry"])]
-        self.waiting.appendList(more)
-        self._wake(min(more)[0])
+        first, held, n = [], [], 0
+        for pdf in itertools.chain(rows, [None]):
+            if pdf is not None:
+                held.append(pa.Table.from_pandas(pdf[_WAITING.names], _WAITING, preserve_index=False))
+                n += len(pdf)
+            if n and (pdf is None or n >= self.sorted_uses):
+                first.append(self._put(_in_time(pa.concat_tables(held))))
+                held, n = [], 0
+        self._wake(min(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        due, rest = [w for w in waiting if w[0] <= now], [w for w in waiting if w[0] > now]
         before = {k[0]: tuple(v) for k, v in self.entries.iterator()}
         state = Cache(self.ttl, self.capacity, dict(before))
-        out = [(key[0], i, *state.use(e, t)) for t, i, e in due]
-        # the first use to come may be the next one waiting or any later than the watermark
-        state.expire(min([now, *(w[0] for w in rest[:1])]))
+        for uses in self._due(now):
+            out = [(key[0], i, *state.use(e, t)) for t, i, e in zip(*(uses.column(c).to_pylist() for c in _WAITING.names))]
+            yield pd.DataFrame(out, columns=["cache", "event_id", "hit", "evicted"])
+        state.expire(now)  # uses to come are later than the watermark
         for e in before.keys() - state.entries.keys():
             self.entries.removeKey((e,))
         for e, v in state.entries.items():
             if before.get(e) != v:
                 self.entries.updateValue((e,), v)
-        if rest:
-            self.waiting.put(rest)
-            self._wake(rest[0][0])
-        elif due:
-            self.waiting.clear()
+        rest = min((k[0] for k in self.waiting.keys()), default=None)
+        if rest is not None:
+            self._wake(rest)
         if state.entries:
             self._wake(max(now + 1, min(v[0] for v in state.entries.values()) + self.ttl))
-        if out:
-            yield pd.DataFrame(out, columns=["cache", "event_id", "hit", "evicted"])
 
     def close(self) -> None:
         pass
@@ -510,6 +556,7 @@ def cache_stream(
 ) -> DataFrame:
     """The rows of cache_uses for all uses that the watermark has passed."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")  # of all stores of an executor
     return _uses(events.withWatermark("ts", late), cache, entry).groupBy("cache").transformWithStateInPandas(
         statefulProcessor=CacheUses(ttl_s * 1_000_000, capacity),
         outputStructType=_USES,

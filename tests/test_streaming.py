@@ -5,6 +5,7 @@ import json
 import random
 from collections import OrderedDict, defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,60 @@ def test_a_use_behind_the_watermark_is_dropped(spark):
     assert sorted(r.event_id for r in J.run_batches(df, "cache").collect()) == [0, 1]
 
 
+class Kept(dict):
+    """A map state of one key."""
+
+    getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.__delitem__
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getMapState(self, *_):
+        return Kept()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_a_busy_cache_is_never_read_as_a_whole(monkeypatch, shuffled):
+    """All that waited for the watermark was one list, in the state, in the worker and once more when it was sorted."""
+    rows = [(i, ts, user, "a") for i, ts, user, _ in uses(8, 4000)]
+    if shuffled:
+        random.Random(9).shuffle(rows)
+    processor, handle, read = J.CacheUses(TTL * 1_000_000, CAPACITY), Handle(), []
+    processor.sorted_uses, processor.chunk_uses, processor.read_chunks = 500, 40, 3
+    in_time = J._in_time
+    monkeypatch.setattr(J, "_in_time", lambda uses: read.append(len(uses)) or in_time(uses))
+    processor.init(handle)
+    t = [int(ts.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6) for _, ts, _, _ in rows]
+    frame = pd.DataFrame({"cache": "a", "entry": [str(u) for _, _, u, _ in rows], "ts": 0, "event_id": [i for i, *_ in rows], "t": t})
+    got = []
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at // 1000
+
+    for now in (min(t) + (max(t) - min(t)) // 3, max(t) // 60_000_000 * 60_000_000 - 1_000, max(t)):
+        if not got:
+            assert list(processor.handleInputRows(("a",), (frame[a : a + 130] for a in range(0, 4000, 130)), None)) == []
+            assert handle.timers == {-(-min(t) // 1000)}
+        for out in processor.handleExpiredTimer(("a",), Now(now), None):
+            got += out.itertuples(index=False, name=None)
+            assert len(out) <= 40
+        assert all(k[0] > now // 1000 * 1000 for k in processor.waiting)
+    assert [tuple(r) for r in sorted(got, key=lambda r: r[1])] == plain(rows, TTL, CAPACITY)
+    assert max(read) <= (8 + 3) * 130
+
+
 def test_ttl_counts_of_table_and_stream(spark):
     rows = uses(4)
     want = defaultdict(lambda: [0, 0])
