@@ -1,5 +1,6 @@
 """The published index: what a search reads, statistics by index, versions of concurrent writers."""
 
+import pathlib
 import re
 
 from pyspark.sql import functions as F
@@ -86,3 +87,30 @@ def test_a_changed_folder_is_indexed_anew(spark, tmp_path):
     assert I.published(spark, str(tmp_path)).path == first.path
     docs.limit(9).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert I.published(spark, str(tmp_path)).documents.count() == 9 and first.documents.count() == 5
+
+
+def test_terms_and_lengths_need_no_postings(spark, tmp_path):
+    """Every word of three fields was shuffled and written for a count."""
+    C.table(spark, FOLDER, "documents").limit(40).write.parquet(f"{tmp_path}/documents.parquet")
+    index = I.published(spark, str(tmp_path), ("section",), ())
+    assert sorted(p.name for p in pathlib.Path(index.path).iterdir() if not p.name.startswith(("_", "."))) == ["lengths", "terms"]
+    whole = I.published(spark, str(tmp_path))
+    for some in ("terms", "lengths"):
+        got, want = (sorted(map(tuple, getattr(x, some)().drop("bucket").collect())) for x in (index, whole))
+        assert got == want and got
+
+
+def test_counts_of_repeated_and_empty_documents(spark, monkeypatch):
+    monkeypatch.setattr(I, "DOCUMENTS", 2)
+    data = [
+        (1, "main", "River bank", "River the\n\n river bank river"), (1, "main", "River bank", "River the\n\n river bank river"),
+        (1, "main", "Bank", "sea sea\n\nsea bank sea"), (2, "api", None, None), (3, "api", "", "\n"), (4, None, "the", "the\nthe"),
+        (5, "api", "ÉTÉ x", "été\nx_1 ÉTÉ"), (None, "main", "a", "lake"), (None, "main", "a", "lake"), (6, None, "sea", "sea a"), (7, "api", "z", "z\nz"),
+    ]
+    docs = spark.createDataFrame(data, "doc_id long, idx string, title string, text string")
+    for d in (docs, docs.where("doc_id > 1"), docs.limit(0)):
+        rows = I._postings(d, I.FIELDS).groupBy("field", "idx", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        rows = rows.where("term <> ''").collect()
+        marks = I._postings(d, I.FIELDS).where("term = ''").groupBy("field", "idx", "term").agg(F.count(F.lit(1)), F.sum("unit_len")).collect()
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted(map(tuple, I._tallies(d, I.FIELDS).collect()), key=key) == sorted(map(tuple, rows + marks), key=key)
