@@ -5,7 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from quaestor.operators import lexical, nearest
+from quaestor.functions import text as X
+from quaestor.operators import lexical, nearest, sweep
 from quaestor.plans import search as S
 from quaestor.sources import corpus as C
 from quaestor.sources import index as I
@@ -109,8 +110,29 @@ def test_counts_of_repeated_and_empty_documents(spark, monkeypatch):
     ]
     docs = spark.createDataFrame(data, "doc_id long, idx string, title string, text string")
     for d in (docs, docs.where("doc_id > 1"), docs.limit(0)):
-        rows = I._postings(d, I.FIELDS).groupBy("field", "idx", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        rows = rows.where("term <> ''").collect()
-        marks = I._postings(d, I.FIELDS).where("term = ''").groupBy("field", "idx", "term").agg(F.count(F.lit(1)), F.sum("unit_len")).collect()
+        lines = d.select("idx", "doc_id", F.posexplode(F.split("text", "\n")).alias("unit_no", "unit_text"), F.lit("section").alias("field"))
+        for field in ("text", "title"):
+            lines = lines.unionByName(d.select("idx", "doc_id", F.lit(0).alias("unit_no"), F.col(field).alias("unit_text"), F.lit(field).alias("field")))
+        units = lines.withColumn("toks", X.index_tokens(F.col("unit_text"))).withColumn("unit_len", F.size("toks")).where("unit_len > 0")
+        keys = ["field", "idx", "doc_id", "unit_no", "unit_len", "term"]
+        each = units.withColumn("term", F.explode(F.array_append("toks", F.lit("")))).groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
+        want = each.groupBy("field", "idx", "term").agg(F.count(F.lit(1)), F.sum(F.expr("if(term = '', unit_len, tf)"))).collect()
         key = lambda r: tuple(str(x) for x in r)
-        assert sorted(map(tuple, I._tallies(d, I.FIELDS).collect()), key=key) == sorted(map(tuple, rows + marks), key=key)
+        assert sorted(map(tuple, I._tallies(d, I.FIELDS).collect()), key=key) == sorted(map(tuple, want), key=key)
+        want = [(*r[:6], 1 if r.term == "" else r.tf) for r in each.collect()]
+        got = map(tuple, I.unpack(I._packed(d, I.FIELDS)).select(*keys, "tf").collect())
+        assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_a_bounded_search_makes_pairs_of_its_best_documents_only(spark, monkeypatch):
+    """Pairs of every query and every unit with a term of it were spilled and, for inner hits, written."""
+    monkeypatch.setattr(sweep, "FIRST", 1)
+    c, q = S.Collection.load(spark, FOLDER), C.search_queries(spark, FOLDER)
+    both = q.withColumn("idx", F.explode(F.array(F.lit("main"), F.lit("api"))))
+    for queries, scope in ((q, []), (both, ["idx"])):
+        every, few = (lexical.index_units(c.index, queries, k=k) for k in (None, 4))
+        top = lexical.top_k(lexical.per_document(every), 4)
+        assert rows(lexical.top_k(lexical.per_document(few), 4)) == rows(top)
+        kept = every.join(top.select("query_id", *scope, "doc_id"), ["query_id", *scope, "doc_id"], "left_semi")
+        assert rows(kept.select(few.columns)) <= rows(few) <= rows(every.select(few.columns))
+        assert few.select("query_id", *scope, "doc_id").distinct().count() <= 9 * queries.count()
